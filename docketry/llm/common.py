@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.session import ship
+from docketry.session import durable, shared_dir, ship
+
+__all__ = ["crc_mod", "durable", "load", "scratch_dir", "shared_dir", "small_batches", "spare", "table_rows"]
 
 #: Rows in an Arrow batch. Texts can be long; a batch of default size could outgrow a worker.
 BATCH_ROWS = 256
@@ -17,37 +18,11 @@ BATCH_ROWS = 256
 SPACE = "\x20\x09-\x0d"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Where it is unset and Spark runs in one process, a temporary folder does; on a cluster that
-    is an error, since executors could not see each other's files there.
-    """
-    context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir", None)
-    if folder is None:
-        found = context._jsc.sc().getCheckpointDir()
-        if found.isDefined():
-            return found.get()
-        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="docketry-")
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(folder)
-    return folder
-
-
 def scratch_dir(spark: SparkSession, what: str) -> str:
     """A new path below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def durable(frame: DataFrame) -> DataFrame:
-    """The frame, written once to the shared folder; its lineage ends there."""
-    shared_dir(frame.sparkSession)
-    return frame.checkpoint()
-
-
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """For Python stages: bounded Arrow batches, and this package on the executors."""
     ship(spark)
