@@ -20,6 +20,8 @@ from .common import small_batches
 K, W = 20, 31
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
+#: While there are fewer ranges than shuffle partitions, ranges get smaller, down to about so many bytes.
+SMALL_BUCKET_BYTES = 1 << 20
 #: Hashes have 40 bits and share a 64-bit word with the position in the block; a block's positions fit 24 bits.
 BLOCK = 1 << 22
 
@@ -131,7 +133,8 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     lowest = -(1 << 63)
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(lowest)).alias("rank"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     size = narrow.agg(F.sum(F.octet_length("text").cast("long")).alias("bytes"), F.max("rank").alias("top")).first()
-    parts = int(min(20_000, 1 + (size.bytes or 0) // bucket_bytes))
+    total, wide = size.bytes or 0, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(min(20_000, max(1 + total // bucket_bytes, min(wide, 1 + total // SMALL_BUCKET_BYTES))))
     ends = narrow.approxQuantile("rank", [i / parts for i in range(1, parts)], 1 / (8 * parts)) if parts > 1 and size.top is not None else []
     # Quantiles pass through doubles, which round ids over 2**53: only ids found in the table end a range.
     wanted = sorted({int(x) for x in ends if abs(x) < 2**53})
@@ -172,5 +175,5 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("n_kept", pa.int64())])
     dealt = narrow.mapInArrow(deal, "bucket int, guest boolean, doc_id long, rank long, text string")
-    ordered = dealt.repartition(max(1, len(bounds)), "bucket").sortWithinPartitions("bucket", "guest", F.desc("rank"), F.desc("text"))
+    ordered = dealt.repartitionById(max(1, len(bounds)), F.col("bucket")).sortWithinPartitions("bucket", "guest", F.desc("rank"), F.desc("text"))
     return ordered.mapInArrow(follow, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_kept long")
