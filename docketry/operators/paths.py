@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from docketry.functions.text import frame_hash
 from docketry.session import durable
 
-#: Levels that one plan may span before it is cut.
-CUT_EVERY = 4
-
 
 def both_ways(edges: DataFrame) -> DataFrame:
     """(at, next, relationship_id, kind, with_arrow): every supported edge in both directions, without self-links."""
@@ -23,14 +20,15 @@ def explore(pages: DataFrame, edges: DataFrame, start: str, max_hops: int) -> Da
     """(page_id, depth, steps): each page within reach once, at its least depth, with its first route.
 
     Routes are ordered by their relationship ids. The start is not reached. A level is one join and
-    one aggregation; levels already reached are taken out by an anti-join, and the plan is cut every
-    few levels, so that long chains neither plan slowly nor lose their lineage's end.
+    one aggregation, written before the next begins; levels already reached are taken out by an
+    anti-join. So a long chain plans no slower than a short one.
     """
     if not 1 <= max_hops <= 256:
         raise ValueError("1 to 256 hops")
     spark = pages.sparkSession
     steps_type = "array<struct<relationship_id:string,kind:string,with_arrow:boolean,page_id:string>>"
     near = both_ways(edges).join(pages.select(F.col("page_id").alias("next")), "next", "left_semi")
+    near = durable(near) if max_hops > 1 else near
     frontier = spark.createDataFrame([(start, 0, [])], f"page_id string, depth int, steps {steps_type}")
     reached = frontier
     for depth in range(1, max_hops + 1):
@@ -38,13 +36,11 @@ def explore(pages: DataFrame, edges: DataFrame, start: str, max_hops: int) -> Da
         found = frontier.join(near, F.col("page_id") == F.col("at")).select("next", F.concat("steps", F.array(step)).alias("steps"))
         found = found.join(reached.select(F.col("page_id").alias("next")), "next", "left_anti")
         frontier = found.groupBy("next").agg(F.min("steps").alias("steps")).select(F.col("next").alias("page_id"), F.lit(depth).alias("depth"), "steps")
-        if max_hops > CUT_EVERY:
-            frontier = durable(frontier)
-            if frontier.isEmpty():
-                break
+        # Every level is read twice, by the next join and by the anti-joins after it: it is written once.
+        frontier = durable(frontier)
+        if frontier.isEmpty():
+            break
         reached = reached.unionByName(frontier)
-        if depth % CUT_EVERY == 0 and depth < max_hops:
-            reached = durable(reached)
     return reached.where("depth > 0")
 
 
