@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,16 +42,24 @@ def qualify(values: Column) -> Column:
     Trimmed strings that differ are conflicting, whatever days they mean. "A to B" and "A..B" are
     intervals of two dates in order; a reversed one is unknown.
     """
-    distinct = F.array_sort(F.array_distinct(F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), F.trim), lambda v: v != "")))
-    value = F.get(distinct, F.lit(0))
-    parts = [F.split(value, r"\s+to\s+", 2), F.split(value, r"\.\.", 2)]
-    intervals = []
-    for pair in parts:
-        left, right = _single(F.trim(F.get(pair, F.lit(0)))), _single(F.trim(F.get(pair, F.lit(1))))
-        fits = (F.size(pair) == 2) & (left["start"] <= right["end"])
-        intervals.append(F.when(fits, _made(left["start"], right["end"], "interval", "approximate")))
+    cleaned = F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: F.trim(v)), lambda v: v != "")
+    return _once(F.array_sort(F.array_distinct(cleaned)), _of_distinct)
+
+
+def _once(value: Column, f) -> Column:
+    """f(value), with the value computed once however often f names it."""
+    return F.get(F.transform(F.array(value), lambda x: f(x)), F.lit(0))
+
+
+def _interval(left: Column, right: Column) -> Column:
+    return F.when(left["start"] <= right["end"], _made(left["start"], right["end"], "interval", "approximate"))
+
+
+def _of_distinct(distinct: Column) -> Column:
     none = F.lit(None).cast("string")
-    dated = reduce(lambda a, b: F.coalesce(a, b), [*intervals, _single(value), _made(none, none, "unknown", "unknown")])
+    value = F.get(distinct, F.lit(0))
+    ends = [F.trim(F.get(F.split(value, pattern, 2), F.lit(i))) for pattern in (r"\s+to\s+", r"\.\.") for i in (0, 1)]
+    read = F.transform(F.array(value, *ends), lambda v: _single(v))
+    dated = _once(read, lambda r: F.coalesce(_interval(F.get(r, F.lit(1)), F.get(r, F.lit(2))), _interval(F.get(r, F.lit(3)), F.get(r, F.lit(4))), F.get(r, F.lit(0)), _made(none, none, "unknown", "unknown")))
     dated = F.when(F.size(distinct) > 1, _made(none, none, "unknown", "conflicting")).otherwise(dated)
-    label = F.when(F.size(distinct) == 0, F.lit(UNKNOWN)).otherwise(F.array_join(distinct, "; "))
-    return F.struct(label.alias("label"), dated["start"].alias("start"), dated["end"].alias("end"), dated["precision"].alias("precision"), dated["status"].alias("status"))
+    return dated.withField("label", F.when(F.size(distinct) == 0, F.lit(UNKNOWN)).otherwise(F.array_join(distinct, "; ")))

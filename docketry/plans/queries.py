@@ -358,9 +358,9 @@ def candidates(c: Collection) -> DataFrame:
     return formation.candidates(texts)
 
 
-@query(r"""SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '(?i)\b(the|der|la|de)\b', 1))), ';') AS found FROM documents""")
+@query(r"""SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '([0-9]{2,})', 1))), ';') AS found FROM documents""")
 def pattern_matches(c: Collection) -> DataFrame:
-    hits = F.regexp_extract_all("text", F.lit(r"(?i)\b(the|der|la|de)\b"), F.lit(1))
+    hits = F.regexp_extract_all("text", F.lit(r"([0-9]{2,})"), F.lit(1))
     return c.table("documents").select("doc_id", F.array_join(F.array_sort(F.array_distinct(hits)), ";").alias("found"))
 
 
@@ -406,10 +406,10 @@ def page_identities(c: Collection) -> DataFrame:
     return reconcile.identities(found, found.limit(0)).select("page_id", "state")
 
 
-@query("SELECT c_custkey AS page_id, 'Customer' AS kind FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey AS page_id, 'Customer' AS kind FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 def removable_pages(c: Collection) -> DataFrame:
     pages = c.table("customer").select(F.col("c_custkey").alias("page_id"), F.lit("Customer").alias("kind"))
-    related = c.table("orders").select(F.col("o_custkey").alias("from_page_id"), F.col("o_custkey").alias("to_page_id"))
+    related = c.table("orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("from_page_id"), F.col("o_custkey").alias("to_page_id"))
     return reconcile.removable_pages(pages, pages.limit(0), related)
 
 
