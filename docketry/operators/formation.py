@@ -19,7 +19,7 @@ from docketry.session import ship
 MAX_CANDIDATES, SUPPORT, EVENT, INTENT, PERSON = 64, 0.6, 0.55, 0.85, 0.9
 _MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
 PATTERNS = {
-    "event": re.compile(r"\bV[0-9]+\b|\b(?:observation|survey|event)\s+[A-Z][A-Za-z0-9-]*[0-9]\b", re.IGNORECASE),
+    "event": re.compile(r"\b(?:observation|survey|event)\s+([A-Z][A-Za-z0-9-]*[0-9])\b|\b(V[0-9]+)\b", re.IGNORECASE),
     "tag": re.compile(r"#[^\W]+(?:-[^\W]+)*"),
     "date": re.compile(rf"\b(?:{_MONTHS})\s+[0-9]{{1,2}},?\s+[0-9]{{4}}\b|\b[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}\b|\b(?:{_MONTHS})\s+[0-9]{{4}}\b"),
     "unknown_date": re.compile(r"\b(?:date|day) (?:is |was )?(?:unknown|not recorded)\b", re.IGNORECASE),
