@@ -158,8 +158,8 @@ def test_personal_data(spark, odd):
     for _ in range(4000):
         text = "".join(rng.choice("01259.. --+()@@ab%é\n") for _ in range(rng.randint(0, 60)))
         assert pii.base_spans(text) == brute(text)
-    windows = pii.invented(400, ["alpha", "beta", "gamma", "delta"])
-    weights = pii.fit(windows, epochs=4)
+    windows = pii.invented(1000, ["alpha", "beta", "gamma", "delta"])
+    weights = pii.fit(windows, batch=32)
     tests = pii.invented(100, ["alpha", "beta", "gamma", "delta"], seed=77)
     found = pii.find([t for t, _ in tests], weights)
     total = sum(len(s) for _, s in tests)
