@@ -18,8 +18,8 @@ from .common import durable
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEATS = 3
-#: The hash range has 2**16 slices, whose word sums show where a pattern's last pass ends.
-SLICE_SHIFT = 48
+#: The hash range has 2**12 slices, whose word sums show where a pattern's last pass ends.
+SLICE_SHIFT = 52
 #: Rows that are chosen by their size, to close what a seeded choice leaves of a share.
 FILLERS = 2
 #: More patterns than that are an error: sources are meant to be few, and their patterns a summary.
