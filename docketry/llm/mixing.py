@@ -171,18 +171,19 @@ def mix(docs: DataFrame, seed: int = 17, id_col: str = "doc_id", members: Column
     groups = open_.join(cut, "key").where("slice = cut").groupBy("key", "u").agg(F.sum("size").alias("words"), F.first("before").alias("before"), F.first("rest").alias("rest"))
     running = F.col("before") + F.sum("words").over(Window.partitionBy("key").orderBy("u"))
     fitting = groups.withColumn("sum", running).where("sum <= rest").groupBy("key").agg(F.max("u").alias("last"), F.max("sum").alias("sum"))
-    state = {k: [(c << SLICE_SHIFT) - 1, rest - before, []] for k, (c, before, rest) in ends.items()}
+    # The last hash taken; null if the first slice of all is cut and nothing in it fits.
+    state = {k: [(c << SLICE_SHIFT) - 1 if before else None, rest - before, []] for k, (c, before, rest) in ends.items()}
     for r in fitting.collect():
         state[r["key"]][:2] = [r["last"], ends[r["key"]][2] - r["sum"]]
     # What is left is filled with the rows whose sizes come nearest.
     kept = "key string, last long, missing long, more array<long>"
     for _ in range(FILLERS):
         now = F.broadcast(spark.createDataFrame([(k, *v) for k, v in state.items()], kept))
-        rest = open_.join(now, "key").where("u > last AND NOT array_contains(more, u) AND abs(missing - size) < missing")
+        rest = open_.join(now, "key").where("coalesce(u > last, true) AND NOT array_contains(more, u) AND abs(missing - size) < missing")
         for r in rest.groupBy("key").agg(F.min(F.struct(F.abs(F.col("missing") - F.col("size")).alias("off"), "u", "size")).alias("best")).collect():
             state[r["key"]][1] -= r["best"]["size"]
             state[r["key"]][2].append(r["best"]["u"])
     chosen = F.broadcast(spark.createDataFrame([(k, *v) for k, v in state.items()], kept))
-    extra = F.expr("CAST(coalesce(u <= last OR array_contains(more, u), false) AS INT)")
+    extra = F.expr("CAST(coalesce(u <= last, false) OR coalesce(array_contains(more, u), false) AS INT)")
     taken = (F.col("size") * F.least(F.col("passes") + extra, F.lit(most))).cast("long").alias("taken")
     return dealt.join(chosen, "key", "left").select("doc_id", "size", "source", "source_size", "target", taken)

@@ -227,6 +227,10 @@ def test_mix_targets_and_flow(spark, odd):
     taken = mixing.mix(frame).groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("g"), F.max("size").alias("m")).collect()
     assert all(abs(r.t - r.g) <= max(r.m, 1) for r in taken)
     assert mixing.mix(frame.limit(0)).count() == 0
+    # The quota ends inside the very first slice of the hash range, whatever the seed.
+    for seed in range(3):
+        few = spark.createDataFrame([(i, "w " * 100, "ab"[i % 2]) for i in range(2)], "doc_id long, text string, source string")
+        assert {r.taken for r in mixing.mix(few, seed).collect()} == {100}
 
 
 def test_token_cache(spark, odd, tmp_path):
