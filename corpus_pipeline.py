@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docketry.llm import decontaminate, mixing, pii, simhash, toxicity
+from docketry.llm import decontaminate, mixing, nearcopies, pii, toxicity
 from docketry.llm.common import load, scratch_dir
 
 
@@ -14,8 +14,8 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row of the smallest doc_id in each group of near duplicates."""
-    return simhash.keep_one(docs)
+    """The row of the smallest doc_id in each group of near copies."""
+    return nearcopies.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

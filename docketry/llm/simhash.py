@@ -270,12 +270,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return of_doc.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2) -> DataFrame:
-    """docs without all but the smallest id of each component, with all columns.
+def keep_first(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the rows whose id is not its component's; found has (doc_id, component_id).
 
-    Rows with null ids stay. Rows that repeat both id and text are reduced to one.
+    Rows that repeat both id and text are reduced to one.
     """
-    found = near_duplicates(docs, id_col, text_col, width, radius).where("doc_id IS NOT NULL")
     name = spare(docs, "copy")
     counted = durable(found.groupBy("doc_id").agg(F.min("component_id").alias("kept"), F.count("*").alias("n")).where("doc_id <> kept OR n > 1"))
     copies = counted.where("doc_id <> kept").select(F.col("doc_id").alias(name))
@@ -285,3 +284,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
         return left
     same = left[id_col].cast("long") == F.col(name)
     return left.join(repeated, same, "left_anti").unionAll(left.join(repeated, same, "left_semi").dropDuplicates([id_col, text_col]))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2) -> DataFrame:
+    """docs without all but the smallest id of each component, with all columns.
+
+    Rows with null ids stay. Rows that repeat both id and text are reduced to one.
+    """
+    return keep_first(docs, near_duplicates(docs, id_col, text_col, width, radius).where("doc_id IS NOT NULL"), id_col, text_col)

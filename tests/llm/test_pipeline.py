@@ -1,5 +1,5 @@
 import corpus_pipeline
-from docketry.llm import simhash
+from docketry.llm import nearcopies
 from docketry.llm.common import load
 
 FOLDER = "/root/testdata/sf0.001"
@@ -17,5 +17,5 @@ def test_stages_keep_columns_and_take_effect(spark, tmp_path):
         counts.append(docs.count())
     assert counts == sorted(counts, reverse=True) and counts[3] == counts[4] and counts[-1] > 0
     deduplicated = spark.read.parquet(str(tmp_path / "near_dedup"))
-    found = simhash.near_duplicates(deduplicated)
+    found = nearcopies.near_copies(deduplicated)
     assert found.where("doc_id <> component_id").count() == 0
