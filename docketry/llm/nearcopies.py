@@ -31,6 +31,8 @@ BANDS, BAND_LANES = 24, 4
 LEAST_LANES = 60
 #: What a task holds at once of one group: band members, and shingles.
 BLOCK_ROWS, BLOCK_SHINGLES = 8192, 1 << 21
+#: Small groups share tasks, so many to the bound of one, for tasks of like size.
+SHARDS_PER_BLOCK = 8
 
 _random = np.random.default_rng(42)
 _FACTORS = _random.integers(0, 1 << 63, BANDS * BAND_LANES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -125,7 +127,7 @@ def _linked(frame: DataFrame, weight: Column, bound: int) -> DataFrame:
     dealt = frame.join(groups.drop("weight"), "key").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("blocks = 1 OR block <> other")
     dealt = dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    shard = F.pmod(F.xxhash64("key", "i", "j"), F.lit(max(1, int(total // bound))))
+    shard = F.pmod(F.xxhash64("key", "i", "j"), F.lit(max(1, int(SHARDS_PER_BLOCK * total // bound))))
     with_sets = "shingles" in frame.columns
 
     def within(part: pd.DataFrame) -> pd.DataFrame:
