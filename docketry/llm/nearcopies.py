@@ -7,8 +7,10 @@ bits apart, where no bound of such a tree prunes; they are found by min-hash ban
 Candidates: 24 bands of 4 min-hashes. A pair at 0.8 misses all bands with a probability of 3e-6.
 Pairs that share a band and agree in at least 60 of 96 lanes are candidates; their components are
 found first, so each text's shingles travel once, to the verification of its own component. Groups
-beyond a bound are dealt as pairs of blocks: no task holds more, and no pair is left out. What
-tasks return are spanning forests, never all pairs.
+beyond a bound are dealt to blocks, each with one text of the group as its hub. Texts that blocks
+connect to the hub are connected; only the others, few where a group is copies of one text, are
+compared with all other blocks. No task holds more than two blocks, and no pair that could add a
+link is left out. What tasks return are spanning forests, never all pairs.
 """
 
 from __future__ import annotations
@@ -30,9 +32,9 @@ BANDS, BAND_LANES = 24, 4
 #: Lanes that a candidate pair must share: at 0.8, 5e-6 of the pairs share fewer.
 LEAST_LANES = 60
 #: What a task holds at once of one group: band members, and shingles.
-BLOCK_ROWS, BLOCK_SHINGLES = 8192, 1 << 21
+BLOCK_ROWS, BLOCK_SHINGLES = 4096, 1 << 19
 #: Small groups share tasks, so many to the bound of one, for tasks of like size.
-SHARDS_PER_BLOCK = 8
+SHARDS_PER_BLOCK = 4
 
 _random = np.random.default_rng(42)
 _FACTORS = _random.integers(0, 1 << 63, BANDS * BAND_LANES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -89,12 +91,13 @@ def _order(lanes: np.ndarray) -> np.ndarray:
     return np.argsort(-(lanes == usual).sum(axis=1), kind="stable")
 
 
-def forest(lanes: np.ndarray, sets: list[np.ndarray] | None = None) -> np.ndarray:
+def forest(lanes: np.ndarray, sets: list[np.ndarray] | None = None, joined: int = 0) -> np.ndarray:
     """Each row's root in the graph of pairs that share LEAST_LANES and, with sets, are similar enough.
 
-    Pairs already connected are not looked at.
+    The first `joined` rows are known to be connected. Pairs already connected are not looked at.
     """
     found, order = _Forest(len(lanes)), _order(lanes)
+    found.parent[:joined] = 0
     for at, mine in enumerate(order[:-1]):
         rest = order[at + 1 :]
         rest = rest[found.parent[rest] != found.parent[mine]]
@@ -118,34 +121,70 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return shared >= SIMILARITY * (len(a) + len(b) - shared) - 1e-9
 
 
-def _linked(frame: DataFrame, weight: Column, bound: int) -> DataFrame:
-    """(a, b): forests of the links within each group of equal `key`, in blocks of about `bound` weight."""
-    groups = frame.groupBy("key").agg(F.count("*").alias("rows"), F.sum(weight).alias("weight")).where("rows > 1")
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("weight") / bound)).cast("int")
-    groups = durable(groups.select("key", "weight", blocks.alias("blocks")))
-    total = groups.agg(F.sum(F.col("weight") * F.col("blocks"))).first()[0] or 0
-    dealt = frame.join(groups.drop("weight"), "key").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("blocks = 1 OR block <> other")
-    dealt = dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    shard = F.pmod(F.xxhash64("key", "i", "j"), F.lit(max(1, int(SHARDS_PER_BLOCK * total // bound))))
-    with_sets = "shingles" in frame.columns
+def _forests(dealt: DataFrame, shards: int) -> DataFrame:
+    """(a, b, key, open) of each group of equal key, i, j: its forest's links, and, if some of its
+    rows are `settled` (known to be connected), a row (node, node) for each that is not connected to them."""
+    with_sets = "shingles" in dealt.columns
 
     def within(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["key", "i", "j", "node"], kind="stable")
-        key = part[["key", "i", "j"]].to_numpy()
-        starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
-        nodes, all_lanes, a, b = part["node"].to_numpy(), part["lanes"].to_list(), [], []
+        part = part.sort_values(["key", "i", "j", "settled", "node"], ascending=[True, True, True, False, True], kind="stable")
+        keys = part[["key", "i", "j"]].to_numpy()
+        starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
+        nodes, settled, all_lanes = part["node"].to_numpy(), part["settled"].to_numpy(bool), part["lanes"].to_list()
         shingles = part["shingles"].to_list() if with_sets else None
+        out: list[tuple] = []
         for start, end in zip(starts, [*starts[1:], len(part)], strict=True):
             lanes = np.frombuffer(b"".join(all_lanes[start:end]), np.uint8).reshape(end - start, -1)
-            roots = forest(lanes, [np.asarray(s) for s in shingles[start:end]] if with_sets else None)
-            moved = np.flatnonzero(roots != np.arange(end - start))
-            a.append(nodes[start:end][moved])
-            b.append(nodes[start:end][roots[moved]])
-        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
-
-    columns = ["key", "i", "j", "node", "lanes", *["shingles"] * with_sets]
-    return dealt.select(shard.alias("shard"), *columns).groupBy("shard").applyInPandas(within, "a long, b long")
+            own, joined = nodes[start:end], int(settled[start:end].sum())
+            roots = forest(lanes, [np.asarray(s) for s in shingles[start:end]] if with_sets else None, joined)
+            # Settled rows come first, so a tree that has one has one as its root.
+            moved = joined + np.flatnonzero(roots[joined:] != np.arange(joined, end - start))
+            out.append((own[moved], own[roots[moved]], np.full(len(moved), keys[start, 0]), np.zeros(len(moved), bool)))
+            if joined:
+                free = np.flatnonzero(roots != 0)
+                out.append((own[free], own[free], np.full(len(free), keys[start, 0]), np.ones(len(free), bool)))
+        return pd.DataFrame(dict(zip(("a", "b", "key", "open"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+
+    shard = F.pmod(F.xxhash64("key", "i", "j"), F.lit(max(1, shards)))
+    return dealt.withColumn("shard", shard).groupBy("shard").applyInPandas(within, "a long, b long, key long, open boolean")
+
+
+def _linked(frame: DataFrame, weight: Column, bound: int) -> DataFrame:
+    """(a, b): forests of the links within each group of equal `key`, whose nodes are distinct.
+
+    A group beyond the bound is dealt to blocks of about `bound` weight, each with the group's hub
+    (its smallest node). What a block does not connect to the hub is compared with the other blocks.
+    """
+    columns = ["key", "i", "j", "settled", "node", "lanes", *["shingles"] * ("shingles" in frame.columns)]
+    groups = frame.groupBy("key").agg(F.count("*").alias("rows"), F.sum(weight).alias("weight"), F.min("node").alias("hub")).where("rows > 1")
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("weight") / bound)).cast("int")
+    groups = durable(groups.select("key", "hub", "weight", blocks.alias("blocks")))
+
+    def shards(total: int | None) -> int:
+        return int(SHARDS_PER_BLOCK * (total or 0) // bound)
+
+    def over(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    dealt = frame.join(groups.select("key", "blocks"), "key").withColumn("i", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    hubs = frame.join(groups.where("blocks > 1").select("key", F.col("hub").alias("node"), "blocks"), ["key", "node"]).withColumn("i", over("blocks"))
+    first = dealt.withColumn("settled", F.lit(False)).unionByName(hubs.withColumn("settled", F.lit(True))).withColumn("j", F.lit(0))
+    first = durable(_forests(first.select(columns), shards(groups.agg(F.sum("weight")).first()[0])))
+    links, apart = first.where("NOT open").select("a", "b"), first.where("open").select("key", F.col("a").alias("node"))
+    if apart.isEmpty():
+        return links
+
+    apart = apart.distinct()
+    pieces = frame.join(apart, ["key", "node"]).groupBy("key").agg(F.sum(weight).alias("loose"))
+    pieces = durable(pieces.join(groups, "key").select("key", "weight", "loose", "blocks", F.ceil(F.col("loose") / bound).cast("int").alias("pieces")))
+    total = pieces.agg(F.sum(F.col("weight") * F.col("pieces") + F.col("loose") * F.col("blocks"))).first()[0]
+    marked = dealt.join(pieces.select("key", "pieces"), "key").join(apart.withColumn("apart", F.lit(True)), ["key", "node"], "left")
+    marked = marked.withColumn("settled", F.col("apart").isNull())
+    hosts = marked.withColumn("j", over("pieces"))
+    guests = marked.where("apart").withColumn("j", F.pmod(F.xxhash64("node", F.lit(1)), "pieces").cast("int"))
+    guests = guests.withColumn("other", over("blocks")).where("other <> i").withColumn("i", F.col("other"))
+    second = _forests(hosts.select(columns).unionAll(guests.select(columns)), shards(total))
+    return links.unionAll(second.where("NOT open").select("a", "b"))
 
 
 def _shingles(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from docketry.llm import nearcopies
 from docketry.llm.common import load
@@ -34,7 +35,7 @@ def test_table_equals_brute_force(spark):
     assert got == want
 
 
-@pytest.mark.parametrize("bounds", [(8192, 1 << 21), (5, 400)])
+@pytest.mark.parametrize("bounds", [(4096, 1 << 19), (5, 400)])
 def test_copies_of_one_text(spark, monkeypatch, bounds):
     """Copies that are near the first text, not near each other; with small blocks too."""
     monkeypatch.setattr(nearcopies, "BLOCK_ROWS", bounds[0])
@@ -67,3 +68,25 @@ def test_forest_links_only_what_is_similar():
     lanes = np.zeros((3, 96), np.uint8)
     assert nearcopies.forest(lanes).tolist() == [0, 0, 0]
     assert nearcopies.forest(lanes, sets).tolist() == [0, 0, 2]
+
+
+def test_forest_keeps_what_is_connected():
+    sets = [np.arange(k, k + 100, dtype=np.int64) for k in (0, 500, 510, 900)]
+    assert nearcopies.forest(np.zeros((4, 96), np.uint8), sets, 2).tolist() == [0, 0, 0, 3]
+
+
+def test_large_group_in_blocks(spark):
+    """A group in many blocks: a chain, whose rows are near their neighbours only, and copies of one text."""
+    rng = np.random.default_rng(4)
+    rows = [(int(n), [int(x) for x in range(10 * k, 10 * k + 100)]) for k, n in enumerate(rng.choice(10**6, 40, replace=False))]
+    for n in rng.choice(10**6, 60, replace=False) + 10**6:
+        rows.append((int(n), sorted({*range(5000, 5100)} - {int(x) for x in rng.integers(5000, 5100, 5)})))
+    rows += [(3 * 10**6 + n, list(range(10**4 * n, 10**4 * n + 50))) for n in range(1, 8)]
+    frame = spark.createDataFrame([(7, n, len(s), bytes(96), s) for n, s in rows], "key long, node long, n long, lanes binary, shingles array<long>")
+    links = nearcopies._linked(frame, F.col("n"), 700).collect()
+    group = {n: n for n, _ in rows}
+    for link in links:
+        a, b = group[link.a], group[link.b]
+        group = {n: b if g == a else g for n, g in group.items()}
+    got = sorted(sorted(n for n in group if group[n] == g) for g in set(group.values()))
+    assert got == sorted([sorted(n for n, _ in rows[:40]), sorted(n for n, _ in rows[40:100]), *([n] for n, _ in rows[100:])])
