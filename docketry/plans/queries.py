@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docketry.functions import dates, text
@@ -15,6 +15,8 @@ from docketry.streaming import watch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+#: Turn numbers in a block; a block is what one task numbers.
+BLOCK_TURNS = 1024
 
 
 def query(sql: str | None = None, model: bool = False):
@@ -292,11 +294,25 @@ def web_projection(c: Collection) -> DataFrame:
     return web.projected(c.table("pages"))
 
 
-def _exports(c: Collection) -> DataFrame:
-    message = F.struct(F.col("turn").cast("string").alias("id"), "role", F.lit("someone").alias("author"), F.lit("unknown").alias("date"), F.col("text").alias("content"))
-    rows = c.table("conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", message.alias("m")))).alias("all"))
-    body = F.to_json(F.struct(F.lit("conversation-v1").alias("format"), F.col("conv_id").cast("string").alias("conversation_id"), F.lit("t").alias("title"), F.col("all.m").alias("messages")))
-    return rows.select(F.concat(F.lit("c"), "conv_id").alias("path"), body.alias("body"))
+def _messages(c: Collection) -> DataFrame:
+    """All turns of all conversations, described as messages.
+
+    No export is put together, whose size would be limited. Turns are numbered in blocks of turn
+    numbers, so a conversation of any length spreads over tasks.
+    """
+    block = F.coalesce(F.floor(F.col("turn") / BLOCK_TURNS), F.lit((1 << 63) - 1))
+    rows = c.table("conversations").select("conv_id", "turn", "role", "text", block.alias("block"))
+    blocks = rows.groupBy(F.col("conv_id").alias("c"), F.col("block").alias("b")).count()
+    before = F.sum("count").over(Window.partitionBy("c").orderBy("b").rowsBetween(Window.unboundedPreceding, -1))
+    within = Window.partitionBy("conv_id", "block").orderBy(F.col("turn").asc_nulls_last(), "role", "text")
+    rows = rows.withColumn("n", F.row_number().over(within)).join(blocks.select("c", "b", F.coalesce(before, F.lit(0)).alias("before")), [F.col("conv_id").eqNullSafe(F.col("c")), F.col("block") == F.col("b")])
+    turn = F.col("turn").cast("string")
+    return conversation.described(
+        rows.select(
+            F.concat(F.lit("c"), "conv_id").alias("path"), F.col("conv_id").cast("string").alias("session"), (F.col("before") + F.col("n")).cast("int").alias("position"), turn.alias("id"),
+            "role", F.lit("someone").alias("author"), F.lit("unknown").alias("date"), F.col("text").alias("content"), F.lit(None).cast("string").alias("left_out"),
+        )
+    )
 
 
 @query(
@@ -304,7 +320,7 @@ def _exports(c: Collection) -> DataFrame:
     CASE role WHEN 'user' THEN 'user_message' WHEN 'assistant' THEN 'assistant_message' WHEN 'system' THEN 'system_message' ELSE 'unknown_message' END AS channel, text FROM conversations"""
 )
 def conversation_messages(c: Collection) -> DataFrame:
-    return conversation.messages(_exports(c)).select("session", "message", "position", "role", "date", "channel", "text")
+    return _messages(c).select("session", "message", "position", "role", "date", "channel", "text")
 
 
 @query(
@@ -313,7 +329,7 @@ def conversation_messages(c: Collection) -> DataFrame:
     || CASE role WHEN 'user' THEN 'user_message' WHEN 'assistant' THEN 'assistant_message' WHEN 'system' THEN 'system_message' ELSE 'unknown_message' END || '] ' || replace(replace(text, chr(13), '\\r'), chr(10), '\\n') AS line FROM conversations"""
 )
 def conversation_lines(c: Collection) -> DataFrame:
-    return conversation.located(conversation.messages(_exports(c)))
+    return conversation.located(_messages(c))
 
 
 @query("""SELECT 'm' || event_id AS path, s AS "start", least(s + 30000, d) AS "end" FROM (SELECT event_id, d, unnest(generate_series(0, d - 1, 30000)) AS s FROM (SELECT event_id, (event_id % 7) * 25000 AS d FROM events) WHERE d > 0)""")

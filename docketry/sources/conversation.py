@@ -51,23 +51,38 @@ def urls(column: Column) -> Column:
 def messages(exports: DataFrame) -> DataFrame:
     """Messages of JSON exports (path, body): session, message, position, role, author, date, channel, text, gap.
 
-    At most MAX_MESSAGES a conversation; of equal ids the first stays; a message without usable
-    content has a gap and no text. Unknown roles, dates and authors are "unknown".
+    At most MAX_MESSAGES a conversation, none of an export over MAX_BYTES; a row without message and
+    text says so in its gap, at the position where reading ended. Of equal ids the first stays; a
+    message without usable content has a gap and no text. Unknown roles, dates and authors are "unknown".
     """
-    read = exports.where(F.octet_length("body") <= MAX_BYTES).select("path", F.from_json("body", EXPORT).alias("e")).where(F.endswith(F.col("e.format"), F.lit(FORMAT)) & (F.trim("e.conversation_id") != ""))
-    rows = read.select("path", F.col("e.conversation_id").alias("session"), F.posexplode(F.slice("e.messages", 1, MAX_MESSAGES)).alias("at", "m"))
-    named = F.when(F.trim("m.id") != "", F.col("m.id"))
-    rows = rows.select("path", "session", (F.col("at") + 1).alias("position"), "m", F.coalesce(named, F.concat(F.lit("entry-"), (F.col("at") + 1).cast("string"))).alias("message"), named.isNull().alias("unnamed"))
+    over = F.octet_length("body") > MAX_BYTES
+    read = exports.select("path", over.alias("over"), F.from_json(F.when(~over, F.col("body")), EXPORT).alias("e"))
+    read = read.where(F.col("over") | F.endswith(F.col("e.format"), F.lit(FORMAT)) & (F.trim("e.conversation_id") != ""))
+    some = F.slice("e.messages", 1, MAX_MESSAGES + 1)
+    rows = read.select("path", "over", F.col("e.conversation_id").alias("session"), F.size("e.messages").alias("n"), F.posexplode(F.when(F.col("over"), F.array(F.get(some, F.lit(0)))).otherwise(some)).alias("at", "m"))
+    left_out = F.when(F.col("over"), F.lit(f"export over {MAX_BYTES} bytes, no message read")).when(F.col("at") == MAX_MESSAGES, F.concat(F.lit(f"only the first {MAX_MESSAGES} of "), F.col("n").cast("string"), F.lit(" messages read")))
+    empty = F.lit(None).cast("string")
+    return described(rows.select("path", "session", (F.col("at") + 1).alias("position"), *(F.when(left_out.isNull(), F.col(f"m.{k}")).otherwise(empty).alias(k) for k in ("id", "role", "author", "date", "content")), left_out.alias("left_out")))
+
+
+def described(rows: DataFrame) -> DataFrame:
+    """The columns of messages(), without its limits: a row per row (path, session, position, id, role, author, date, content, left_out).
+
+    left_out, null for a message, is the gap of a row that stands for what was not read.
+    """
+    named = F.when(F.trim("id") != "", F.col("id"))
+    message = F.when(F.col("left_out").isNull(), F.coalesce(named, F.concat(F.lit("entry-"), F.col("position").cast("string"))))
+    rows = rows.withColumns({"message": message, "unnamed": named.isNull()})
     first = F.min("position").over(Window.partitionBy("path", "session", "message"))
     rows = rows.withColumn("repeated", F.col("position") > first)
-    known = F.col("m.role").isin(*CHANNELS)
-    dated = F.when(F.col("m.date").rlike(_RFC) & F.try_to_timestamp(F.upper("m.date")).isNotNull(), F.col("m.date"))
-    supplied = F.col("m.date").isNotNull() & ~F.col("m.date").isin("", "unknown")
-    gap = F.concat_ws("; ", F.when(F.col("repeated"), "duplicate identity"), F.when(F.col("unnamed"), "no identity"), F.when(F.col("m.content").isNull(), "no text"), F.when(~F.coalesce(known, F.lit(False)), "unsupported role"), F.when(supplied & dated.isNull(), "malformed date"))
-    role = F.when(known, F.col("m.role")).otherwise("unknown")
+    known = F.col("role").isin(*CHANNELS)
+    dated = F.when(F.col("date").rlike(_RFC) & F.try_to_timestamp(F.upper("date")).isNotNull(), F.col("date"))
+    supplied = F.col("date").isNotNull() & ~F.col("date").isin("", "unknown")
+    gap = F.concat_ws("; ", F.when(F.col("repeated"), "duplicate identity"), F.when(F.col("unnamed"), "no identity"), F.when(F.col("content").isNull(), "no text"), F.when(~F.coalesce(known, F.lit(False)), "unsupported role"), F.when(supplied & dated.isNull(), "malformed date"))
+    role = F.when(known, F.col("role")).otherwise("unknown")
     return rows.select(
-        "path", "session", "message", "position", role.alias("role"), F.coalesce("m.author", F.lit("unknown")).alias("author"), F.coalesce(dated, F.lit("unknown")).alias("date"),
-        channel(role).alias("channel"), F.when(~F.col("repeated"), F.col("m.content")).alias("text"), F.when(gap != "", gap).alias("gap"),
+        "path", "session", "message", "position", role.alias("role"), F.coalesce("author", F.lit("unknown")).alias("author"), F.coalesce(dated, F.lit("unknown")).alias("date"),
+        channel(role).alias("channel"), F.when(~F.col("repeated"), F.col("content")).alias("text"), F.coalesce("left_out", F.when(gap != "", gap)).alias("gap"),
     )
 
 
@@ -104,7 +119,7 @@ def located(found: DataFrame) -> DataFrame:
     ship(found.sparkSession)
     text = F.replace(F.replace("text", F.lit("\r"), F.lit("\\r")), F.lit("\n"), F.lit("\\n"))
     parts = [("session", F.col("session").cast("string")), ("message", F.col("message").cast("string")), ("order", F.col("position").cast("string")), ("role", F.col("role")), ("author", F.col("author")), ("date", F.col("date")), ("channel", F.col("channel"))]
-    locator = F.concat_ws("; ", *(F.concat(F.lit(f"{k}="), v if k in ("order", "channel") else percent_encoded(v)) for k, v in parts))
+    locator = F.when(F.col("session").isNotNull(), F.concat_ws("; ", *(F.concat(F.lit(f"{k}="), v if k in ("order", "channel") else percent_encoded(v)) for k, v in parts)))
     return found.where("text IS NOT NULL").select("path", "position", F.concat(F.lit("[CONVERSATION "), locator, F.lit("] "), text).alias("line"))
 
 

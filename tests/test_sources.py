@@ -4,6 +4,7 @@ import zipfile
 from email.message import EmailMessage
 
 from docketry.operators import formation, reconcile
+from docketry.plans import queries
 from docketry.sources import conversation, files, web
 from docketry.streaming import watch
 
@@ -31,6 +32,28 @@ def test_conversation_export(spark):
     assert conversation.parse_located(lines[0]["line"].replace("role=", "session=", 1)) is None
 
 
+def test_conversation_export_limits(spark):
+    def body(n, text):
+        return json.dumps({"format": "conversation-v1", "conversation_id": "c", "messages": [{"id": f"m{k}", "role": "user", "content": text} for k in range(n)]})
+
+    exports = spark.createDataFrame([("long", body(1003, "x")), ("large", body(9, "x" * (1 << 20))), ("full", body(1000, "x"))], "path string, body string")
+    rows = conversation.messages(exports).collect()
+    assert {p: sum(r["path"] == p and r["text"] is not None for r in rows) for p in ("long", "large", "full")} == {"long": 1000, "large": 0, "full": 1000}
+    assert sorted((r["path"], r["session"], r["message"], r["position"], r["gap"]) for r in rows if r["gap"]) == [
+        ("large", None, None, 1, "export over 8388608 bytes, no message read"), ("long", "c", None, 1001, "only the first 1000 of 1003 messages read"),
+    ]
+
+
+def test_registered_conversations_have_no_limits(spark, tmp_path):
+    """A conversation of 2500 turns, and one of over 8 MiB."""
+    turns = [(1, t, ("user", "assistant")[t % 2], f"turn {t}") for t in range(2500)] + [(2, t, "user", f"{t}" + "x" * (1 << 20)) for t in range(9)]
+    spark.createDataFrame(turns[::-1], "conv_id long, turn long, role string, text string").repartition(5).write.parquet(str(tmp_path / "conversations.parquet"))
+    rows = queries.QUERIES["conversation_messages"](spark, str(tmp_path)).collect()
+    assert sorted((int(r["session"]), r["position"], r["message"], r["text"]) for r in rows) == [(c, t + 1, str(t), x) for c, t, _, x in turns]
+    lines = queries.QUERIES["conversation_lines"](spark, str(tmp_path)).collect()
+    assert sorted((r["path"], r["position"], conversation.parse_located(r["line"])["text"]) for r in lines) == [(f"c{c}", t + 1, x) for c, t, _, x in turns]
+
+
 def test_rollout(spark):
     def line(n, kind, **payload):
         return ("p", n, json.dumps({"timestamp": "2024-05-17T10:00:00Z", "type": kind, "payload": payload}))
