@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docketry.session import durable, shared_dir, ship
 
-__all__ = ["crc_mod", "durable", "load", "scratch_dir", "shared_dir", "small_batches", "spare", "table_rows"]
+__all__ = ["crc_mod", "durable", "load", "scratch_dir", "shared_dir", "small_batches", "spare", "table_rows", "text_digest"]
 
 #: Rows in an Arrow batch. Texts can be long; a batch of default size could outgrow a worker.
 BATCH_ROWS = 256
@@ -43,6 +43,11 @@ def spare(frame: DataFrame, base: str) -> str:
     return name
 
 
+def text_digest(text_col: str) -> Column:
+    """SHA-256 of the text, by which a decision about a text finds its rows again; null counts as empty text."""
+    return F.unhex(F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), 256))
+
+
 def crc_mod(column: Column | str, n: int) -> Column:
     """crc32 of the value's decimal text, modulo n (null counts as empty text)."""
     value = F.col(column) if isinstance(column, str) else column

@@ -17,10 +17,11 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, spare, text_digest
 from .simhash import _LOWER, shingle_hashes
 
 WIDTH, THRESHOLD = 5, 0.8
@@ -88,18 +89,10 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     documents or items give equal rows each. Empty tables give no rows. The benchmark is taken in
     blocks of bounded size, each broadcast for one pass over the documents.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text).cast("string").alias("text"))
-    total = items.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    blocks = 1 + total // block_bytes
     schema = "doc_id long, item_id long, n_shingles int, n_shared int"
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     found = None
-    for block in range(blocks):
-        # A row's share of a block is chosen by hash, so blocks stay near block_bytes.
-        rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == block).collect()
-        sketches = spark.sparkContext.broadcast([(r["id"], r["text"]) for r in rows])
+    for sketches in _blocks(benchmark, item_col, item_text, block_bytes):
 
         def each(batches: Iterator[pa.RecordBatch], sketches=sketches) -> Iterator[pa.RecordBatch]:
             known = Sketches(sketches.value, threshold, width)
@@ -114,10 +107,35 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     return found.withColumn("containment", F.col("n_shared") / F.col("n_shingles"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that hold no item."""
-    held = contaminations(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("__held")).distinct()
-    return docs.join(held, docs[id_col].cast("long").eqNullSafe(F.col("__held")), "left_anti")
+def _blocks(benchmark: DataFrame, item_col: str, item_text: str, block_bytes: int) -> Iterator[Broadcast]:
+    """The benchmark's (item_id, text) in blocks of bounded size, each broadcast."""
+    spark = benchmark.sparkSession
+    small_batches(spark)
+    items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text).cast("string").alias("text"))
+    total = items.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    blocks = 1 + total // block_bytes
+    for block in range(blocks):
+        # A row's share of a block is chosen by hash, so blocks stay near block_bytes.
+        rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == block).collect()
+        yield spark.sparkContext.broadcast([(r["id"], r["text"]) for r in rows])
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs, with all their columns, that hold no item: each is judged by its own text. id_col is not read."""
+    name = spare(docs, "held")
+    narrow = docs.select(text_digest(text_col).alias(name), F.col(text_col).cast("string").alias("text"))
+    held = None
+    for sketches in _blocks(benchmark, item_col, item_text, block_bytes):
+
+        def each(batches: Iterator[pa.RecordBatch], sketches=sketches) -> Iterator[pa.RecordBatch]:
+            known = Sketches(sketches.value)
+            for batch in batches:
+                hit = pa.array([bool(known.held_by(t)) for t in batch.column(1).to_pylist()], pa.bool_())
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(hit)], [name])
+
+        part = narrow.mapInArrow(each, f"{name} binary")
+        held = part if held is None else held.unionAll(part)
+    return docs.join(held.distinct(), text_digest(text_col) == F.col(name), "left_anti")
 
 
 def _side(table: str, key: str) -> str:

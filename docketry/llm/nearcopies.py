@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, small_batches
+from .common import durable, small_batches, text_digest
 from .simhash import _Forest, close_links, components, keep_first, shingle_hashes, simhash
 
 WIDTH, SIMILARITY, RADIUS = 5, 0.8, 2
@@ -54,7 +54,7 @@ def _node(distinct: np.ndarray) -> int:
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, node, n, bands, lanes): a row per row of docs.
+    """(doc_id, digest, fp, node, n, bands, lanes): a row per row of docs.
 
     node is a hash of the set of n distinct shingles; null and blank texts have none, node 0 and
     no bands. Texts with fewer words than a shingle have one shingle, their words.
@@ -74,13 +74,13 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 bands.append(np.array([xxhash.xxh64_intdigest(r.tobytes(), b) for b, r in enumerate(rows)], np.uint64).view(np.int64))
                 lanes.append((least >> np.uint64(56)).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(lanes, pa.binary())],
-                ["doc_id", "fp", "node", "n", "bands", "lanes"],
+                [batch.column(0), batch.column(2), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(lanes, pa.binary())],
+                ["doc_id", "digest", "fp", "node", "n", "bands", "lanes"],
             )
 
     small_batches(docs.sparkSession)
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return narrow.mapInArrow(each, "doc_id long, fp long, node long, n long, bands array<long>, lanes binary")
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), text_digest(text_col).alias("digest"))
+    return narrow.mapInArrow(each, "doc_id long, digest binary, fp long, node long, n long, bands array<long>, lanes binary")
 
 
 def _order(lanes: np.ndarray) -> np.ndarray:
@@ -207,8 +207,13 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     texts among them), fingerprints of at most RADIUS differing bits, and similarities of at least
     SIMILARITY. An empty table gives no rows.
     """
+    return _grouped(docs, id_col, text_col).select("doc_id", F.col("kept.doc_id").alias("component_id"))
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, digest, kept): a row per row of docs whose id is not null, with its group's smallest (doc_id, digest)."""
     of_doc = durable(sketches(docs.where(F.col(id_col).isNotNull()), id_col, text_col))
-    nodes = durable(of_doc.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("lanes").alias("lanes")))
+    nodes = durable(of_doc.groupBy("node").agg(F.min(F.struct("doc_id", "digest")).alias("first"), F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("lanes").alias("lanes")))
 
     by_fp = durable(of_doc.groupBy("fp").agg(F.min("node").alias("rep")))
     same_fp = of_doc.join(by_fp, "fp").select(F.col("node").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct()
@@ -223,13 +228,13 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     verified = _linked(durable(_shingles(docs, wanted, id_col, text_col)), F.col("n"), BLOCK_SHINGLES)
 
     joined = durable(components(same_fp.unionAll(near_fp).unionAll(verified)))
-    linked = nodes.select("node", "least").join(joined.withColumnRenamed("fp", "node"), "node")
-    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    moved = linked.join(least, "root").select("node", "component_id")
-    kept = durable(nodes.select("node", "least").join(moved, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id")))
-    return of_doc.select("doc_id", "node").join(kept, "node").select("doc_id", "component_id")
+    linked = nodes.select("node", "first").join(joined.withColumnRenamed("fp", "node"), "node")
+    least = linked.groupBy("root").agg(F.min("first").alias("kept"))
+    moved = linked.join(least, "root").select("node", "kept")
+    kept = durable(nodes.select("node", "first").join(moved, "node", "left").select("node", F.coalesce("kept", "first").alias("kept")))
+    return of_doc.select("doc_id", "digest", "node").join(kept, "node").select("doc_id", "digest", "kept")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, with all columns, without all but the smallest id of each group; rows with null ids stay."""
-    return keep_first(docs, near_copies(docs, id_col, text_col), id_col, text_col)
+    """docs, with all columns, with one row of each group, of the smallest id and then the smallest text digest; rows with null ids stay."""
+    return keep_first(docs, _grouped(docs, id_col, text_col), id_col, text_col)

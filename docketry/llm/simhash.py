@@ -20,10 +20,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, small_batches, spare
+from .common import durable, small_batches, spare, text_digest
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _ONES = np.uint64(0x0101010101010101)
@@ -67,8 +67,8 @@ def simhash(hashes: np.ndarray) -> int:
     return int(np.packbits((2 * counts.reshape(64) > n).astype(np.uint8), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """(doc_id, fp): one row per row of docs, the fingerprint as a signed 64-bit integer.
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, keyed: bool = False) -> DataFrame:
+    """(doc_id, fp): one row per row of docs, the fingerprint as a signed 64-bit integer; with `keyed` also the text's digest.
 
     Null and blank texts have fingerprint 0. Other columns of docs are not read.
     """
@@ -76,11 +76,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([simhash(shingle_hashes(t, width)) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", *["digest"] * keyed])
 
     small_batches(docs.sparkSession)
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return narrow.mapInArrow(each, "doc_id long, fp long")
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[text_digest(text_col).alias("digest")] * keyed)
+    return narrow.mapInArrow(each, "doc_id long, fp long" + ", digest binary" * keyed)
 
 
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -262,33 +262,44 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     an empty table gives no rows.
     """
     of_doc = durable(fingerprints(docs, id_col, text_col, width))
-    distinct = durable(of_doc.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    return _grouped(of_doc, F.col("doc_id"), radius).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("kept").alias("component_id"))
+
+
+def _grouped(of_doc: DataFrame, value: Column, radius: int) -> DataFrame:
+    """of_doc (fp, ...) with kept, the smallest value in each row's component."""
+    distinct = durable(of_doc.groupBy("fp").agg(F.min(value).alias("least")))
     joined = durable(components(close_links(distinct, radius)))
     linked = distinct.join(joined, "fp")
-    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = distinct.join(linked.join(least, "root").select("fp", "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return of_doc.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    least = linked.groupBy("root").agg(F.min("least").alias("kept"))
+    by_fp = distinct.join(linked.join(least, "root").select("fp", "kept"), "fp", "left").select("fp", F.coalesce("kept", "least").alias("kept"))
+    return of_doc.join(by_fp, "fp")
 
 
 def keep_first(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows whose id is not its component's; found has (doc_id, component_id).
+    """docs without the rows that are not their component's kept one; found has (doc_id, digest, kept), a
+    row per row of docs whose id is not null, kept being a (doc_id, digest).
 
-    Rows that repeat both id and text are reduced to one.
+    Each row is judged by its id and text. Rows that repeat both are reduced to one; rows with null ids stay.
     """
-    name = spare(docs, "copy")
-    counted = durable(found.groupBy("doc_id").agg(F.min("component_id").alias("kept"), F.count("*").alias("n")).where("doc_id <> kept OR n > 1"))
-    copies = counted.where("doc_id <> kept").select(F.col("doc_id").alias(name))
-    left = docs.join(copies, docs[id_col].cast("long") == F.col(name), "left_anti")
-    repeated = counted.where("doc_id = kept").select(F.col("doc_id").alias(name))
+    id_name, text_name = spare(docs, "copy"), spare(docs, "copy_digest")
+    counted = found.groupBy("doc_id", "digest").agg(F.first("kept").alias("kept"), F.count("*").alias("n"))
+    counted = counted.select(F.col("doc_id").alias(id_name), F.col("digest").alias(text_name), "n", ((F.col("kept.doc_id") == F.col("doc_id")) & (F.col("kept.digest") == F.col("digest"))).alias("stays"))
+    counted = durable(counted.where("NOT stays OR n > 1"))
+    copies, repeated = (counted.where(which).select(id_name, text_name) for which in ("NOT stays", "stays"))
+    same = (F.col(id_col).cast("long") == F.col(id_name)) & (text_digest(text_col) == F.col(text_name))
+    left = docs.join(copies, same, "left_anti")
     if repeated.isEmpty():
         return left
-    same = left[id_col].cast("long") == F.col(name)
-    return left.join(repeated, same, "left_anti").unionAll(left.join(repeated, same, "left_semi").dropDuplicates([id_col, text_col]))
+    keyed = left.withColumns({id_name: F.col(id_col).cast("long"), text_name: text_digest(text_col)})
+    one = keyed.join(repeated, [id_name, text_name], "left_semi").dropDuplicates([id_name, text_name])
+    return left.join(repeated, same, "left_anti").unionAll(one.select(*docs.columns))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2) -> DataFrame:
-    """docs without all but the smallest id of each component, with all columns.
+    """docs with one row of each component, of the smallest id and then the smallest text digest, with all columns.
 
     Rows with null ids stay. Rows that repeat both id and text are reduced to one.
     """
-    return keep_first(docs, near_duplicates(docs, id_col, text_col, width, radius).where("doc_id IS NOT NULL"), id_col, text_col)
+    of_doc = durable(fingerprints(docs, id_col, text_col, width, keyed=True))
+    value = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "digest"))
+    return keep_first(docs, _grouped(of_doc, value, radius).where("doc_id IS NOT NULL"), id_col, text_col)

@@ -6,7 +6,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from docketry.llm import chat, decontaminate, mixing, pii, quality, simhash, tokens, toxicity, warc, winnow
+from docketry.llm import chat, decontaminate, mixing, nearcopies, pii, quality, simhash, tokens, toxicity, warc, winnow
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, FP string"
 
@@ -111,6 +111,29 @@ def test_decontamination_equals_brute_force(spark, odd):
     assert decontaminate.contaminations(frame, bench.limit(0)).count() == 0
 
 
+def test_clean_judges_each_row_by_its_own_text(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
+    rows = [(None, f"a {item}", 1), (None, "clean one", 2), (5, f"b {item}", 3), (5, "clean two", 4), (6, None, 5), (7, f"a {item}", 6), (8, "", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held int")
+    bench = spark.createDataFrame([(1, item), (2, "one two three four five six")], "item_id long, text string")
+    for block in (1 << 20, 40):
+        left = decontaminate.clean(docs, bench, block_bytes=block)
+        assert left.columns == docs.columns and sorted(r.held for r in left.collect()) == [2, 4, 5, 7]
+
+
+def test_keep_one_judges_each_row_by_its_own_text(spark):
+    """One id on a copy and on another text, and one id on two near copies."""
+    rng = np.random.default_rng(6)
+    a, b, c = (" ".join(f"w{n}" for n in rng.integers(0, 10**6, 80)) for _ in range(3))
+    rows = [(2, a, 1), (5, a, 2), (5, b, 3), (9, b, 4), (11, c, 5), (11, c.upper(), 6), (12, c, 7), (None, b, 8), (None, b, 9), (20, None, 10), (20, "", 11), (20, "", 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row int")
+    for keep in (simhash.keep_one, nearcopies.keep_one):
+        left = keep(docs)
+        assert left.columns == docs.columns
+        kept = {r.row for r in left.collect()}
+        assert kept & {1, 2, 3, 4, 7, 8, 9} == {1, 3, 8, 9} and len(kept & {5, 6}) == 1 and len(kept & {10, 11, 12}) == 1 and len(kept) == 6
+
+
 def test_rules_and_lexicon(spark):
     rng = np.random.default_rng(0)
     x = rng.random((600, len(quality.STATISTICS)))
