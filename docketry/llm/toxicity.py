@@ -26,7 +26,7 @@ from .common import small_batches, spare, table_rows
 TRAIN_ROWS, TRAIN_CHARS = 6000, 100_000
 #: Lengths of stems.
 STEMS = range(4, 11)
-#: Terms and exception phrases kept, the heaviest first.
+#: Terms kept, the heaviest first. Exception phrases are all kept; the training sample bounds them.
 MAX_TERMS = 2000
 
 # Letters that look like Latin ones, and digits and signs that stand for letters.
@@ -80,7 +80,7 @@ class Model:
         return built
 
     def weight(self, word: str) -> float:
-        return self.terms.get(word, 0.0) + sum(self.terms.get(f"{word[:k]}*", 0.0) for k in STEMS)
+        return self.terms.get(word, 0.0) + sum(self.terms.get(f"{word[:k]}*", 0.0) for k in STEMS if k <= len(word))
 
     def features(self, folded: str, automaton) -> tuple[float, float]:
         total = max(0.0, sum(w for _, w in automaton.iter(folded))) if len(automaton) else 0.0
@@ -133,7 +133,7 @@ def fit(texts: list[str | None], toxic: list[int]) -> Model:
                 for phrase in {" ".join(words[max(0, i - 1) : i + 1]), " ".join(words[i : i + 2])}:
                     if " " in phrase:
                         seen[phrase][label] += 1
-    exceptions = tuple(sorted(p for p, (clean, hit) in seen.items() if clean >= 8 and hit <= 0.15 * clean)[:MAX_TERMS])
+    exceptions = tuple(sorted(p for p, (clean, hit) in seen.items() if clean >= 8 and hit <= 0.15 * clean))
     model = Model(terms, exceptions)
     automaton = model.automaton()
     x = np.array([[1.0, *model.features(t, automaton)] for t in folded])

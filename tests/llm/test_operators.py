@@ -273,3 +273,17 @@ def test_token_cache(spark, odd, tmp_path):
     count = tokens.encoder(open(path).read())
     text = "some words 12 and 34, more " * 60_000
     assert count(text) == len(tokenizer.encode(text, add_special_tokens=False).ids)
+
+
+def test_toxicity_exceptions_cancel_their_terms_once():
+    model = toxicity.Model({"kill*": 2.0, "hate": 3.0}, ("kill time",))
+    automaton = model.automaton()
+    assert model.features(toxicity.fold("kill time"), automaton)[0] == 0
+    assert model.features(toxicity.fold("hate, kill time"), automaton)[0] == pytest.approx(np.log1p(3))
+
+
+def test_toxicity_keeps_all_exceptions(monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_TERMS", 1)
+    toxic = [f"vile {chr(97 + n % 26)}{chr(97 + n // 26)}person" for n in range(40)]
+    clean = ["vile aroma"] * 8 + ["vile weather"] * 9 + ["fine day"] * 300
+    assert toxicity.fit(toxic + clean, [1] * len(toxic) + [0] * len(clean)).exceptions == ("vile aroma", "vile weather")
