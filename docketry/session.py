@@ -58,7 +58,15 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def durable(frame: DataFrame) -> DataFrame:
-    """The frame, written once to the shared folder; its lineage ends there."""
+#: Rows of a few numbers each that one file of a small table holds.
+FILE_ROWS = 1 << 18
+
+
+def durable(frame: DataFrame, rows: int | None = None) -> DataFrame:
+    """The frame, written once to the shared folder; its lineage ends there.
+
+    With `rows`, an upper bound of the frame's rows, it is written to no more files than such rows
+    need. Small tables then cost a few files and tasks instead of one for each shuffle partition.
+    """
     shared_dir(frame.sparkSession)
-    return frame.checkpoint()
+    return (frame if rows is None else frame.coalesce(max(1, -(-rows // FILE_ROWS)))).checkpoint()
