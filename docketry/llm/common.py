@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docketry.session import durable, shared_dir, ship
 
-__all__ = ["crc_mod", "durable", "load", "scratch_dir", "shared_dir", "small_batches", "spare", "table_rows", "text_digest"]
+__all__ = ["crc_mod", "durable", "load", "qualified", "scratch_dir", "shared_dir", "small_batches", "spare", "table_rows", "tasks", "text_digest"]
 
 #: Rows in an Arrow batch. Texts can be long; a batch of default size could outgrow a worker.
 BATCH_ROWS = 256
@@ -19,17 +19,31 @@ SPACE = "\x20\x09-\x0d"
 
 
 def scratch_dir(spark: SparkSession, what: str) -> str:
-    """A new path below the shared folder."""
+    """A new path below the shared folder. What is written there stays until that folder is cleared."""
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """For Python stages: bounded Arrow batches, and this package on the executors."""
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with scheme and authority, as Spark's own readers and writers take it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
+def small_batches(spark: SparkSession) -> None:
+    """For Python stages: bounded Arrow batches, and this package on the executors.
+
+    Spark reads the bounds from the session when a frame runs, so they are set there and stay set.
+    """
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
 
 
+def tasks(spark: SparkSession, size: int, each: int) -> int:
+    """Tasks for work of a size, of which a task takes `each` or more: at most as many as Spark shuffles to."""
+    return max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // each)))
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

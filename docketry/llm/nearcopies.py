@@ -6,11 +6,9 @@ bits apart, where no bound of such a tree prunes; they are found by min-hash ban
 
 Candidates: 24 bands of 4 min-hashes. A pair at 0.8 misses all bands with a probability of 3e-6.
 Pairs that share a band and agree in at least 60 of 96 lanes are candidates; their components are
-found first, so each text's shingles travel once, to the verification of its own component. Groups
-beyond a bound are dealt to blocks, each with one text of the group as its hub. Texts that blocks
-connect to the hub are connected; only the others, few where a group is copies of one text, are
-compared with all other blocks. No task holds more than two blocks, and no pair that could add a
-link is left out. What tasks return are spanning forests, never all pairs.
+found first, so each text's shingles travel once, to the verification of its own component. Both
+steps go through `groups`: no task holds more than two blocks of a group, and no pair that could
+add a link is left out.
 """
 
 from __future__ import annotations
@@ -18,23 +16,23 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable, small_batches, text_digest
-from .simhash import _Forest, close_links, components, keep_first, shingle_hashes, simhash
+from .groups import Forest, linked
+from .simhash import close_links, components, keep_first, shingle_hashes, simhash
 
 WIDTH, SIMILARITY, RADIUS = 5, 0.8, 2
 BANDS, BAND_LANES = 24, 4
 #: Lanes that a candidate pair must share: at 0.8, 5e-6 of the pairs share fewer.
 LEAST_LANES = 60
-#: What a task holds at once of one group: band members, and shingles.
-BLOCK_ROWS, BLOCK_SHINGLES = 4096, 1 << 19
-#: Small groups share tasks, so many to the bound of one, for tasks of like size.
-SHARDS_PER_BLOCK = 4
+#: What a block of a group holds: band members, and shingles.
+BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 18
+#: A row of nodes has 24 bands and 96 lanes, so many times what a row of a small table has.
+WIDE = 12
 
 _random = np.random.default_rng(42)
 _FACTORS = _random.integers(0, 1 << 63, BANDS * BAND_LANES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -96,7 +94,7 @@ def forest(lanes: np.ndarray, sets: list[np.ndarray] | None = None, joined: int
 
     The first `joined` rows are known to be connected. Pairs already connected are not looked at.
     """
-    found, order = _Forest(len(lanes)), _order(lanes)
+    found, order = Forest(len(lanes)), _order(lanes)
     found.parent[:joined] = 0
     for at, mine in enumerate(order[:-1]):
         rest = order[at + 1 :]
@@ -121,83 +119,26 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return shared >= SIMILARITY * (len(a) + len(b) - shared) - 1e-9
 
 
-def _forests(dealt: DataFrame, shards: int) -> DataFrame:
-    """(a, b, key, open) of each group of equal key, i, j: its forest's links, and, if some of its
-    rows are `settled` (known to be connected), a row (node, node) for each that is not connected to them."""
-    with_sets = "shingles" in dealt.columns
-
-    def within(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["key", "i", "j", "settled", "node"], ascending=[True, True, True, False, True], kind="stable")
-        keys = part[["key", "i", "j"]].to_numpy()
-        starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
-        nodes, settled, all_lanes = part["node"].to_numpy(), part["settled"].to_numpy(bool), part["lanes"].to_list()
-        shingles = part["shingles"].to_list() if with_sets else None
-        out: list[tuple] = []
-        for start, end in zip(starts, [*starts[1:], len(part)], strict=True):
-            lanes = np.frombuffer(b"".join(all_lanes[start:end]), np.uint8).reshape(end - start, -1)
-            own, joined = nodes[start:end], int(settled[start:end].sum())
-            roots = forest(lanes, [np.asarray(s) for s in shingles[start:end]] if with_sets else None, joined)
-            # Settled rows come first, so a tree that has one has one as its root.
-            moved = joined + np.flatnonzero(roots[joined:] != np.arange(joined, end - start))
-            out.append((own[moved], own[roots[moved]], np.full(len(moved), keys[start, 0]), np.zeros(len(moved), bool)))
-            if joined:
-                free = np.flatnonzero(roots != 0)
-                out.append((own[free], own[free], np.full(len(free), keys[start, 0]), np.ones(len(free), bool)))
-        return pd.DataFrame(dict(zip(("a", "b", "key", "open"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
-
-    shard = F.pmod(F.xxhash64("key", "i", "j"), F.lit(max(1, shards)))
-    return dealt.withColumn("shard", shard).groupBy("shard").applyInPandas(within, "a long, b long, key long, open boolean")
-
-
-def _linked(frame: DataFrame, weight: Column, bound: int) -> DataFrame:
-    """(a, b): forests of the links within each group of equal `key`, whose nodes are distinct.
-
-    A group beyond the bound is dealt to blocks of about `bound` weight, each with the group's hub
-    (its smallest node). What a block does not connect to the hub is compared with the other blocks.
-    """
-    columns = ["key", "i", "j", "settled", "node", "lanes", *["shingles"] * ("shingles" in frame.columns)]
-    groups = frame.groupBy("key").agg(F.count("*").alias("rows"), F.sum(weight).alias("weight"), F.min("node").alias("hub")).where("rows > 1")
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("weight") / bound)).cast("int")
-    groups = durable(groups.select("key", "hub", "weight", blocks.alias("blocks")))
-
-    def shards(total: int | None) -> int:
-        return int(SHARDS_PER_BLOCK * (total or 0) // bound)
-
-    def over(n: str) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-
-    dealt = frame.join(groups.select("key", "blocks"), "key").withColumn("i", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    hubs = frame.join(groups.where("blocks > 1").select("key", F.col("hub").alias("node"), "blocks"), ["key", "node"]).withColumn("i", over("blocks"))
-    first = dealt.withColumn("settled", F.lit(False)).unionByName(hubs.withColumn("settled", F.lit(True))).withColumn("j", F.lit(0))
-    first = durable(_forests(first.select(columns), shards(groups.agg(F.sum("weight")).first()[0])))
-    links, apart = first.where("NOT open").select("a", "b"), first.where("open").select("key", F.col("a").alias("node"))
-    if apart.isEmpty():
-        return links
-
-    apart = apart.distinct()
-    pieces = frame.join(apart, ["key", "node"]).groupBy("key").agg(F.sum(weight).alias("loose"))
-    pieces = durable(pieces.join(groups, "key").select("key", "weight", "loose", "blocks", F.ceil(F.col("loose") / bound).cast("int").alias("pieces")))
-    total = pieces.agg(F.sum(F.col("weight") * F.col("pieces") + F.col("loose") * F.col("blocks"))).first()[0]
-    marked = dealt.join(pieces.select("key", "pieces"), "key").join(apart.withColumn("apart", F.lit(True)), ["key", "node"], "left")
-    marked = marked.withColumn("settled", F.col("apart").isNull())
-    hosts = marked.withColumn("j", over("pieces"))
-    guests = marked.where("apart").withColumn("j", F.pmod(F.xxhash64("node", F.lit(1)), "pieces").cast("int"))
-    guests = guests.withColumn("other", over("blocks")).where("other <> i").withColumn("i", F.col("other"))
-    second = _forests(hosts.select(columns).unionAll(guests.select(columns)), shards(total))
-    return links.unionAll(second.where("NOT open").select("a", "b"))
-
-
-def _shingles(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """wanted (least, node, ...) with the shingles of the row that has its least doc_id."""
+def _by_lanes(columns: dict, joined: int) -> np.ndarray:
+    return forest(columns["lanes"], None, joined)
+
+
+def _by_shingles(columns: dict, joined: int) -> np.ndarray:
+    return forest(columns["lanes"], columns["shingles"], joined)
+
+
+def _shingles(docs: DataFrame, wanted: DataFrame, rows: int, id_col: str, text_col: str) -> DataFrame:
+    """wanted (node, first, ...) with the shingles of the row that `first` (doc_id, digest) names."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [np.unique(shingle_hashes(t, WIDTH)) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "shingles"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("least"), F.col(text_col).cast("string").alias("text"))
-    sets = texts.join(wanted.select("least").distinct(), "least", "left_semi").select("text").mapInArrow(each, "node long, shingles array<long>")
-    return wanted.join(sets, "node").dropDuplicates(["node"])
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_digest(text_col).alias("digest"), F.col(text_col).cast("string").alias("text"))
+    named = durable(wanted.select("first.doc_id", "first.digest"), WIDE * rows)
+    sets = texts.join(named, ["doc_id", "digest"], "left_semi").select("text").mapInArrow(each, "node long, shingles array<long>")
+    return wanted.drop("first").join(sets, "node").dropDuplicates(["node"])
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -207,34 +148,37 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     texts among them), fingerprints of at most RADIUS differing bits, and similarities of at least
     SIMILARITY. An empty table gives no rows.
     """
-    return _grouped(docs, id_col, text_col).select("doc_id", F.col("kept.doc_id").alias("component_id"))
+    return _grouped(docs, id_col, text_col)[0].select("doc_id", F.col("kept.doc_id").alias("component_id"))
 
 
-def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, digest, kept): a row per row of docs whose id is not null, with its group's smallest (doc_id, digest)."""
+def _grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """(doc_id, digest, kept): a row per row of docs whose id is not null, with its group's smallest (doc_id, digest); and their number."""
     of_doc = durable(sketches(docs.where(F.col(id_col).isNotNull()), id_col, text_col))
-    nodes = durable(of_doc.groupBy("node").agg(F.min(F.struct("doc_id", "digest")).alias("first"), F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("lanes").alias("lanes")))
+    rows = of_doc.count()
+    nodes = of_doc.groupBy("node").agg(F.min(F.struct("doc_id", "digest")).alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("lanes").alias("lanes"))
+    nodes = durable(nodes, WIDE * rows)
 
-    by_fp = durable(of_doc.groupBy("fp").agg(F.min("node").alias("rep")))
-    same_fp = of_doc.join(by_fp, "fp").select(F.col("node").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct()
+    pairs = durable(of_doc.select("fp", "node").distinct(), rows)
+    by_fp = durable(pairs.groupBy("fp").agg(F.min("node").alias("rep")), rows)
+    same_fp = pairs.join(by_fp, "fp").select(F.col("node").alias("a"), F.col("rep").alias("b")).where("a <> b")
     near_fp = close_links(by_fp.select("fp"), RADIUS)
     near_fp = near_fp.join(by_fp.withColumnsRenamed({"fp": "a", "rep": "x"}), "a").join(by_fp.withColumnsRenamed({"fp": "b", "rep": "y"}), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
 
     # Sketches travel only for bands that several texts share.
-    shared = nodes.select(F.explode("bands").alias("key")).groupBy("key").count().where("count > 1").select("key")
-    banded = nodes.select("node", "lanes", F.explode("bands").alias("key")).join(shared, "key", "left_semi")
-    candidates = components(_linked(durable(banded), F.lit(1), BLOCK_ROWS)).select(F.col("fp").alias("node"), F.col("root").alias("key"))
-    wanted = durable(nodes.select("node", "least", "n", "lanes").join(candidates, "node"))
-    verified = _linked(durable(_shingles(docs, wanted, id_col, text_col)), F.col("n"), BLOCK_SHINGLES)
+    shared = durable(nodes.select(F.explode("bands").alias("key")).groupBy("key").count().where("count > 1").select("key"), BANDS * rows)
+    banded = durable(nodes.select("node", "lanes", F.explode("bands").alias("key")).join(shared, "key", "left_semi"), BANDS * rows)
+    alike = linked(banded, F.lit(1), BLOCK_ROWS, _by_lanes, BANDS * rows)
+    candidates = components(alike).select(F.col("fp").alias("node"), F.col("root").alias("key"))
+    wanted = durable(nodes.select("node", "first", "n", "lanes").join(candidates, "node"), WIDE * rows)
+    verified = linked(durable(_shingles(docs, wanted, rows, id_col, text_col)), F.col("n"), BLOCK_SHINGLES, _by_shingles, rows)
 
-    joined = durable(components(same_fp.unionAll(near_fp).unionAll(verified)))
-    linked = nodes.select("node", "first").join(joined.withColumnRenamed("fp", "node"), "node")
-    least = linked.groupBy("root").agg(F.min("first").alias("kept"))
-    moved = linked.join(least, "root").select("node", "kept")
-    kept = durable(nodes.select("node", "first").join(moved, "node", "left").select("node", F.coalesce("kept", "first").alias("kept")))
-    return of_doc.select("doc_id", "digest", "node").join(kept, "node").select("doc_id", "digest", "kept")
+    joined = durable(nodes.select("node", "first").join(components(same_fp.unionAll(near_fp).unionAll(verified)).withColumnRenamed("fp", "node"), "node"), WIDE * rows)
+    least = durable(joined.groupBy("root").agg(F.min("first").alias("kept")), WIDE * rows)
+    moved = joined.join(least, "root").select("node", "kept")
+    kept = durable(nodes.select("node", "first").join(moved, "node", "left").select("node", F.coalesce("kept", "first").alias("kept")), WIDE * rows)
+    return of_doc.select("doc_id", "digest", "node").join(kept, "node").select("doc_id", "digest", "kept"), rows
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, with all columns, with one row of each group, of the smallest id and then the smallest text digest; rows with null ids stay."""
-    return keep_first(docs, _grouped(docs, id_col, text_col), id_col, text_col)
+    return keep_first(docs, *_grouped(docs, id_col, text_col), id_col, text_col)

@@ -9,7 +9,8 @@ compares its own members with its members and guests. No pair is lost or seen in
 
 Inside a shard the same recursion goes on down to blocks that are compared by XOR and popcount.
 A shard returns a spanning forest of its links, not the links: a group of n copies costs n rows.
-Components of all shards' forests are found by repeated contraction in DataFrame operations.
+Components of all shards' forests are found by repeated contraction in DataFrame operations, until
+so few links are left that one task closes them.
 """
 
 from __future__ import annotations
@@ -17,20 +18,23 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable, small_batches, spare, text_digest
+from .groups import Forest, linked
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _ONES = np.uint64(0x0101010101010101)
 
-#: Rows sampled for each shard to place vantage points; the sample has at most 64 * 16384 rows.
-SAMPLE_PER_SHARD = 64
-MAX_DEPTH = 14
+#: Fingerprints sampled for each shard to place vantage points, and in all (8 bytes each on the driver; twice as many at most).
+SAMPLE_PER_SHARD, SAMPLE_ROWS = 64, 1 << 20
+#: The tree has at most 2**17 leaves; it is broadcast with 10 bytes a node.
+MAX_DEPTH = 17
+#: Rows of a shard that a task holds at once, 17 bytes each; and links that one task may close, 16 bytes each.
+BLOCK_ROWS, TASK_LINKS = 1 << 18, 1 << 18
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -132,41 +136,16 @@ def route(fps: np.ndarray, tree: tuple[np.ndarray, np.ndarray], radius: int) ->
     return row, node - len(vantage), own
 
 
-class _Forest:
-    def __init__(self, n: int) -> None:
-        self.parent = np.arange(n)
-
-    def roots(self, x: np.ndarray) -> np.ndarray:
-        p = self.parent
-        while True:
-            up = p[x]
-            if np.array_equal(up, x):
-                return x
-            x = up
-
-    def join(self, a: np.ndarray, b: np.ndarray) -> None:
-        a, b = self.roots(a), self.roots(b)
-        differ = a != b
-        if not differ.any():
-            return
-        pairs = np.unique(np.stack([np.minimum(a, b)[differ], np.maximum(a, b)[differ]], axis=1), axis=0)
-        parent = self.parent
-        for x, y in pairs.tolist():
-            while parent[x] != x:
-                x = parent[x]
-            while parent[y] != y:
-                y = parent[y]
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-        self.parent = self.roots(np.arange(len(parent)))
-
-
-def link_shard(own: np.ndarray, guests: np.ndarray, radius: int, block: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest, as (fingerprint, smallest fingerprint of its tree), of the links within
-    the radius between the shard's distinct members, and between members and guests."""
-    points = np.concatenate([own, guests])
-    forest = _Forest(len(points))
-    todo = [(np.arange(len(own)), np.arange(len(own), len(points)))]
+def link_points(points: np.ndarray, own: np.ndarray, joined: int, radius: int, block: int = 1 << 20) -> np.ndarray:
+    """Each point's root in the graph of links within the radius: all of own points with any point.
+
+    The first `joined` points are known to be connected; if there are any, every other point counts as own.
+    """
+    forest = Forest(len(points))
+    if joined:
+        forest.parent[:joined] = 0
+        own = np.arange(len(points)) >= joined
+    todo = [(np.flatnonzero(own), np.flatnonzero(~own))]
     while todo:
         mine, other = todo.pop()
         if not len(mine):
@@ -184,71 +163,88 @@ def link_shard(own: np.ndarray, guests: np.ndarray, radius: int, block: int = 1
         both = np.concatenate([mine, other])
         step = max(1, block // len(both))
         for at in range(0, len(mine), step):
-            rows = mine[at : at + step]
-            i, j = np.nonzero(np.bitwise_count(points[rows, None] ^ points[None, both[at:]]) <= radius)
-            if len(i):
-                forest.join(rows[i], both[at:][j])
-    roots = forest.roots(np.arange(len(points)))
-    order = np.lexsort((points, roots))
-    _, first = np.unique(roots[order], return_index=True)
-    smallest = np.empty(len(points), np.uint64)
-    smallest[order] = np.repeat(points[order][first], np.diff([*first, len(points)]))
-    linked = smallest != points
-    return points[linked], smallest[linked]
-
-
-def close_links(distinct: DataFrame, radius: int = 2, shard_rows: int = 8192) -> DataFrame:
+            rows, rest = mine[at : at + step], both[at:]
+            # A crowd soon hangs together; what does is not compared again.
+            usual = np.bincount(forest.parent[rows]).argmax()
+            same = forest.parent[rows] == usual
+            for a, b in ((rows[same], rest[forest.parent[rest] != usual]), (rows[~same], rest)):
+                i, j = np.nonzero(np.bitwise_count(points[a, None] ^ points[None, b]) <= radius)
+                forest.join(a[i], b[j])
+    return forest.parent
+
+
+def close_links(distinct: DataFrame, radius: int = 2, shard_rows: int = 8192, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(a, b): links whose components equal those of all pairs within the radius.
 
     `distinct` has a column fp without repeats. Shards get about `shard_rows` members, more once
-    there would be over 512 shards; the tree has at most 2**14 leaves and is built on the driver
-    from at most 64 sampled fingerprints a leaf.
+    there would be over 512 shards, and up to 2**16 until there are 2**MAX_DEPTH. The tree is built
+    on the driver from a bounded sample. Where fingerprints crowd within a few bits no bound
+    separates them; a shard of over `block_rows` rows goes in blocks of that size (see groups).
     """
     spark = distinct.sparkSession
     total = distinct.count()
-    shard_rows = max(shard_rows, min(total // 512, 1 << 18))
+    shard_rows = max(shard_rows, min(total // 512, 1 << 16))
     depth = min(MAX_DEPTH, max(0, int(np.ceil(np.log2(max(1, total / shard_rows))))))
-    share = min(1.0, SAMPLE_PER_SHARD * 2**depth / max(1, total))
-    picked = distinct.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1) if depth else distinct.limit(0)
-    sample = np.array(sorted(r.fp for r in picked.limit(2 * SAMPLE_PER_SHARD * 2**depth).collect()), np.int64).view(np.uint64)
+    wanted = min(SAMPLE_PER_SHARD << depth, SAMPLE_ROWS)
+    sample = np.empty(0, np.uint64)
+    if depth:
+        share = min(1 << 20, int(wanted / total * (1 << 20)) + 1)
+        picked = distinct.select("fp").where(F.pmod(F.xxhash64("fp"), F.lit(1 << 20)) < share).limit(2 * wanted)
+        sample = np.sort(picked.toArrow().column(0).to_numpy()).view(np.uint64)
     tree = spark.sparkContext.broadcast(build_tree(sample, depth, radius))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             row, shard, own = route(fps, tree.value, radius)
-            yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), pa.array(fps[row].view(np.int64)), pa.array(own)], ["shard", "fp", "own"])
+            yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int64)), pa.array(fps[row].view(np.int64)), pa.array(own)], ["key", "node", "own"])
+
+    def roots(columns: dict, joined: int) -> np.ndarray:
+        return link_points(columns["node"].view(np.uint64), columns["own"], joined, radius)
 
-    def within(part: pd.DataFrame) -> pd.DataFrame:
-        fps, own = part["fp"].to_numpy().view(np.uint64), part["own"].to_numpy()
-        a, b = link_shard(np.unique(fps[own]), np.unique(fps[~own]), radius)
-        return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
+    small_batches(spark)
+    dealt = distinct.select("fp").mapInArrow(deal, "key long, node long, own boolean")
+    return linked(dealt, F.lit(1), block_rows, roots, total)
 
-    dealt = distinct.select("fp").mapInArrow(deal, "shard int, fp long, own boolean")
-    return dealt.groupBy("shard").applyInPandas(within, "a long, b long")
 
+def _close(links: DataFrame) -> DataFrame:
+    """(fp, root) of links that one task holds; the root is an end of the component."""
 
-def components(links: DataFrame) -> DataFrame:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends = [np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()]) for b in batches if len(b)]
+        if ends:
+            nodes, at = np.unique(np.concatenate(ends, axis=1), return_inverse=True)
+            forest, (a, b) = Forest(len(nodes)), at.reshape(2, -1)
+            forest.join(a, b)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[forest.parent])], ["fp", "root"])
+
+    small_batches(links.sparkSession)
+    return links.select("a", "b").coalesce(1).mapInArrow(each, "fp long, root long")
+
+
+def components(links: DataFrame, task_links: int = TASK_LINKS) -> DataFrame:
     """(fp, root): for each end of a link, one end that all of its component share.
 
     Each round maps every node to the smallest of its neighbours and itself and contracts the
     links accordingly. Ends are hashes, so their order is unrelated to the links and a constant
-    share of the nodes goes in each round. Every step is an aggregation or an equi-join.
+    share of the nodes goes in each round. Every step is an aggregation or an equi-join. Once at
+    most `task_links` links are left, one task of that size closes them.
     """
     links = durable(links.where("a <> b"))
     rounds: list[DataFrame] = []
-    while not links.isEmpty():
+    while (n := links.count()) > task_links:
         both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        to = durable(both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("to")))
+        to = durable(both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("to")), 2 * n)
         rounds.append(to)
         links = durable(
             links.join(to.withColumnsRenamed({"u": "a", "to": "x"}), "a").join(to.withColumnsRenamed({"u": "b", "to": "y"}), "b")
-            .where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+            .where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), n
         )
+    left = durable(_close(links), 1)
     if not rounds:
-        return links.select(F.col("a").alias("fp"), F.col("b").alias("root"))
+        return left
     found = rounds[0].select(F.col("u").alias("fp"), F.col("to").alias("root"))
-    for to in rounds[1:]:
+    for to in [*rounds[1:], left.select(F.col("fp").alias("u"), F.col("root").alias("to"))]:
         found = found.join(to.select(F.col("u").alias("root"), "to"), "root", "left").select("fp", F.coalesce("to", "root").alias("root"))
     return found
 
@@ -267,24 +263,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _grouped(of_doc: DataFrame, value: Column, radius: int) -> DataFrame:
     """of_doc (fp, ...) with kept, the smallest value in each row's component."""
-    distinct = durable(of_doc.groupBy("fp").agg(F.min(value).alias("least")))
-    joined = durable(components(close_links(distinct, radius)))
-    linked = distinct.join(joined, "fp")
-    least = linked.groupBy("root").agg(F.min("least").alias("kept"))
-    by_fp = distinct.join(linked.join(least, "root").select("fp", "kept"), "fp", "left").select("fp", F.coalesce("kept", "least").alias("kept"))
+    rows = of_doc.count()
+    distinct = durable(of_doc.groupBy("fp").agg(F.min(value).alias("least")), rows)
+    joined = durable(distinct.join(components(close_links(distinct, radius)), "fp"), rows)
+    least = durable(joined.groupBy("root").agg(F.min("least").alias("kept")), rows)
+    moved = joined.join(least, "root").select("fp", "kept")
+    # Written before it meets the rows: with an exchange of its own on either side, a join on a fingerprint that many rows share can be split.
+    by_fp = durable(distinct.join(moved, "fp", "left").select("fp", F.coalesce("kept", "least").alias("kept")), rows)
     return of_doc.join(by_fp, "fp")
 
 
-def keep_first(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_first(docs: DataFrame, found: DataFrame, rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that are not their component's kept one; found has (doc_id, digest, kept), a
-    row per row of docs whose id is not null, kept being a (doc_id, digest).
+    row per row of docs whose id is not null, `rows` at most, kept being a (doc_id, digest).
 
     Each row is judged by its id and text. Rows that repeat both are reduced to one; rows with null ids stay.
     """
     id_name, text_name = spare(docs, "copy"), spare(docs, "copy_digest")
     counted = found.groupBy("doc_id", "digest").agg(F.first("kept").alias("kept"), F.count("*").alias("n"))
     counted = counted.select(F.col("doc_id").alias(id_name), F.col("digest").alias(text_name), "n", ((F.col("kept.doc_id") == F.col("doc_id")) & (F.col("kept.digest") == F.col("digest"))).alias("stays"))
-    counted = durable(counted.where("NOT stays OR n > 1"))
+    counted = durable(counted.where("NOT stays OR n > 1"), rows)
     copies, repeated = (counted.where(which).select(id_name, text_name) for which in ("NOT stays", "stays"))
     same = (F.col(id_col).cast("long") == F.col(id_name)) & (text_digest(text_col) == F.col(text_name))
     left = docs.join(copies, same, "left_anti")
@@ -302,4 +300,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     """
     of_doc = durable(fingerprints(docs, id_col, text_col, width, keyed=True))
     value = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "digest"))
-    return keep_first(docs, _grouped(of_doc, value, radius).where("doc_id IS NOT NULL"), id_col, text_col)
+    return keep_first(docs, _grouped(of_doc, value, radius).where("doc_id IS NOT NULL"), of_doc.count(), id_col, text_col)
