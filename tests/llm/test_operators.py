@@ -1,3 +1,4 @@
+import base64
 import hashlib
 import random
 
@@ -6,7 +7,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from docketry.llm import chat, decontaminate, mixing, nearcopies, pii, quality, simhash, tokens, toxicity, warc, winnow
+from docketry.llm import chat, decontaminate, groups, mixing, nearcopies, pii, quality, simhash, tokens, toxicity, warc, winnow
+from docketry.llm.common import qualified
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, FP string"
 
@@ -46,24 +48,49 @@ def test_simhash_equals_brute_force(odd):
     assert simhash.near_duplicates(frame.limit(0)).count() == 0
 
 
-def test_vantage_point_shards_lose_no_pair():
+def _near_points():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 300, dtype=np.uint64)
     near = np.concatenate([base, *(base ^ (np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64)) for _ in range(4))])
-    fps = np.unique(np.concatenate([near, near[:400] ^ np.uint64(3)]))
+    # And a crowd within a few bits, which no bound separates.
+    crowd = np.array([sum(1 << int(b) for b in rng.choice(14, rng.integers(0, 7), replace=False)) for _ in range(500)], np.uint64)
+    return np.unique(np.concatenate([near, near[:400] ^ np.uint64(3), crowd]))
+
+
+def _all_pairs(fps):
+    whole = groups.Forest(len(fps))
+    whole.join(*np.nonzero(np.bitwise_count(fps[:, None] ^ fps[None]) <= 2))
+    return whole.parent
+
+
+def test_vantage_point_shards_lose_no_pair():
+    fps = _near_points()
     tree = simhash.build_tree(fps[::3], 4, 2)
     row, shard, own = simhash.route(fps, tree, 2)
     assert np.bincount(row[own], minlength=len(fps)).tolist() == [1] * len(fps)
-    forest = simhash._Forest(len(fps))
+    forest = groups.Forest(len(fps))
     for s in np.unique(shard):
-        here = shard == s
-        a, b = simhash.link_shard(np.unique(fps[row[here & own]]), np.unique(fps[row[here & ~own]]), 2, block=64)
-        assert (np.bitwise_count(a ^ b) >= 1).all()
-        forest.join(np.searchsorted(fps, a), np.searchsorted(fps, b))
-    whole = simhash._Forest(len(fps))
-    i, j = np.nonzero(np.bitwise_count(fps[:, None] ^ fps[None]) <= 2)
-    whole.join(i, j)
-    assert (forest.roots(np.arange(len(fps))) == whole.roots(np.arange(len(fps)))).all()
+        at = row[shard == s]
+        root = simhash.link_points(fps[at], own[shard == s], 0, 2, block=64)
+        assert (np.bitwise_count(fps[at] ^ fps[at[root]])[root == np.arange(len(at))] == 0).all()
+        forest.join(at, at[root])
+    assert (forest.parent == _all_pairs(fps)).all()
+
+
+@pytest.mark.parametrize(("block_rows", "task_links"), [(1 << 18, 1 << 18), (40, 1 << 18), (40, 25)])
+def test_links_close_in_blocks_and_rounds(spark, block_rows, task_links):
+    """Shards in blocks, and contraction in rounds, give the components of all pairs."""
+    fps = _near_points()
+    frame = spark.createDataFrame([(int(f),) for f in fps.view(np.int64)], "fp long")
+    found = simhash.components(simhash.close_links(frame, 2, shard_rows=300, block_rows=block_rows), task_links).collect()
+    at = {int(f): n for n, f in enumerate(fps.view(np.int64))}
+    forest = groups.Forest(len(fps))
+    forest.join(np.array([at[r.fp] for r in found]), np.array([at[r.root] for r in found]))
+    want = _all_pairs(fps)
+    assert (forest.parent == want).all()
+    roots = {}
+    for r in found:
+        assert roots.setdefault(int(want[at[r.fp]]), r.root) == r.root
 
 
 def test_winnowing_keeps_rightmost_minima(odd):
@@ -217,16 +244,34 @@ def test_network_gradients():
 
 def test_warc_round_trip(spark, tmp_path):
     rows = [(1, "http://www.b.example/x?q=1", "<p>é</p>"), (2, "http://b.example/y", "<p>é</p>"), (3, None, None), (4, "http://a.example/\n", ""), (5, "http://www.b.example/x?q=1", "other"), (None, "bad::url[", "<p>é</p>")]
-    rows += [(10 + i, "http://hot.example/", f"page {i}") for i in range(40)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    rows += [(10 + i, "http://hot.example/", f"page {i}") for i in range(40)] + [(5, "http://c.example/\t", "other"), (None, None, "<p>é</p>"), (70, "http://long.example/", "x" * 300_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("first", F.lit("clash"))
     folder = str(tmp_path)
     captures = warc.write(pages, folder)
-    directory = warc.build_index(captures, folder, block=8)
-    got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.read_back(directory, folder).collect()}
-    assert len(got) == len(rows) and got[1] == (8 + 1, "response", None) and got[2] == (9, "revisit", 1) and got[None] == (9, "revisit", 1)
-    assert got[3] == (0, "response", None) and got[4] == (0, "revisit", 3)
-    assert [r.page_id for r in warc.lookup(directory, folder, "http://www.b.example/x?q=1")] == [1, 5]
-    assert len(warc.lookup(directory, folder, "http://hot.example/")) == 40 and warc.lookup(directory, folder, "http://none.example/") == []
+    root = warc.build_index(captures, folder, block=8)
+    assert root.agg(F.sum("captures")).first()[0] == len(rows)
+
+    # Brute force over the rows.
+    firsts = {}
+    for page, _, html in rows:
+        if page is not None:
+            firsts[html or ""] = min(page, firsts.get(html or "", page))
+    want = []
+    for page, url, html in rows:
+        payload, first = html or "", firsts.get(html or "")
+        again = first is not None and first != page
+        want.append((warc.url_key(url), page, len(payload.encode()), base64.b32encode(hashlib.sha1(payload.encode()).digest()).decode(), "revisit" if again else "response", first if again else None))
+
+    def found(keys):
+        return sorted(map(tuple, warc.lookup(root, folder, spark.createDataFrame([(k,) for k in keys], "key string")).collect()), key=str)
+
+    assert found([w[0] for w in want]) == sorted(want, key=str)
+    for url in ("http://www.b.example/x?q=1", "http://hot.example/", "http://none.example/", None):
+        assert found([warc.url_key(url)] * 2) == sorted((w for w in want if w[0] == warc.url_key(url)), key=str)
+    directory = warc.Directory(qualified(spark, folder), [tuple(r) for r in root.select("first_key", "last_key", "file", "at", "length").collect()])
+    assert len(list(directory.blocks(warc.url_key("http://hot.example/")))) >= 5 and not list(directory.blocks("zzz"))
+    out = warc.round_trip(pages)
+    assert out.columns == [c.split()[0] for c in warc.OUT.split(", ")] and out.count() == len(rows)
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
