@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, small_batches
+from .common import durable, small_batches, tasks
 
 #: roots(payload columns of a group's rows, n): each row's root, the smallest row that it is connected to. The first n rows are known to be connected.
 Roots = Callable[[dict[str, object], int], np.ndarray]
@@ -114,10 +114,10 @@ def forests(dealt: DataFrame, roots: Roots) -> DataFrame:
     return ordered.mapInArrow(each, "a long, b long, key long, open boolean")
 
 
-def linked(frame: DataFrame, weight: Column, bound: int, roots: Roots, rows: int) -> DataFrame:
+def linked(frame: DataFrame, weight: Column, bound: int, task: int, roots: Roots, rows: int) -> DataFrame:
     """(a, b): forests of the links within each group of equal `key`, whose nodes are distinct.
 
-    `rows` bounds the frame's rows. A group beyond the bound of weight is dealt to blocks of about
+    `rows` bounds the frame's rows; `task` is the weight that makes a task of its own. A group beyond the bound of weight is dealt to blocks of about
     that weight, each with the group's hub (its smallest node). What a block does not connect to
     the hub is compared with the other blocks.
     """
@@ -133,7 +133,8 @@ def linked(frame: DataFrame, weight: Column, bound: int, roots: Roots, rows: int
     dealt = frame.join(groups.select("key", "blocks"), "key").withColumn("i", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     hubs = frame.join(groups.where("blocks > 1").select("key", F.col("hub").alias("node"), "blocks"), ["key", "node"]).withColumn("i", over("blocks"))
     first = dealt.withColumn("settled", F.lit(False)).unionByName(hubs.withColumn("settled", F.lit(True))).withColumn("j", F.lit(0))
-    first = durable(forests(first.select(columns), roots), rows)
+    width = tasks(frame.sparkSession, groups.agg(F.sum("weight")).first()[0] or 0, task)
+    first = durable(forests(first.select(columns), roots).coalesce(width))
     links, apart = first.where("NOT open").select("a", "b"), first.where("open").select("key", F.col("a").alias("node"))
     if apart.isEmpty():
         return links

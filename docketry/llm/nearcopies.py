@@ -31,6 +31,8 @@ BANDS, BAND_LANES = 24, 4
 LEAST_LANES = 60
 #: What a block of a group holds: band members, and shingles.
 BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 18
+#: What makes a task of its own: band members, and shingles.
+TASK_ROWS, TASK_SHINGLES = 1 << 13, 1 << 21
 #: A row of nodes has 24 bands and 96 lanes, so many times what a row of a small table has.
 WIDE = 12
 
@@ -167,12 +169,12 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, in
     # Sketches travel only for bands that several texts share.
     shared = durable(nodes.select(F.explode("bands").alias("key")).groupBy("key").count().where("count > 1").select("key"), BANDS * rows)
     banded = durable(nodes.select("node", "lanes", F.explode("bands").alias("key")).join(shared, "key", "left_semi"), BANDS * rows)
-    alike = linked(banded, F.lit(1), BLOCK_ROWS, _by_lanes, BANDS * rows)
-    candidates = components(alike).select(F.col("fp").alias("node"), F.col("root").alias("key"))
+    alike = linked(banded, F.lit(1), BLOCK_ROWS, TASK_ROWS, _by_lanes, BANDS * rows)
+    candidates = components(alike, BANDS * rows).select(F.col("fp").alias("node"), F.col("root").alias("key"))
     wanted = durable(nodes.select("node", "first", "n", "lanes").join(candidates, "node"), WIDE * rows)
-    verified = linked(durable(_shingles(docs, wanted, rows, id_col, text_col)), F.col("n"), BLOCK_SHINGLES, _by_shingles, rows)
+    verified = linked(durable(_shingles(docs, wanted, rows, id_col, text_col)), F.col("n"), BLOCK_SHINGLES, TASK_SHINGLES, _by_shingles, rows)
 
-    joined = durable(nodes.select("node", "first").join(components(same_fp.unionAll(near_fp).unionAll(verified)).withColumnRenamed("fp", "node"), "node"), WIDE * rows)
+    joined = durable(nodes.select("node", "first").join(components(same_fp.unionAll(near_fp).unionAll(verified), 4 * rows).withColumnRenamed("fp", "node"), "node"), WIDE * rows)
     least = durable(joined.groupBy("root").agg(F.min("first").alias("kept")), WIDE * rows)
     moved = joined.join(least, "root").select("node", "kept")
     kept = durable(nodes.select("node", "first").join(moved, "node", "left").select("node", F.coalesce("kept", "first").alias("kept")), WIDE * rows)

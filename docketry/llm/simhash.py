@@ -204,7 +204,7 @@ def close_links(distinct: DataFrame, radius: int = 2, shard_rows: int = 8192, bl
 
     small_batches(spark)
     dealt = distinct.select("fp").mapInArrow(deal, "key long, node long, own boolean")
-    return linked(dealt, F.lit(1), block_rows, roots, total)
+    return linked(dealt, F.lit(1), block_rows, BLOCK_ROWS >> 3, roots, total)
 
 
 def _close(links: DataFrame) -> DataFrame:
@@ -222,15 +222,15 @@ def _close(links: DataFrame) -> DataFrame:
     return links.select("a", "b").coalesce(1).mapInArrow(each, "fp long, root long")
 
 
-def components(links: DataFrame, task_links: int = TASK_LINKS) -> DataFrame:
-    """(fp, root): for each end of a link, one end that all of its component share.
+def components(links: DataFrame, rows: int, task_links: int = TASK_LINKS) -> DataFrame:
+    """(fp, root): for each end of a link, of which there are `rows` at most, one end that all of its component share.
 
     Each round maps every node to the smallest of its neighbours and itself and contracts the
     links accordingly. Ends are hashes, so their order is unrelated to the links and a constant
     share of the nodes goes in each round. Every step is an aggregation or an equi-join. Once at
     most `task_links` links are left, one task of that size closes them.
     """
-    links = durable(links.where("a <> b"))
+    links = durable(links.where("a <> b"), rows)
     rounds: list[DataFrame] = []
     while (n := links.count()) > task_links:
         both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
@@ -265,7 +265,7 @@ def _grouped(of_doc: DataFrame, value: Column, radius: int) -> DataFrame:
     """of_doc (fp, ...) with kept, the smallest value in each row's component."""
     rows = of_doc.count()
     distinct = durable(of_doc.groupBy("fp").agg(F.min(value).alias("least")), rows)
-    joined = durable(distinct.join(components(close_links(distinct, radius)), "fp"), rows)
+    joined = durable(distinct.join(components(close_links(distinct, radius), rows), "fp"), rows)
     least = durable(joined.groupBy("root").agg(F.min("least").alias("kept")), rows)
     moved = joined.join(least, "root").select("fp", "kept")
     # Written before it meets the rows: with an exchange of its own on either side, a join on a fingerprint that many rows share can be split.

@@ -15,13 +15,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, tasks
 
 K, W = 20, 31
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: While there are fewer ranges than shuffle partitions, ranges get smaller, down to about so many bytes.
 SMALL_BUCKET_BYTES = 1 << 20
+#: Ranges at most, and rows sampled for each to place its end (16 bytes each on the driver).
+MAX_BUCKETS, SAMPLE_PER_BUCKET = 20_000, 32
 #: Hashes have 40 bits and share a 64-bit word with the position in the block; a block's positions fit 24 bits.
 BLOCK = 1 << 22
 
@@ -117,37 +119,69 @@ class _Row:
         self.set = np.unique(self.kept[1])
 
 
+_OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_kept long"
+
+
+class Ranges:
+    """Ranges of (rank, tie), each up to and including its end, an entry of the sorted array `ends` (n, 2)."""
+
+    def __init__(self, ends: np.ndarray) -> None:
+        self.rank, self.tie = ends[:, 0], ends[:, 1]
+
+    def __len__(self) -> int:
+        return len(self.rank)
+
+    def of(self, rank: np.ndarray, tie: np.ndarray) -> np.ndarray:
+        """The range of each pair; none is beyond the last end."""
+        low, high = np.searchsorted(self.rank, rank, "left"), np.searchsorted(self.rank, rank, "right")
+        among = np.flatnonzero(low < high)  # several ranges may end within one rank
+        for a in np.unique(low[among]):
+            rows = among[low[among] == a]
+            low[rows] = a + np.searchsorted(self.tie[a : high[rows[0]]], tie[rows], "left")
+        return low
+
+
+def range_ends(keyed: DataFrame, parts: int, top: tuple[int, int]) -> np.ndarray:
+    """Ends of about `parts` ranges of keyed (rank, tie), the last of them `top`; from a bounded sample by hash of what the rows hold."""
+    wanted = SAMPLE_PER_BUCKET * parts
+    share = int(min(1.0, wanted / max(1, keyed.count())) * (1 << 30)) + 1
+    sample = keyed.where(F.pmod(F.xxhash64("rank", "tie", F.lit("range ends")), F.lit(1 << 30)) < share).limit(4 * wanted).toArrow()
+    found = np.unique(np.stack([sample.column(c).to_numpy() for c in (0, 1)], axis=1), axis=0)
+    ends = found[np.linspace(0, len(found) - 1, parts + 1).astype(int)[1:-1]] if len(found) > 1 and parts > 1 else found[:0]
+    return np.unique(np.concatenate([ends, np.array([top], np.int64)]), axis=0)
+
+
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 16 << 20) -> DataFrame:
     """Fingerprints of texts and of their edited texts; see edited() and the columns at the end.
 
     The next document is that with the next smaller id; after the smallest comes the largest.
-    Null ids come after all others; rows of equal ids follow each other by descending text; the
-    only row of a table is its own next. Null texts are empty; an empty table gives no rows.
+    Null ids come after all others; rows of equal ids follow each other by a hash of their texts;
+    the only row of a table is its own next. Null texts are empty; an empty table gives no rows.
 
-    Ids are dealt to ranges that end at ids of the table, found by quantiles. The row at the end
-    of a range also goes to the range above as its guest, since the smallest id there needs it as
-    next. So each text is shuffled once, rows stream in order, and only one row is held back.
+    Rows are dealt to ranges of (id, hash of the text) that end at rows of the table, so one id with
+    a third of all rows spreads over many ranges; only rows that repeat both stay together. The row
+    at the end of a range also goes to the range above as its guest, since the smallest row there
+    needs it as next. So each text is shuffled once, rows stream in order, and only one is held back.
     """
     spark = docs.sparkSession
     small_batches(spark)
     lowest = -(1 << 63)
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(lowest)).alias("rank"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    size = narrow.agg(F.sum(F.octet_length("text").cast("long")).alias("bytes"), F.max("rank").alias("top")).first()
-    total, wide = size.bytes or 0, int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = int(min(20_000, max(1 + total // bucket_bytes, min(wide, 1 + total // SMALL_BUCKET_BYTES))))
-    ends = narrow.approxQuantile("rank", [i / parts for i in range(1, parts)], 1 / (8 * parts)) if parts > 1 and size.top is not None else []
-    # Quantiles pass through doubles, which round ids over 2**53: only ids found in the table end a range.
-    wanted = sorted({int(x) for x in ends if abs(x) < 2**53})
-    present = [r["rank"] for r in narrow.where(F.col("rank").isin(wanted)).select("rank").distinct().collect()] if wanted else []
-    bounds = np.array(sorted({*present, *([size.top] if size.top is not None else [])}), np.int64)
+    narrow = narrow.select("doc_id", "rank", F.xxhash64("text").alias("tie"), "text")
+    size = narrow.agg(F.sum(F.octet_length("text").cast("long")).alias("bytes"), F.max(F.struct("rank", "tie")).alias("top")).first()
+    if size["top"] is None:
+        return spark.createDataFrame([], _OUT)
+    total = size["bytes"]
+    parts = int(min(MAX_BUCKETS, max(1 + total // bucket_bytes, tasks(spark, total, SMALL_BUCKET_BYTES))))
+    ranges = Ranges(range_ends(narrow.select("rank", "tie"), parts, tuple(size["top"])))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rank = batch.column(1).to_numpy(zero_copy_only=False)
-            bucket = np.searchsorted(bounds, rank)
-            ends_one = np.flatnonzero(bounds[bucket] == rank)
+            rank, tie = (batch.column(c).to_numpy(zero_copy_only=False) for c in (1, 2))
+            bucket = ranges.of(rank, tie)
+            ends_one = np.flatnonzero((ranges.rank[bucket] == rank) & (ranges.tie[bucket] == tie))
             rows = pa.array(np.concatenate([np.arange(len(rank)), ends_one]))
-            to = np.concatenate([bucket, (bucket[ends_one] + 1) % len(bounds)]).astype(np.int32)
+            to = np.concatenate([bucket, (bucket[ends_one] + 1) % len(ranges)]).astype(np.int32)
             guest = np.arange(len(to)) >= len(rank)
             yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(guest), *batch.take(rows).columns], ["bucket", "guest", *batch.schema.names])
 
@@ -166,7 +200,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             out = []
             for bucket, guest, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("bucket", "guest", "doc_id", "text")), strict=True):
                 if last is not None and last.bucket == bucket and last.guest:
-                    continue  # further rows of the guest's id
+                    continue  # further rows like the guest
                 row = _Row(bucket, guest, doc_id, text)
                 if last is not None and not last.guest:
                     out.append(finish(last, row))
@@ -174,6 +208,6 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_pylist(out, schema)
 
     schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("n_kept", pa.int64())])
-    dealt = narrow.mapInArrow(deal, "bucket int, guest boolean, doc_id long, rank long, text string")
-    ordered = dealt.repartitionById(max(1, len(bounds)), F.col("bucket")).sortWithinPartitions("bucket", "guest", F.desc("rank"), F.desc("text"))
-    return ordered.mapInArrow(follow, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_kept long")
+    dealt = narrow.mapInArrow(deal, "bucket int, guest boolean, doc_id long, rank long, tie long, text string")
+    ordered = dealt.repartitionById(len(ranges), F.col("bucket")).sortWithinPartitions("bucket", "guest", F.desc("rank"), F.desc("tie"), F.desc("text"))
+    return ordered.mapInArrow(follow, _OUT)

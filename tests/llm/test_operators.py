@@ -82,7 +82,7 @@ def test_links_close_in_blocks_and_rounds(spark, block_rows, task_links):
     """Shards in blocks, and contraction in rounds, give the components of all pairs."""
     fps = _near_points()
     frame = spark.createDataFrame([(int(f),) for f in fps.view(np.int64)], "fp long")
-    found = simhash.components(simhash.close_links(frame, 2, shard_rows=300, block_rows=block_rows), task_links).collect()
+    found = simhash.components(simhash.close_links(frame, 2, shard_rows=300, block_rows=block_rows), len(fps), task_links).collect()
     at = {int(f): n for n, f in enumerate(fps.view(np.int64))}
     forest = groups.Forest(len(fps))
     forest.join(np.array([at[r.fp] for r in found]), np.array([at[r.root] for r in found]))
@@ -105,17 +105,52 @@ def test_winnowing_keeps_rightmost_minima(odd):
             want.add(i + max(j for j, x in enumerate(window) if x == min(window)))
         positions, hashes = winnow.winnow(text)
         assert list(zip(positions.tolist(), hashes.tolist(), strict=True)) == sorted((p, h[p]) for p in want)
-    order = sorted(rows, key=lambda r: (r[0] if r[0] is not None else -(1 << 63), r[1] or ""), reverse=True)
+    shared = "z" * 3 + "shared passage of enough characters to be found for certain" + "q" * 5
+    a, b = winnow.winnow("k" * 100 + shared)[1], winnow.winnow(shared + "m" * 70)[1]
+    assert set(a.tolist()) & set(b.tolist())
+
+
+def _brute_next(spark, rows):
+    """(doc_id, n_chars, digest of the edited text, likenesses) by walking the rows in the operator's order."""
+    ties = {r.text: r.tie for r in spark.createDataFrame([(t,) for t in {r[1] or "" for r in rows}], "text string").withColumn("tie", F.xxhash64("text")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] if r[0] is not None else -(1 << 63), ties[r[1] or ""]), reverse=True)
+
+    def like(a, b):
+        a, b = (set(winnow.winnow(t)[1].tolist()) for t in (a, b))
+        return round(len(a & b) / len(a | b), 9) if a | b else 1.0
+
     want = []
     for n, row in enumerate(order):
         text, after = row[1] or "", order[(n + 1) % len(order)][1] or ""
-        want.append((str(row[0]), len(text), hashlib.sha256(winnow.edited(text, after).encode()).hexdigest()))
-    got = winnow.edited_fingerprints(frame, bucket_bytes=1 << 9).collect()
-    assert sorted((str(r.doc_id), r.n_chars, r.edited_sha256) for r in got) == sorted(want)
+        changed = text[: len(text) - len(text) // 2] + after[: len(text) // 2]
+        want.append((str(row[0]), len(text), hashlib.sha256(changed.encode()).hexdigest(), like(text, changed), like(text, after)))
+    return sorted(want)
+
+
+def _found_next(frame, **how):
+    found = winnow.edited_fingerprints(frame, **how).collect()
+    return sorted((str(r.doc_id), r.n_chars, r.edited_sha256, round(r.near_edited, 9), round(r.near_next, 9)) for r in found)
+
+
+def test_winnowing_of_next_and_edited_texts(spark, odd):
+    frame, rows = odd
+    for size in (1 << 9, 16 << 20):
+        assert _found_next(frame, bucket_bytes=size) == _brute_next(spark, rows)
     assert winnow.edited_fingerprints(frame.limit(0)).count() == 0
-    shared = "z" * 3 + "shared passage of enough characters to be found for certain" + "q" * 5
-    a, b = winnow.winnow("k" * 100 + shared)[1], winnow.winnow(shared + "m" * 70)[1]
-    assert set(a.tolist()) & set(b.tolist())
+    for few in ([(3, "only")], [(3, None)], [(None, None), (None, "a")]):
+        assert _found_next(spark.createDataFrame(few, "doc_id long, text string")) == _brute_next(spark, few)
+
+
+def test_winnowing_splits_large_and_equal_ids(spark):
+    """Ids beyond what a double holds, and one id (null) with a third of the rows, in several ranges each."""
+    rows = [((1 << 60) + n, f"text {n} " * (n % 9)) for n in range(200)] + [(None, f"none {n} " * (n % 7)) for n in range(100)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    keyed = frame.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("rank"), F.xxhash64("text").alias("tie"))
+    top = keyed.agg(F.max(F.struct("rank", "tie"))).first()[0]
+    ranges = winnow.Ranges(winnow.range_ends(keyed, 12, tuple(top)))
+    held = np.bincount(ranges.of(*(np.array(x) for x in zip(*keyed.collect(), strict=True))), minlength=len(ranges))
+    assert len(ranges) == 12 and held.max() <= 60
+    assert _found_next(frame, bucket_bytes=400) == _brute_next(spark, rows)
 
 
 def test_decontamination_equals_brute_force(spark, odd):
