@@ -1,18 +1,19 @@
 """Benchmark decontamination by size-partitioned MinHash containment.
 
-An item is its set of distinct five-word shingles; a document holds the item if it has at least
-80 % of them. Items are partitioned by size. In a partition each item is sketched by its smallest
-shingle hashes, as many as the partition's upper size bound requires: a document may lack
-floor(0.2 n) of n shingles, so a sketch longer than that cannot be missed altogether. Long
-documents are not sketched; each of their shingle hashes is looked up among the sketches, so a
-short item weighs as much in a long document as in a short one. Candidates whose sketch hits allow
-80 % are verified by the exact shingles. No pair at or above the threshold is lost.
+An item is its set of distinct five-word shingles (of all its words in a row, if it has fewer than
+five); a document holds the item if it has at least 80 % of them. Items are partitioned by size.
+In a partition each item is sketched by its smallest shingle hashes, as many as the partition's
+upper size bound requires: a document may lack floor(0.2 n) of n shingles, so a sketch longer than
+that cannot be missed altogether. Long documents are not sketched; each of their shingle hashes is
+looked up among the sketches, so a short item weighs as much in a long document as in a short one.
+Candidates whose sketch hits allow 80 % are verified by the exact shingles. No pair at or above
+the threshold is lost.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import ceil
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, spare, text_digest
+from .common import durable, small_batches, spare, text_digest
 from .simhash import _LOWER, shingle_hashes
 
 WIDTH, THRESHOLD = 5, 0.8
@@ -31,20 +32,24 @@ SPARE = 4
 BLOCK_BYTES = 32 << 20
 
 
+def _words(text: str | None) -> list[bytes]:
+    """Words, A-Z lower-cased."""
+    return (text or "").encode().translate(_LOWER).split()
+
+
 def shingles(text: str | None, width: int = WIDTH) -> set[bytes]:
-    """Distinct shingles of A-Z lower-cased words; fewer words than the width make one shingle of them all."""
-    words = (text or "").encode().translate(_LOWER).split()
-    return {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
+    """Distinct runs of `width` words; fewer words than that have none."""
+    words = _words(text)
+    return {b" ".join(words[i : i + width]) for i in range(len(words) - width + 1)} if width else set()
 
 
-class Sketches:
-    """The items of a block, ready to be looked up."""
+class _Sketches:
+    """Items whose shingles have one width, ready to be looked up."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]], threshold: float = THRESHOLD, width: int = WIDTH) -> None:
-        self.threshold, self.width = threshold, width
-        self.items = [(item_id, found) for item_id, text in items if (found := shingles(text, width))]
+    def __init__(self, items: list[tuple[int, set[bytes]]], threshold: float, width: int) -> None:
+        self.threshold, self.width, self.items = threshold, width, items
         hashes, owners, self.needed = [], [], []
-        for i, (_, found) in enumerate(self.items):
+        for i, (_, found) in enumerate(items):
             n = len(found)
             upper = 1 << (n - 1).bit_length()  # the partition holds sizes in (upper / 2, upper]
             missing = n - ceil(threshold * n - 1e-9)
@@ -53,14 +58,13 @@ class Sketches:
             hashes.append(own[:sketch])
             owners.append(np.full(sketch, i))
             self.needed.append(sketch - missing)
-        flat = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
+        flat = np.concatenate(hashes)
         order = np.argsort(flat, kind="stable")
-        self.hashes, self.owners = flat[order], (np.concatenate(owners) if owners else np.empty(0, np.int64))[order]
+        self.hashes, self.owners = flat[order], np.concatenate(owners)[order]
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
 
-    def held_by(self, text: str | None) -> list[tuple[int | None, int, int]]:
-        """(item_id, shingles, shared) of the items that the text holds."""
+    def held_by(self, text: str) -> list[tuple[int, int, int]]:
         hashes = shingle_hashes(text, self.width)
         hashes = hashes[self.maybe[(hashes >> np.uint64(44)).astype(np.int64)]]
         if not len(hashes):
@@ -74,80 +78,125 @@ class Sketches:
         of_text = shingles(text, self.width)
         found = []
         for i in sorted(candidates):
-            item_id, own = self.items[i]
+            item, own = self.items[i]
             shared = len(own & of_text)
             if shared >= self.threshold * len(own) - 1e-9:
-                found.append((item_id, len(own), shared))
+                found.append((item, len(own), shared))
         return found
 
 
+class Sketches:
+    """The items (item, text) of a block; an item of fewer words than the width is looked up by runs of as many."""
+
+    def __init__(self, items: list[tuple[int, str | None]], threshold: float = THRESHOLD, width: int = WIDTH) -> None:
+        of_width: dict[int, list[tuple[int, set[bytes]]]] = {}
+        for item, text in items:
+            n = min(width, len(_words(text)))
+            if n:
+                of_width.setdefault(n, []).append((item, shingles(text, n)))
+        self.parts = [_Sketches(own, threshold, n) for n, own in sorted(of_width.items())]
+
+    def held_by(self, text: str | None) -> list[tuple[int, int, int]]:
+        """(item, shingles, shared) of the items that the text holds."""
+        return [hit for part in self.parts for hit in part.held_by(text or "")]
+
+
+def _distinct(benchmark: DataFrame, item_col: str, item_text: str) -> DataFrame:
+    """(id, item, text): item is a number that equal texts share."""
+    text = F.coalesce(F.col(item_text).cast("string"), F.lit(""))
+    return benchmark.select(F.col(item_col).cast("long").alias("id"), F.xxhash64(text).alias("item"), text.alias("text"))
+
+
+def _passes(items: DataFrame, block_bytes: int, run: Callable[[Broadcast], DataFrame]) -> DataFrame:
+    """The union of run(block) over blocks of distinct items (item, text), each of bounded size and broadcast.
+
+    One block needs one lazy pass. With more, each pass is written before the next block is sent,
+    so that never more than one block is out.
+    """
+    spark = items.sparkSession
+    small_batches(spark)
+    items = items.groupBy("item", "text").count().select("item", "text")
+    total = items.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    blocks = 1 + total // block_bytes
+    found = None
+    for block in range(blocks):
+        # A text's block is chosen by hash, so blocks stay near block_bytes.
+        rows = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).collect()
+        sent = spark.sparkContext.broadcast([(r["item"], r["text"]) for r in rows])
+        part = run(sent)
+        if blocks > 1:
+            part = durable(part)
+            sent.unpersist()
+        found = part if found is None else found.unionAll(part)
+    return found
+
+
 def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, item_id, n_shingles, n_shared, containment): a row per document row and item that it holds.
+    """(doc_id, item_id, n_shingles, n_shared, containment): a row per document row and item row that it holds.
 
     Items without words hold nothing and are held by nothing, as are null texts. An item with
-    fewer than five words is held only by documents that are these words and nothing else. Equal
-    documents or items give equal rows each. Empty tables give no rows. The benchmark is taken in
-    blocks of bounded size, each broadcast for one pass over the documents.
+    fewer than five words is held by documents in which these words follow each other. Equal
+    documents or items give equal rows each; null ids stay null. Empty tables give no rows; other
+    columns are not read. Distinct items are taken in blocks of bounded size, each broadcast for
+    one pass over the documents.
     """
-    schema = "doc_id long, item_id long, n_shingles int, n_shared int"
+    schema = "doc_id long, item long, n_shingles int, n_shared int"
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = None
-    for sketches in _blocks(benchmark, item_col, item_text, block_bytes):
+    items = _distinct(benchmark, item_col, item_text)
 
-        def each(batches: Iterator[pa.RecordBatch], sketches=sketches) -> Iterator[pa.RecordBatch]:
+    def run(sketches: Broadcast) -> DataFrame:
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = Sketches(sketches.value, threshold, width)
             for batch in batches:
                 out = [(d, *hit) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for hit in known.held_by(t)]
                 columns = list(zip(*out, strict=True)) or [()] * 4
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "item_id", "n_shingles", "n_shared"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "item", "n_shingles", "n_shared"])
 
-        part = narrow.mapInArrow(each, schema)
-        found = part if found is None else found.unionAll(part)
-    return found.withColumn("containment", F.col("n_shared") / F.col("n_shingles"))
+        return narrow.mapInArrow(each, schema)
 
+    found = _passes(items, block_bytes, run).join(items.select("item", F.col("id").alias("item_id")), "item")
+    return found.select("doc_id", "item_id", "n_shingles", "n_shared", (F.col("n_shared") / F.col("n_shingles")).alias("containment"))
 
-def _blocks(benchmark: DataFrame, item_col: str, item_text: str, block_bytes: int) -> Iterator[Broadcast]:
-    """The benchmark's (item_id, text) in blocks of bounded size, each broadcast."""
-    spark = benchmark.sparkSession
-    small_batches(spark)
-    items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text).cast("string").alias("text"))
-    total = items.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    blocks = 1 + total // block_bytes
-    for block in range(blocks):
-        # A row's share of a block is chosen by hash, so blocks stay near block_bytes.
-        rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == block).collect()
-        yield spark.sparkContext.broadcast([(r["id"], r["text"]) for r in rows])
 
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs, with all their columns, that hold no item: each is judged by its own text.
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of docs, with all their columns, that hold no item: each is judged by its own text. id_col is not read."""
+    Null and empty texts hold nothing and stay; rows that repeat go or stay together; ids are not
+    read, so null and repeated ids change nothing; without items all rows stay.
+    """
     name = spare(docs, "held")
     narrow = docs.select(text_digest(text_col).alias(name), F.col(text_col).cast("string").alias("text"))
-    held = None
-    for sketches in _blocks(benchmark, item_col, item_text, block_bytes):
 
-        def each(batches: Iterator[pa.RecordBatch], sketches=sketches) -> Iterator[pa.RecordBatch]:
+    def run(sketches: Broadcast) -> DataFrame:
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = Sketches(sketches.value)
             for batch in batches:
                 hit = pa.array([bool(known.held_by(t)) for t in batch.column(1).to_pylist()], pa.bool_())
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(hit)], [name])
 
-        part = narrow.mapInArrow(each, f"{name} binary")
-        held = part if held is None else held.unionAll(part)
+        return narrow.mapInArrow(each, f"{name} binary")
+
+    held = _passes(_distinct(benchmark, item_col, item_text), block_bytes, run)
     return docs.join(held.distinct(), text_digest(text_col) == F.col(name), "left_anti")
 
 
 def _side(table: str, key: str) -> str:
     return f"""
-  {table}_words AS (SELECT DISTINCT {key}, text, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM {table}),
-  {table}_shingles AS (SELECT DISTINCT {key}, unnest(CASE WHEN len(w) = 0 THEN [] ELSE list_transform(generate_series(1, greatest(1, len(w) - {WIDTH - 1})), lambda i: array_to_string(w[i:i + {WIDTH - 1}], ' ')) END) AS s FROM {table}_words)"""
+  {table}_words AS (SELECT {key}, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM (SELECT DISTINCT {key}, text FROM {table}))"""
+
+
+def _runs(key: str, words: str, width: str, source: str) -> str:
+    return f"SELECT DISTINCT {key}, {width} AS width, unnest(CASE WHEN len({words}) < {width} THEN [] ELSE list_transform(generate_series(1, len({words}) - {width} + 1), lambda i: array_to_string({words}[i:i + {width} - 1], ' ')) END) AS s FROM {source}"
 
 
 SQL = f"""
 WITH {_side("documents", "doc_id")}, {_side("benchmark", "item_id")},
-  sizes AS (SELECT item_id, count(*) AS n FROM benchmark_shingles GROUP BY item_id),
-  shared AS (SELECT doc_id, item_id, count(*) AS k FROM documents_shingles JOIN benchmark_shingles USING (s) GROUP BY ALL)
+  items AS (SELECT item_id, w, least({WIDTH}, len(w)) AS width FROM benchmark_words WHERE len(w) > 0),
+  item_runs AS ({_runs("item_id", "w", "width", "items")}),
+  document_runs AS ({_runs("doc_id", "w", "width", "documents_words, (SELECT DISTINCT width FROM items)")}),
+  sizes AS (SELECT item_id, count(*) AS n FROM item_runs GROUP BY item_id),
+  shared AS (SELECT doc_id, item_id, count(*) AS k FROM document_runs JOIN item_runs USING (s, width) GROUP BY ALL)
 SELECT doc_id, item_id, n::INTEGER AS n_shingles, k::INTEGER AS n_shared, k / n AS containment
 FROM shared JOIN sizes USING (item_id) WHERE k >= {THRESHOLD} * n - 1e-9
 """

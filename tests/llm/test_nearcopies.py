@@ -83,7 +83,7 @@ def test_large_group_in_blocks(spark):
         rows.append((int(n), sorted({*range(5000, 5100)} - {int(x) for x in rng.integers(5000, 5100, 5)})))
     rows += [(3 * 10**6 + n, list(range(10**4 * n, 10**4 * n + 50))) for n in range(1, 8)]
     frame = spark.createDataFrame([(7, n, len(s), bytes(96), s) for n, s in rows], "key long, node long, n long, lanes binary, shingles array<long>")
-    links = groups.linked(frame, F.col("n"), 700, nearcopies._by_shingles, len(rows)).collect()
+    links = groups.linked(frame, F.col("n"), 700, 2000, nearcopies._by_shingles, len(rows)).collect()
     group = {n: n for n, _ in rows}
     for link in links:
         a, b = group[link.a], group[link.b]
