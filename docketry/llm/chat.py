@@ -93,5 +93,5 @@ SELECT a.conv_id, a.n_turns, a.chat FROM whole a
 WHERE NOT EXISTS (
   SELECT 1 FROM whole b
   WHERE b.turns[1] = a.turns[1] AND b.turns[1:a.n_turns] = a.turns
-    AND (b.n_turns > a.n_turns OR (b.n_turns = a.n_turns AND b.conv_id < a.conv_id)))
+    AND (b.n_turns > a.n_turns OR (b.n_turns = a.n_turns AND (b.conv_id < a.conv_id OR (a.conv_id IS NULL AND b.conv_id IS NOT NULL)))))
 """

@@ -11,19 +11,20 @@ from __future__ import annotations
 
 import heapq
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, small_batches
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEATS = 3
 #: The hash range has 2**12 slices, whose word sums show where a pattern's last pass ends.
 SLICE_SHIFT = 52
-#: Rows that are chosen by their size, to close what a seeded choice leaves of a share.
-FILLERS = 2
+#: Rows of a pattern that are looked at to close what a seeded choice leaves of its share: the next in order, and the nearest in size.
+FILLERS, NEAREST = 256, 16
 #: More patterns than that are an error: sources are meant to be few, and their patterns a summary.
-MAX_PATTERNS = 200_000
+MAX_PATTERNS = 20_000
 
 
 def words(text: Column) -> Column:
@@ -123,22 +124,49 @@ def min_cost_flow(patterns: list[tuple[tuple[int, ...], int]], quotas: list[int]
     return [{j: room[e ^ 1] for j, e in a.items() if room[e ^ 1]} for a in arcs]
 
 
+def _by_hash(part: pd.DataFrame, most: int) -> pd.Series:
+    """Words by row hash, in the rows' order; without the last hash if more of its rows may have been left out."""
+    part = part.sort_values("n")
+    sums = part.groupby("u", sort=False)["size"].sum()
+    return sums.drop(part["u"].iloc[-1]) if len(part) == most else sums
+
+
+def _next_fitting(part: pd.DataFrame) -> pd.DataFrame:
+    missing, more = int(part["missing"].iloc[0]), []
+    for u, size in _by_hash(part, FILLERS).items():
+        if size <= missing:
+            more.append(int(u))
+            missing -= int(size)
+    return pd.DataFrame({"key": [part["key"].iloc[0]], "more": [more], "missing": [missing]})
+
+
+def _nearest(part: pd.DataFrame) -> pd.DataFrame:
+    missing, sums = int(part["missing"].iloc[0]), _by_hash(part, NEAREST)
+    off = (sums - missing).abs()
+    more = [int(off.idxmin())] if len(off) and off.min() < missing else []
+    return pd.DataFrame({"key": [part["key"].iloc[0]], "more": [more], "missing": [missing - int(sums[more].sum())]})
+
+
 def mix(docs: DataFrame, seed: int = 17, id_col: str = "doc_id", members: Column | None = None, weights: tuple[float, ...] = WEIGHTS, most: int = MAX_REPEATS, size: Column | None = None) -> DataFrame:
     """(doc_id, size, source, source_size, target, taken): a row per row of docs.
 
     `members` is the array of a row's sources (by default its source alone); sources sort by code
     point, null last; `source` is the first of them, or null. `taken` counts the words that the
     mix takes of the row, whole passes of it and at most `most`. Within a pattern a last partial
-    pass takes rows in the order of a seeded hash of the id as long as they fit, then up to
-    FILLERS rows whose sizes come nearest to what is missing. Rows of equal ids go together; null
-    is an id like others. Empty documents and empty tables take nothing.
+    pass takes rows in the order of a seeded hash of id and text as long as they fit; of the next
+    FILLERS rows that are no larger than what is missing, those that still fit; and then one whose
+    size comes nearest, if that helps. Rows that repeat id and text go together; null is an id like
+    others. Empty documents and empty tables take nothing.
     """
+    small_batches(docs.sparkSession)
     members = members if members is not None else F.array("source")
     size = size if size is not None else words(F.col("text"))
     # Null sorts last: each member is a pair of "is null" and the name.
     pattern = F.array_sort(F.array_distinct(F.transform(members, lambda s: F.struct(s.isNull().alias("none"), s.cast("string").alias("name")))))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), size.alias("size"), pattern.alias("pattern"))
-    rows = durable(rows.select("doc_id", "size", "pattern", F.to_json("pattern").alias("key"), F.xxhash64(F.lit(seed), "doc_id").alias("u")))
+    # One id may have many rows, null above all: the text tells them apart.
+    of_row = [F.col(id_col).cast("long"), *[F.col(c) for c in docs.columns if c.lower() == "text"]]
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), size.alias("size"), pattern.alias("pattern"), F.xxhash64(F.lit(seed), *of_row).alias("u"))
+    rows = durable(rows.select("doc_id", "size", "pattern", F.to_json("pattern").alias("key"), "u"))
     found = rows.groupBy("key").agg(F.sum("size").alias("words"), F.first("pattern").alias("pattern")).limit(MAX_PATTERNS + 1).collect()
     if len(found) > MAX_PATTERNS:
         raise ValueError(f"over {MAX_PATTERNS} membership patterns; pass fewer sources")
@@ -175,14 +203,16 @@ def mix(docs: DataFrame, seed: int = 17, id_col: str = "doc_id", members: Column
     state = {k: [(c << SLICE_SHIFT) - 1 if before else None, rest - before, []] for k, (c, before, rest) in ends.items()}
     for r in fitting.collect():
         state[r["key"]][:2] = [r["last"], ends[r["key"]][2] - r["sum"]]
-    # What is left is filled with the rows whose sizes come nearest.
+    # What is left is filled with the next rows that fit, and then with the row whose size comes nearest.
     kept = "key string, last long, missing long, more array<long>"
-    for _ in range(FILLERS):
+    order = {_next_fitting: (FILLERS, "size <= missing", ["u"]), _nearest: (NEAREST, "abs(missing - size) < missing", [F.abs(F.col("missing") - F.col("size")), "u"])}
+    for choose, (most_rows, fits, by) in order.items():
         now = F.broadcast(spark.createDataFrame([(k, *v) for k, v in state.items()], kept))
-        rest = open_.join(now, "key").where("coalesce(u > last, true) AND NOT array_contains(more, u) AND abs(missing - size) < missing")
-        for r in rest.groupBy("key").agg(F.min(F.struct(F.abs(F.col("missing") - F.col("size")).alias("off"), "u", "size")).alias("best")).collect():
-            state[r["key"]][1] -= r["best"]["size"]
-            state[r["key"]][2].append(r["best"]["u"])
+        later = open_.join(now, "key").where(f"coalesce(u > last, true) AND NOT array_contains(more, u) AND missing > 0 AND {fits}")
+        first = later.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy(*by))).where(F.col("n") <= most_rows)
+        for r in first.select("key", "u", "size", "missing", "n").groupBy("key").applyInPandas(choose, "key string, more array<long>, missing long").collect():
+            state[r["key"]][1] = r["missing"]
+            state[r["key"]][2] += r["more"]
     chosen = F.broadcast(spark.createDataFrame([(k, *v) for k, v in state.items()], kept))
     extra = F.expr("CAST(coalesce(u <= last, false) OR coalesce(array_contains(more, u), false) AS INT)")
     taken = (F.col("size") * F.least(F.col("passes") + extra, F.lit(most))).cast("long").alias("taken")

@@ -26,8 +26,8 @@ from .common import small_batches
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, int]  # kind, start, end in code points
 
-#: Documents that training spans are taken from, and training windows, at most.
-TRAIN_DOCS, TRAIN_WINDOWS = 4000, 1200
+#: Documents that training spans are taken from, training windows, and words to write variants among: each at most so many, chosen by hash.
+TRAIN_DOCS, TRAIN_WINDOWS, TRAIN_WORDS = 4000, 1200, 2000
 WINDOW, STRIDE, HIDDEN = 96, 48, 12
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -335,14 +335,17 @@ def invented(n: int, words: list[str], seed: int = 11) -> list[tuple[str, list[S
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_docs: int = TRAIN_DOCS, most: int = TRAIN_WINDOWS) -> dict[str, np.ndarray]:
-    """Weights for a corpus: windows around the patterns' spans in a hashed sample of its texts, and invented ones."""
+    """Weights for a corpus: windows around the patterns' spans in a hashed sample of its texts, and invented ones.
+
+    Null and empty texts give no windows, repeated rows repeated ones; an empty table leaves the invented ones.
+    """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for text in batch.column(0).to_pylist():
                 spans = base_spans(text)
-                for k, a, b in spans[:4]:
+                for _, a, _ in spans:
                     own, inside = _cut(text, spans, a, 8 + a % 40)
                     rows.append((hashlib.sha256(own.encode()).hexdigest(), own, [list(s) for s in inside]))
             columns = list(zip(*rows, strict=True)) or [()] * 3
@@ -356,20 +359,22 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_
     sample = texts.where((F.pmod(F.xxhash64("id", F.lit("pii sample")), F.lit(1 << 20)) < share) & F.col("text").rlike("[0-9@]")).select("text")
     found = sample.mapInArrow(each, "key string, text string, spans array<array<bigint>>").orderBy("key").limit(most).collect()
     windows = [(r["text"], [tuple(s) for s in r["spans"]]) for r in found]
-    words = sorted({w for t, _ in windows for w in t.split() if w.isalpha()})[:2000] or ["the", "of", "and", "to", "in", "a", "is", "that", "for", "it"]
+    words = {w for t, _ in windows for w in t.split() if w.isalpha()}
+    words = sorted(words, key=lambda w: hashlib.sha256(w.encode()).digest())[:TRAIN_WORDS] or ["the", "of", "and", "to", "in", "a", "is", "that", "for", "it"]
     return fit(windows + invented(800, words))
 
 
 # ---- operators ---------------------------------------------------------------------------
 
-_OUT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
+_OUT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long, n_added long"
 
 
 def find_personal_data(docs: DataFrame, weights: dict[str, np.ndarray] | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added): a row per row of docs.
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans, n_added): a row per row of docs.
 
-    The counts and base_sha256 are of the patterns' spans, `spans` has all. Null texts are empty:
-    no spans, and the digest of the empty string. Extra columns are not read.
+    The first counts and base_sha256 are of the patterns' spans, `spans` and n_spans of all. Null
+    texts are empty: no spans, and the digest of the empty string. Null ids stay null, repeated
+    rows are rows like others, an empty table gives no rows. Extra columns are not read.
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -378,7 +383,8 @@ def find_personal_data(docs: DataFrame, weights: dict[str, np.ndarray] | None, i
             counts = [pa.array([sum(s[0] == k for s in base) for base, _ in found], pa.int64()) for k in range(4)]
             digests = pa.array([hashlib.sha256(written(base).encode()).hexdigest() for base, _ in found], pa.string())
             spans = pa.array([written(base + more) for base, more in found], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, digests, spans, pa.array([len(more) for _, more in found], pa.int64())], [c.split()[0] for c in _OUT.split(", ")])
+            totals = [pa.array([len(base) + len(more) for base, more in found], pa.int64()), pa.array([len(more) for _, more in found], pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, digests, spans, *totals], [c.split()[0] for c in _OUT.split(", ")])
 
     small_batches(docs.sparkSession)
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -407,7 +413,10 @@ class Masker:
 
 
 def mask(docs: DataFrame, weights: dict[str, np.ndarray] | None, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
-    """docs with the spans in its texts replaced; null stays null; a column of lengths, if there is one, follows."""
+    """docs with the spans in its texts replaced; null stays null; a column of lengths, if there is one, follows.
+
+    All rows and columns stay; ids are not read; an empty table gives no rows.
+    """
     run = Masker(weights)
 
     def replace(batches):

@@ -168,5 +168,5 @@ def train(docs: DataFrame, labels: DataFrame, rows: Column | None = None, id_col
 
 
 def scored(docs: DataFrame, rules: Rules, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score): a row per row of docs; null texts score as empty ones; extra columns are not read."""
+    """(doc_id, score): a row per row of docs; null texts score as empty ones, null ids stay null; extra columns are not read; an empty table gives no rows."""
     return with_statistics(docs, id_col, text_col).select("doc_id", rules.column().alias("score"))

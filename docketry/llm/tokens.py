@@ -9,35 +9,46 @@ content is taken as it is: a byte-level vocabulary tells apart any two texts.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_dir, small_batches
+from .common import durable, scratch_dir, small_batches
 
 #: Longer texts are encoded in pieces of about so many characters.
 PIECE_CHARS = 1 << 20
-#: A single space between two letters or digits of ASCII always starts a new word for byte-level BPE.
+#: A single space between two letters or digits of ASCII always starts a new word for byte-level BPE; see _has_seams.
 _SEAM = re.compile(r"(?<=[0-9A-Za-z]) (?=[0-9A-Za-z])")
 
 
+def _has_seams(tokenizer_json: str) -> bool:
+    """Whether texts may be cut at _SEAM: byte-level BPE with its own splitting pattern, no normalizer, no added token with white space."""
+    spec = json.loads(tokenizer_json)
+    before = spec.get("pre_tokenizer") or {}
+    plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True)
+    return bool(plain and not spec.get("normalizer") and (spec.get("model") or {}).get("type") == "BPE" and not any(re.search(r"\s", t["content"]) or t.get("lstrip") or t.get("rstrip") for t in spec.get("added_tokens") or []))
+
+
 def encoder(tokenizer_json: str):
-    """count(text) for a tokenizer file's content, by the library's defaults."""
+    """count(text) for a tokenizer file's content, by the library's defaults. Long texts are cut only where that changes no token."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_str(tokenizer_json)
     tokenizer.no_truncation()
     tokenizer.no_padding()
+    seams = _has_seams(tokenizer_json)
     encode = tokenizer.encode_batch_fast if hasattr(tokenizer, "encode_batch_fast") else tokenizer.encode_batch
 
     def count(text: str) -> int:
         total, at = 0, 0
-        while len(text) - at > PIECE_CHARS:
+        while seams and len(text) - at > PIECE_CHARS:
             seam = _SEAM.search(text, at + PIECE_CHARS)
             if not seam:
                 break
@@ -49,18 +60,26 @@ def encoder(tokenizer_json: str):
 
 
 def _known(spark: SparkSession, cache: str, version: str) -> DataFrame | None:
-    """Stored counts of a tokenizer, or None if there are none yet."""
+    """Stored counts of a tokenizer, each digest once, or None if there are none yet.
+
+    Every run appends a folder of its own, in which a digest is once. Runs at the same time may
+    both have encoded a text; only then are their rows reduced to one.
+    """
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{cache}/tokenizer={version}")
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(path):
         return None
-    return spark.read.schema("digest binary, n_tokens long").parquet(f"{cache}/tokenizer={version}")
+    found = spark.read.schema("digest binary, n_tokens long").parquet(f"{cache}/tokenizer={version}/run=*")
+    if len(store.listStatus(path)) > 1 and not found.groupBy("digest").count().where("count > 1").isEmpty():
+        found = durable(found.dropDuplicates(["digest"]))
+    return found
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, cache: str | None = None, id_col: str = "doc_id", text_col: str = "text", limit: int = 512) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit): a row per row of docs.
 
     `cache` is a folder that all executors reach; without it the counts live for this run only.
-    It has one writer at a time. Null texts count as empty ones, which have 0 tokens; copies are
+    Runs may share it, also at the same time. Null texts count as empty ones, which have 0 tokens; copies are
     encoded once; rows with equal or null ids stay separate rows; an empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -98,6 +117,6 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache: str | None = None,
         texts = texts.join(known, "digest", "left_anti")
     # Copies go before the shuffle, one a task, so that a text with many copies is no hot key after it.
     fresh = texts.mapInArrow(once, "digest binary, text string").repartition("digest").mapInArrow(encode, "digest binary, n_tokens long")
-    fresh.write.mode("append").parquet(f"{cache}/tokenizer={version}")
+    fresh.write.parquet(f"{cache}/tokenizer={version}/run={uuid.uuid4().hex}")
     counts = _known(spark, cache, version)
     return narrow.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

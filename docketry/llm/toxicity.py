@@ -162,7 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: Column | None = None, id_col
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score): a row per row of docs; null texts score as empty ones."""
+    """(doc_id, score): a row per row of docs; null texts score as empty ones, null ids stay null, other columns are not read."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = model.automaton()
@@ -175,7 +175,10 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def clean(docs: DataFrame, model: Model, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that score below the threshold."""
+    """The rows of docs, with all their columns, that score below the threshold.
+
+    Null texts score as empty ones; equal texts go or stay together; ids are not read.
+    """
     import pandas as pd
 
     def score(batches):

@@ -1,6 +1,9 @@
 import base64
 import hashlib
+import itertools
+import json
 import random
+import shutil
 
 import duckdb
 import numpy as np
@@ -349,6 +352,69 @@ def test_mix_targets_and_flow(spark, odd):
         assert {r.taken for r in mixing.mix(few, seed).collect()} == {100}
 
 
+def _least_cost(patterns, quotas, most):
+    """(words routed, their cost) of the best routing, by trying all."""
+    best = (0, 0)
+    shares = [[c for c in itertools.product(range(most * n + 1), repeat=len(m)) if sum(c) <= most * n] for m, n in patterns]
+    for choice in itertools.product(*shares):
+        into = [0] * len(quotas)
+        for (members, _), c in zip(patterns, choice, strict=True):
+            for j, k in zip(members, c, strict=True):
+                into[j] += k
+        if all(a <= q for a, q in zip(into, quotas, strict=True)):
+            cost = sum(max(0, sum(c) - r * n) for (_, n), c in zip(patterns, choice, strict=True) for r in range(1, most))
+            best = min(best, (-sum(into), cost))
+    return -best[0], best[1]
+
+
+def test_flow_equals_trying_all_routings():
+    rng = random.Random(8)
+    for _ in range(25):
+        patterns = [(tuple(sorted(rng.sample(range(3), rng.randint(1, 2)))), rng.randint(0, 3)) for _ in range(3)]
+        quotas = [rng.randint(0, 7) for _ in range(3)]
+        flow = mixing.min_cost_flow(patterns, quotas)
+        for (members, n), routed in zip(patterns, flow, strict=True):
+            assert set(routed) <= set(members) and sum(routed.values()) <= 3 * n
+        assert all(sum(f.get(j, 0) for f in flow) <= q for j, q in enumerate(quotas))
+        cost = sum(max(0, sum(f.values()) - r * n) for (_, n), f in zip(patterns, flow, strict=True) for r in (1, 2))
+        assert (sum(sum(f.values()) for f in flow), cost) == _least_cost(patterns, quotas, 3)
+
+
+def test_mix_of_overlapping_sources(spark):
+    """What is taken of each membership pattern comes near its share of the flow, and each source near its target."""
+    rng = random.Random(5)
+    kinds = [["a"], ["a", "b"], ["b"], ["c", "a"], [None, "c"], ["c", "c"]]
+    rows = [(n if n % 7 else None, "w " * rng.randint(0, 40) + f"t{n}", rng.choice(kinds)) for n in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held array<string>").withColumn("size", F.lit("clash"))
+    out = mixing.mix(docs, members=F.col("held")).collect()
+    assert len(out) == len(rows) and all(r.taken in {0, r.size, 2 * r.size, 3 * r.size} for r in out)
+    names = ["a", "b", "c", None]
+    words = {}
+    for _, text, held in rows:
+        key = tuple(sorted({names.index(h) for h in held}))
+        words[key] = words.get(key, 0) + len(text.split())
+    sizes = [sum(n for k, n in words.items() if j in k) for j in range(4)]
+    flow = mixing.min_cost_flow(list(words.items()), [round(t) for t in mixing.targets(sizes, total=sum(words.values()))])
+    assert abs(sum(r.taken for r in out) - sum(sum(f.values()) for f in flow)) <= 41 * len(words)
+
+
+def test_mix_fills_around_a_giant(spark):
+    """A document larger than what is missing is passed over, and small ones after it fill the share."""
+    rows = [(n, "w " * 100, "small") for n in range(300)] + [(1000 + n, "w " * 20_000, "small") for n in range(3)] + [(5000, "w " * 10_000, "other")]
+    for seed in range(4):
+        out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), seed).collect()
+        for source in ("small", "other"):
+            own = [r for r in out if r.source == source]
+            assert abs(sum(r.taken for r in own) - own[0].target) <= (100 if source == "small" else 5000)
+
+
+def test_mix_tells_null_ids_apart(spark):
+    rows = [(None, f"text {n}", "a") for n in range(200)] + [(1, "b " * 100, "b")]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    own = [r for r in out if r.source == "a"]
+    assert len({r.taken for r in own}) > 1 and abs(sum(r.taken for r in own) - own[0].target) <= 2
+
+
 def test_token_cache(spark, odd, tmp_path):
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
@@ -363,9 +429,18 @@ def test_token_cache(spark, odd, tmp_path):
     more = tokens.count_tokens(frame.unionAll(extra), path, cache)
     assert more.where("doc_id = 5000").first().n_tokens == len(tokenizer.encode("a <|endoftext|> b", add_special_tokens=False).ids)
     assert spark.read.parquet(cache).count() == stored + 1 and stored == len({r[1] or "" for r in rows})
+    # Two runs that did not see each other's counts.
+    other = str(tmp_path / "other")
+    tokens.count_tokens(extra, path, other)
+    run = next((tmp_path / "other").glob("tokenizer=*/run=*"))
+    shutil.copytree(run, next((tmp_path / "cache").glob("tokenizer=*")) / run.name)
+    again = tokens.count_tokens(frame.unionAll(extra), path, cache)
+    assert again.count() == len(rows) + 1 and sorted(map(str, again.collect())) == sorted(map(str, more.collect()))
     count = tokens.encoder(open(path).read())
     text = "some words 12 and 34, more " * 60_000
     assert count(text) == len(tokenizer.encode(text, add_special_tokens=False).ids)
+    spec = json.loads(open(path).read())
+    assert tokens._has_seams(json.dumps(spec)) and not tokens._has_seams(json.dumps({**spec, "pre_tokenizer": {"type": "Whitespace"}}))
 
 
 def test_toxicity_exceptions_cancel_their_terms_once():
