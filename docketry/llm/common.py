@@ -9,11 +9,16 @@ from pyspark.sql import functions as F
 
 from docketry.session import durable, shared_dir, ship
 
-__all__ = ["crc_mod", "durable", "load", "qualified", "scratch_dir", "shared_dir", "small_batches", "spare", "table_rows", "tasks", "text_digest"]
+__all__ = ["compact", "crc_mod", "durable", "load", "qualified", "scratch_dir", "shared_dir", "small", "small_batches", "spare", "table_rows", "tasks", "text_digest"]
 
 #: Rows in an Arrow batch. Texts can be long; a batch of default size could outgrow a worker.
 BATCH_ROWS = 256
 
+#: Rows of ids and digests that may be broadcast, at most (about 10 MB); more are joined by a shuffle.
+BROADCAST_ROWS = 1 << 17
+#: Texts that a task takes at least: tables in many small files are read by fewer tasks than files.
+TASK_TEXTS = 2000
+
 #: White space that separates words.
 SPACE = "\x20\x09-\x0d"
 
@@ -44,6 +49,16 @@ def tasks(spark: SparkSession, size: int, each: int) -> int:
     return max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // each)))
 
 
+def compact(frame: DataFrame, rows: int, each: int = TASK_TEXTS) -> DataFrame:
+    """The frame of `rows` rows in no more partitions than give each task `each` rows. Nothing moves for it."""
+    return frame.coalesce(max(1, -(-rows // each)))
+
+
+def small(frame: DataFrame, rows: int) -> DataFrame:
+    """A narrow frame of at most `rows` rows as a join's side: broadcast if that is few."""
+    return F.broadcast(frame) if rows <= BROADCAST_ROWS else frame
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterator
 from math import ceil
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
@@ -107,22 +108,29 @@ def _distinct(benchmark: DataFrame, item_col: str, item_text: str) -> DataFrame:
     return benchmark.select(F.col(item_col).cast("long").alias("id"), F.xxhash64(text).alias("item"), text.alias("text"))
 
 
-def _passes(items: DataFrame, block_bytes: int, run: Callable[[Broadcast], DataFrame]) -> DataFrame:
-    """The union of run(block) over blocks of distinct items (item, text), each of bounded size and broadcast.
+def _blocks(items: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
+    """Distinct items (item, text), and the number of blocks of bounded size that hold them."""
+    small_batches(items.sparkSession)
+    items = items.groupBy("item", "text").count().select("item", "text")
+    total = items.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return items, 1 + total // block_bytes
+
+
+def _sent(items: DataFrame, block: int, blocks: int) -> Broadcast:
+    """A block of the items; which one a text is in is chosen by hash, so blocks stay near their size."""
+    rows = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).collect()
+    return items.sparkSession.sparkContext.broadcast([(r["item"], r["text"]) for r in rows])
+
+
+def _passes(items: DataFrame, blocks: int, run: Callable[[Broadcast], DataFrame]) -> DataFrame:
+    """The union of run(block) over all blocks.
 
     One block needs one lazy pass. With more, each pass is written before the next block is sent,
     so that never more than one block is out.
     """
-    spark = items.sparkSession
-    small_batches(spark)
-    items = items.groupBy("item", "text").count().select("item", "text")
-    total = items.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    blocks = 1 + total // block_bytes
     found = None
     for block in range(blocks):
-        # A text's block is chosen by hash, so blocks stay near block_bytes.
-        rows = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).collect()
-        sent = spark.sparkContext.broadcast([(r["item"], r["text"]) for r in rows])
+        sent = _sent(items, block, blocks)
         part = run(sent)
         if blocks > 1:
             part = durable(part)
@@ -155,7 +163,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
 
         return narrow.mapInArrow(each, schema)
 
-    found = _passes(items, block_bytes, run).join(items.select("item", F.col("id").alias("item_id")), "item")
+    found = _passes(*_blocks(items, block_bytes), run).join(items.select("item", F.col("id").alias("item_id")), "item")
     return found.select("doc_id", "item_id", "n_shingles", "n_shared", (F.col("n_shared") / F.col("n_shingles")).alias("containment"))
 
 
@@ -163,9 +171,22 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
     """The rows of docs, with all their columns, that hold no item: each is judged by its own text.
 
     Null and empty texts hold nothing and stay; rows that repeat go or stay together; ids are not
-    read, so null and repeated ids change nothing; without items all rows stay.
+    read, so null and repeated ids change nothing; without items all rows stay. A benchmark of one
+    block is a filter and moves no text; more blocks mark the digests of the texts that go.
     """
     name = spare(docs, "held")
+    items, blocks = _blocks(_distinct(benchmark, item_col, item_text), block_bytes)
+    if blocks == 1:
+        sent = _sent(items, 0, 1)
+
+        def holds(batches):
+            known = Sketches(sent.value)
+            for texts in batches:
+                yield pd.Series([bool(known.held_by(t)) for t in texts], dtype=bool)
+
+        holds.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+        return docs.withColumn(name, F.pandas_udf(holds, "boolean")(F.col(text_col).cast("string"))).where(~F.col(name)).select(*docs.columns)
+
     narrow = docs.select(text_digest(text_col).alias(name), F.col(text_col).cast("string").alias("text"))
 
     def run(sketches: Broadcast) -> DataFrame:
@@ -177,8 +198,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
 
         return narrow.mapInArrow(each, f"{name} binary")
 
-    held = _passes(_distinct(benchmark, item_col, item_text), block_bytes, run)
-    return docs.join(held.distinct(), text_digest(text_col) == F.col(name), "left_anti")
+    held = durable(_passes(items, blocks, run).distinct())
+    return docs.join(held, text_digest(text_col) == F.col(name), "left_anti")
 
 
 def _side(table: str, key: str) -> str:

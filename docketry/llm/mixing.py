@@ -21,8 +21,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEATS = 3
 #: The hash range has 2**12 slices, whose word sums show where a pattern's last pass ends.
 SLICE_SHIFT = 52
-#: Rows of a pattern that are looked at to close what a seeded choice leaves of its share: the next in order, and the nearest in size.
-FILLERS, NEAREST = 256, 16
+#: Rows of a pattern, about so many, that are looked at to close what a seeded choice leaves of its share.
+FILLERS = 1024
 #: More patterns than that are an error: sources are meant to be few, and their patterns a summary.
 MAX_PATTERNS = 20_000
 
@@ -124,27 +124,18 @@ def min_cost_flow(patterns: list[tuple[tuple[int, ...], int]], quotas: list[int]
     return [{j: room[e ^ 1] for j, e in a.items() if room[e ^ 1]} for a in arcs]
 
 
-def _by_hash(part: pd.DataFrame, most: int) -> pd.Series:
-    """Words by row hash, in the rows' order; without the last hash if more of its rows may have been left out."""
-    part = part.sort_values("n")
-    sums = part.groupby("u", sort=False)["size"].sum()
-    return sums.drop(part["u"].iloc[-1]) if len(part) == most else sums
-
-
-def _next_fitting(part: pd.DataFrame) -> pd.DataFrame:
+def _filled(part: pd.DataFrame) -> pd.DataFrame:
+    """Of a pattern's rows (key, u, size, missing): those that fit one after another, and then the nearest in size if that helps."""
+    part = part.sort_values("u")
     missing, more = int(part["missing"].iloc[0]), []
-    for u, size in _by_hash(part, FILLERS).items():
+    for u, size in zip(part["u"].tolist(), part["size"].tolist(), strict=True):
         if size <= missing:
-            more.append(int(u))
-            missing -= int(size)
-    return pd.DataFrame({"key": [part["key"].iloc[0]], "more": [more], "missing": [missing]})
-
-
-def _nearest(part: pd.DataFrame) -> pd.DataFrame:
-    missing, sums = int(part["missing"].iloc[0]), _by_hash(part, NEAREST)
-    off = (sums - missing).abs()
-    more = [int(off.idxmin())] if len(off) and off.min() < missing else []
-    return pd.DataFrame({"key": [part["key"].iloc[0]], "more": [more], "missing": [missing - int(sums[more].sum())]})
+            more.append(u)
+            missing -= size
+    off = (part.loc[~part["u"].isin(more), "size"] - missing).abs()
+    if len(off) and off.min() < missing:
+        more.append(int(part["u"][off.idxmin()]))
+    return pd.DataFrame({"key": [part["key"].iloc[0]], "more": [more]})
 
 
 def mix(docs: DataFrame, seed: int = 17, id_col: str = "doc_id", members: Column | None = None, weights: tuple[float, ...] = WEIGHTS, most: int = MAX_REPEATS, size: Column | None = None) -> DataFrame:
@@ -153,9 +144,9 @@ def mix(docs: DataFrame, seed: int = 17, id_col: str = "doc_id", members: Column
     `members` is the array of a row's sources (by default its source alone); sources sort by code
     point, null last; `source` is the first of them, or null. `taken` counts the words that the
     mix takes of the row, whole passes of it and at most `most`. Within a pattern a last partial
-    pass takes rows in the order of a seeded hash of id and text as long as they fit; of the next
-    FILLERS rows that are no larger than what is missing, those that still fit; and then one whose
-    size comes nearest, if that helps. Rows that repeat id and text go together; null is an id like
+    pass takes rows in the order of a seeded hash of id and text as long as they fit; of the about
+    FILLERS rows after these, those that still fit; and then the one among them whose size comes
+    nearest, if that helps. Rows that repeat id and text go together; null is an id like
     others. Empty documents and empty tables take nothing.
     """
     small_batches(docs.sparkSession)
@@ -167,10 +158,11 @@ def mix(docs: DataFrame, seed: int = 17, id_col: str = "doc_id", members: Column
     of_row = [F.col(id_col).cast("long"), *[F.col(c) for c in docs.columns if c.lower() == "text"]]
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), size.alias("size"), pattern.alias("pattern"), F.xxhash64(F.lit(seed), *of_row).alias("u"))
     rows = durable(rows.select("doc_id", "size", "pattern", F.to_json("pattern").alias("key"), "u"))
-    found = rows.groupBy("key").agg(F.sum("size").alias("words"), F.first("pattern").alias("pattern")).limit(MAX_PATTERNS + 1).collect()
+    found = rows.groupBy("key").agg(F.sum("size").alias("words"), F.first("pattern").alias("pattern"), F.count_if(F.col("size") > 0).alias("n")).limit(MAX_PATTERNS + 1).collect()
     if len(found) > MAX_PATTERNS:
         raise ValueError(f"over {MAX_PATTERNS} membership patterns; pass fewer sources")
     patterns = sorted((tuple((m["none"], m["name"] or "") for m in r["pattern"] or []), int(r["words"] or 0), r["key"]) for r in found)
+    counts = {r["key"]: r["n"] for r in found}
     names = sorted({m for p, _, _ in patterns for m in p})
     of = {name: i for i, name in enumerate(names)}
     sizes = [0] * len(names)
@@ -203,16 +195,16 @@ def mix(docs: DataFrame, seed: int = 17, id_col: str = "doc_id", members: Column
     state = {k: [(c << SLICE_SHIFT) - 1 if before else None, rest - before, []] for k, (c, before, rest) in ends.items()}
     for r in fitting.collect():
         state[r["key"]][:2] = [r["last"], ends[r["key"]][2] - r["sum"]]
-    # What is left is filled with the next rows that fit, and then with the row whose size comes nearest.
+    # What is left is filled from a stretch of the hash range that holds about FILLERS of the pattern's rows.
     kept = "key string, last long, missing long, more array<long>"
-    order = {_next_fitting: (FILLERS, "size <= missing", ["u"]), _nearest: (NEAREST, "abs(missing - size) < missing", [F.abs(F.col("missing") - F.col("size")), "u"])}
-    for choose, (most_rows, fits, by) in order.items():
-        now = F.broadcast(spark.createDataFrame([(k, *v) for k, v in state.items()], kept))
-        later = open_.join(now, "key").where(f"coalesce(u > last, true) AND NOT array_contains(more, u) AND missing > 0 AND {fits}")
-        first = later.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy(*by))).where(F.col("n") <= most_rows)
-        for r in first.select("key", "u", "size", "missing", "n").groupBy("key").applyInPandas(choose, "key string, more array<long>, missing long").collect():
-            state[r["key"]][1] = r["missing"]
-            state[r["key"]][2] += r["more"]
+    filling = []
+    for k, (last, missing, _) in state.items():
+        after = -(1 << 63) if last is None else last + 1
+        filling.append((k, after, min((1 << 63) - 1, after + (FILLERS << 64) // max(1, counts[k])), missing))
+    now = F.broadcast(spark.createDataFrame([f for f in filling if f[3] > 0], "key string, after long, until long, missing long"))
+    later = open_.join(now, "key").where("u BETWEEN after AND until").groupBy("key", "u").agg(F.sum("size").alias("size"), F.first("missing").alias("missing"))
+    for r in later.groupBy("key").applyInPandas(_filled, "key string, more array<long>").collect():
+        state[r["key"]][2] = r["more"]
     chosen = F.broadcast(spark.createDataFrame([(k, *v) for k, v in state.items()], kept))
     extra = F.expr("CAST(coalesce(u <= last, false) OR coalesce(array_contains(more, u), false) AS INT)")
     taken = (F.col("size") * F.least(F.col("passes") + extra, F.lit(most))).cast("long").alias("taken")

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, small_batches, text_digest
+from .common import compact, durable, small, small_batches, text_digest
 from .groups import Forest, linked
 from .simhash import close_links, components, keep_first, shingle_hashes, simhash
 
@@ -32,7 +32,7 @@ LEAST_LANES = 60
 #: What a block of a group holds: band members, and shingles.
 BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 18
 #: What makes a task of its own: band members, and shingles.
-TASK_ROWS, TASK_SHINGLES = 1 << 13, 1 << 21
+TASK_ROWS, TASK_SHINGLES = 1 << 13, 1 << 18
 #: A row of nodes has 24 bands and 96 lanes, so many times what a row of a small table has.
 WIDE = 12
 
@@ -138,8 +138,8 @@ def _shingles(docs: DataFrame, wanted: DataFrame, rows: int, id_col: str, text_c
             yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "shingles"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_digest(text_col).alias("digest"), F.col(text_col).cast("string").alias("text"))
-    named = durable(wanted.select("first.doc_id", "first.digest"), WIDE * rows)
-    sets = texts.join(named, ["doc_id", "digest"], "left_semi").select("text").mapInArrow(each, "node long, shingles array<long>")
+    named = durable(wanted.select("first.doc_id", "first.digest"), rows)
+    sets = texts.join(small(named, named.count()), ["doc_id", "digest"], "left_semi").select("text").mapInArrow(each, "node long, shingles array<long>")
     return wanted.drop("first").join(sets, "node").dropDuplicates(["node"])
 
 
@@ -156,7 +156,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def _grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
     """(doc_id, digest, kept): a row per row of docs whose id is not null, with its group's smallest (doc_id, digest); and their number."""
     of_doc = durable(sketches(docs.where(F.col(id_col).isNotNull()), id_col, text_col))
-    rows = of_doc.count()
+    rows = max(1, of_doc.count())
     nodes = of_doc.groupBy("node").agg(F.min(F.struct("doc_id", "digest")).alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("lanes").alias("lanes"))
     nodes = durable(nodes, WIDE * rows)
 
@@ -169,8 +169,9 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, in
     # Sketches travel only for bands that several texts share.
     shared = durable(nodes.select(F.explode("bands").alias("key")).groupBy("key").count().where("count > 1").select("key"), BANDS * rows)
     banded = durable(nodes.select("node", "lanes", F.explode("bands").alias("key")).join(shared, "key", "left_semi"), BANDS * rows)
-    alike = linked(banded, F.lit(1), BLOCK_ROWS, TASK_ROWS, _by_lanes, BANDS * rows)
-    candidates = components(alike, BANDS * rows).select(F.col("fp").alias("node"), F.col("root").alias("key"))
+    members = banded.count()
+    alike = linked(banded, F.lit(1), BLOCK_ROWS, TASK_ROWS, _by_lanes, members)
+    candidates = components(alike, members).select(F.col("fp").alias("node"), F.col("root").alias("key"))
     wanted = durable(nodes.select("node", "first", "n", "lanes").join(candidates, "node"), WIDE * rows)
     verified = linked(durable(_shingles(docs, wanted, rows, id_col, text_col)), F.col("n"), BLOCK_SHINGLES, TASK_SHINGLES, _by_shingles, rows)
 
@@ -183,4 +184,6 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, in
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, with all columns, with one row of each group, of the smallest id and then the smallest text digest; rows with null ids stay."""
-    return keep_first(docs, *_grouped(docs, id_col, text_col), id_col, text_col)
+    total = docs.count()
+    docs = compact(docs, total)
+    return compact(keep_first(docs, *_grouped(docs, id_col, text_col), id_col, text_col), total)

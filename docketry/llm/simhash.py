@@ -23,7 +23,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, small_batches, spare, text_digest
+from docketry.session import FILE_ROWS
+
+from .common import compact, durable, small, small_batches, spare, text_digest
 from .groups import Forest, linked
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -257,13 +259,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Empty and null texts share fingerprint 0 and link like others; equal rows stay separate rows;
     an empty table gives no rows.
     """
-    of_doc = durable(fingerprints(docs, id_col, text_col, width))
-    return _grouped(of_doc, F.col("doc_id"), radius).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("kept").alias("component_id"))
+    rows = docs.count()
+    of_doc = durable(fingerprints(compact(docs, rows), id_col, text_col, width))
+    found = _grouped(of_doc, rows, F.col("doc_id"), radius)
+    return compact(found, rows, FILE_ROWS).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("kept").alias("component_id"))
 
 
-def _grouped(of_doc: DataFrame, value: Column, radius: int) -> DataFrame:
-    """of_doc (fp, ...) with kept, the smallest value in each row's component."""
-    rows = of_doc.count()
+def _grouped(of_doc: DataFrame, rows: int, value: Column, radius: int) -> DataFrame:
+    """of_doc (fp, ...), of `rows` rows, with kept, the smallest value in each row's component."""
     distinct = durable(of_doc.groupBy("fp").agg(F.min(value).alias("least")), rows)
     joined = durable(distinct.join(components(close_links(distinct, radius), rows), "fp"), rows)
     least = durable(joined.groupBy("root").agg(F.min("least").alias("kept")), rows)
@@ -284,13 +287,14 @@ def keep_first(docs: DataFrame, found: DataFrame, rows: int, id_col: str = "doc_
     counted = counted.select(F.col("doc_id").alias(id_name), F.col("digest").alias(text_name), "n", ((F.col("kept.doc_id") == F.col("doc_id")) & (F.col("kept.digest") == F.col("digest"))).alias("stays"))
     counted = durable(counted.where("NOT stays OR n > 1"), rows)
     copies, repeated = (counted.where(which).select(id_name, text_name) for which in ("NOT stays", "stays"))
+    several, n = repeated.count(), counted.count()
     same = (F.col(id_col).cast("long") == F.col(id_name)) & (text_digest(text_col) == F.col(text_name))
-    left = docs.join(copies, same, "left_anti")
-    if repeated.isEmpty():
+    left = docs.join(small(copies, n), same, "left_anti")
+    if not several:
         return left
     keyed = left.withColumns({id_name: F.col(id_col).cast("long"), text_name: text_digest(text_col)})
-    one = keyed.join(repeated, [id_name, text_name], "left_semi").dropDuplicates([id_name, text_name])
-    return left.join(repeated, same, "left_anti").unionAll(one.select(*docs.columns))
+    one = keyed.join(small(repeated, several), [id_name, text_name], "left_semi").dropDuplicates([id_name, text_name])
+    return left.join(small(repeated, several), same, "left_anti").unionAll(one.select(*docs.columns))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2) -> DataFrame:
@@ -298,6 +302,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
 
     Rows with null ids stay. Rows that repeat both id and text are reduced to one.
     """
+    rows = docs.count()
+    docs = compact(docs, rows)
     of_doc = durable(fingerprints(docs, id_col, text_col, width, keyed=True))
     value = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "digest"))
-    return keep_first(docs, _grouped(of_doc, value, radius).where("doc_id IS NOT NULL"), of_doc.count(), id_col, text_col)
+    return compact(keep_first(docs, _grouped(of_doc, rows, value, radius).where("doc_id IS NOT NULL"), rows, id_col, text_col), rows)
