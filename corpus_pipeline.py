@@ -5,32 +5,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from docketry.llm import decontaminate, mixing, nearcopies, pii, toxicity
-from docketry.llm.common import load, scratch_dir
+from docketry.llm.common import compact, load, scratch_dir
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the toxicity model, fitted on the labelled rows of docs, does not reject."""
-    return toxicity.clean(docs, toxicity.train(docs, load(spark, sf_dir, "labels")))
+    """Rows that the toxicity model, fitted on the labelled rows of docs, does not reject.
+
+    Null and empty texts stay, equal texts go or stay together, ids only find labels; without
+    labelled rows nothing is rejected, and an empty table stays empty.
+    """
+    model = toxicity.train(docs, load(spark, sf_dir, "labels"))
+    return toxicity.clean(compact(docs, docs.count()), model)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row of the smallest doc_id in each group of near copies."""
+    """The row of the smallest doc_id in each group of near copies.
+
+    Null, empty and blank texts are copies of each other. Rows with null ids stay; rows that repeat
+    id and text are reduced to one; an empty table stays empty.
+    """
     return nearcopies.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that hold no benchmark item."""
-    return decontaminate.clean(docs, load(spark, sf_dir, "benchmark"))
+    """Rows that hold no benchmark item. Null and empty texts hold none; ids are not read; an empty table stays empty."""
+    return decontaminate.clean(compact(docs, docs.count()), load(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, personal data in their texts replaced by its kind."""
-    return pii.mask(docs, pii.train(docs))
+    """All rows, personal data in their texts replaced by its kind. Null texts stay null, n_chars follows the text."""
+    return pii.mask(compact(docs, docs.count()), pii.train(docs))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows in the mix: doc_id, size, source, source_size, target, taken (words, repeats counted)."""
-    return mixing.mix(docs).where("taken > 0")
+    """The rows in the mix: doc_id, size, source, source_size, target, taken (words, repeats counted).
+
+    A null source is a source, the last; null and empty texts have no words and are never taken;
+    rows that repeat id and text are taken together.
+    """
+    return mixing.mix(compact(docs, docs.count())).where("taken > 0")
 
 
 STAGES = [
