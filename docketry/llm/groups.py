@@ -130,7 +130,11 @@ def linked(frame: DataFrame, weight: Column, bound: int, task: int, roots: Roots
     def over(n: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
-    dealt = frame.join(groups.select("key", "blocks"), "key").withColumn("i", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    def into_blocks(of_group: DataFrame) -> DataFrame:
+        """One join on the key, with a written table, so that it can be split where a key has many rows."""
+        return frame.join(of_group, "key").withColumn("i", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+
+    dealt = into_blocks(groups.select("key", "blocks"))
     hubs = frame.join(groups.where("blocks > 1").select("key", F.col("hub").alias("node"), "blocks"), ["key", "node"]).withColumn("i", over("blocks"))
     first = dealt.withColumn("settled", F.lit(False)).unionByName(hubs.withColumn("settled", F.lit(True))).withColumn("j", F.lit(0))
     width = tasks(frame.sparkSession, groups.agg(F.sum("weight")).first()[0] or 0, task)
@@ -142,7 +146,7 @@ def linked(frame: DataFrame, weight: Column, bound: int, task: int, roots: Roots
     apart = apart.distinct()
     pieces = frame.join(apart, ["key", "node"]).groupBy("key").agg(F.sum(weight).alias("loose"))
     pieces = durable(pieces.join(groups, "key").select("key", "blocks", F.ceil(F.col("loose") / bound).cast("int").alias("pieces")), rows)
-    marked = dealt.join(pieces.select("key", "pieces"), "key").join(apart.withColumn("apart", F.lit(True)), ["key", "node"], "left")
+    marked = into_blocks(pieces).join(apart.withColumn("apart", F.lit(True)), ["key", "node"], "left")
     marked = marked.withColumn("settled", F.col("apart").isNull())
     hosts = marked.withColumn("j", over("pieces"))
     guests = marked.where("apart").withColumn("j", F.pmod(F.xxhash64("node", F.lit(1)), "pieces").cast("int"))
