@@ -2,64 +2,103 @@
 
 from __future__ import annotations
 
+import calendar
+import re
+from datetime import UTC, date, datetime, timedelta
+from functools import lru_cache
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docketry.session import ship_active
+
 #: Label of an entry without a date.
 UNKNOWN = "Unknown event date"
-_ISO, _RFC = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[Tt ][0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?([Zz]|[+-][0-9]{2}:[0-9]{2})$"
-_DAY_NAME, _MONTH = r"(?i)^[a-z]+\s+[0-9]{1,2},?\s+[0-9]{4}$", r"(?i)^([a-z]+\s+[0-9]{4}|[0-9]{4}-[0-9]{1,2})$"
-_STRUCT = "struct<start:string,end:string,precision:string,status:string>"
-
-
-def _made(start: Column, end: Column, precision: str, status: str) -> Column:
-    return F.struct(start.alias("start"), end.alias("end"), F.lit(precision).alias("precision"), F.lit(status).alias("status")).cast(_STRUCT)
-
-
-def _first(value: Column, formats: tuple[str, ...]) -> Column:
-    return F.coalesce(*(F.try_to_date(value, f) for f in formats))
-
-
-def _single(value: Column) -> Column:
-    """One date string that is no interval: timestamp, year, day or month; else null."""
-    shown = lambda d: F.date_format(d, "yyyy-MM-dd")
-    moment = F.when(value.rlike(_RFC), F.try_to_timestamp(F.upper(value)))
-    stamp = F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
-    plain = F.regexp_replace(F.regexp_replace(value, ",", " "), r"\s+", " ")
-    day = F.when(value.rlike(_ISO), F.try_to_date(value, "yyyy-MM-dd")).when(value.rlike(_DAY_NAME), _first(plain, ("MMMM d yyyy", "MMM d yyyy")))
-    month = F.when(value.rlike(_MONTH), _first(F.concat(plain, F.lit(" 1")), ("MMMM yyyy d", "MMM yyyy d", "yyyy-M d")))
-    return (
-        F.when(moment.isNotNull(), _made(stamp, stamp, "timestamp", "known"))
-        .when(value.rlike("^[0-9]{4}$"), _made(F.concat(value, F.lit("-01-01")), F.concat(value, F.lit("-12-31")), "year", "approximate"))
-        .when(day.isNotNull(), _made(shown(day), shown(day), "day", "known"))
-        .when(month.isNotNull(), _made(shown(month), shown(F.last_day(month)), "month", "approximate"))
-    )
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+_DAY, _YEAR = re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}"), re.compile("[0-9]{4}")
+_NAMED_DAY, _NAMED_MONTH = re.compile(r"([A-Za-z]+)\s+([0-9]{1,2}),?\s+([0-9]{4})"), re.compile(r"([A-Za-z]+)\s*([0-9]{1,4})")
+_MONTH = re.compile(r"([0-9]{1,4})-([0-9]{1,2})")
+_MOMENT = re.compile(r"([0-9]{4}-[0-9]{2}-[0-9]{2})[Tt ]([0-9]{2}:[0-9]{2}:[0-9]{2})(?:\.([0-9]+))?([Zz]|[+-][0-9]{2}:[0-9]{2})")
+_STRUCT = "label string, start string, end string, precision string, status string"
+
+Reading = tuple[str | None, str | None, str, str]
+_NOTHING: Reading = (None, None, "unknown", "unknown")
+
+
+def _month_of(word: str) -> int | None:
+    word = word.lower()
+    return next((n for n, name in enumerate(MONTHS, 1) if word in (name, name[:3])), None)
+
+
+def _moment(value: str) -> str | None:
+    m = _MOMENT.fullmatch(value)
+    if not m:
+        return None
+    try:
+        at = datetime.fromisoformat(f"{m[1]}T{m[2]}").replace(tzinfo=UTC)
+        if m[4] not in "Zz":
+            hours, minutes = int(m[4][1:3]), int(m[4][4:])
+            if hours > 23 or minutes > 59:
+                return None
+            at -= timedelta(hours=hours, minutes=minutes) * (1 if m[4][0] == "+" else -1)
+    except (ValueError, OverflowError):
+        return None
+    return f"{at:%Y-%m-%dT%H:%M:%S}.{((m[3] or '') + '000')[:3]}Z"
+
+
+@lru_cache(1 << 16)
+def read(value: str) -> Reading:
+    """(start, end, precision, status) of one date string.
+
+    "A to B" and "A..B" are intervals from A's start to B's end, if these are in order; then an
+    instant, a year, a day or a month is looked for in the whole string.
+    """
+    for mark in (" to ", ".."):
+        left, found, right = value.partition(mark)
+        if found:
+            start, end = read(left.strip())[0], read(right.strip())[1]
+            if start and end and start <= end:
+                return start, end, "interval", "approximate"
+            break
+    if at := _moment(value):
+        return at, at, "timestamp", "known"
+    if _YEAR.fullmatch(value) and int(value):
+        return f"{value}-01-01", f"{value}-12-31", "year", "approximate"
+    try:
+        named = _NAMED_DAY.fullmatch(value)
+        day = date.fromisoformat(value) if _DAY.fullmatch(value) else date(int(named[3]), _month_of(named[1]) or 0, int(named[2])) if named else None
+    except ValueError:
+        day = None
+    if day:
+        return day.isoformat(), day.isoformat(), "day", "known"
+    month = _MONTH.fullmatch(value) or _NAMED_MONTH.fullmatch(value)
+    if month:
+        year, number = (int(month[1]), int(month[2])) if month.re is _MONTH else (int(month[2]), _month_of(month[1]) or 0)
+        if 1 <= number <= 12 and 1 <= year <= 9999:
+            return f"{year:04}-{number:02}-01", f"{year:04}-{number:02}-{calendar.monthrange(year, number)[1]:02}", "month", "approximate"
+    return _NOTHING
+
+
+def qualified(values: list[str | None] | None) -> tuple[str, str | None, str | None, str, str]:
+    """(label, start, end, precision, status) of all date strings that are given for one event; see qualify()."""
+    distinct = sorted({v.strip() for v in values if v is not None}) if values is not None else []
+    if len(distinct) > 1:
+        return "; ".join(distinct), None, None, "unknown", "conflicting"
+    return (distinct[0], *read(distinct[0])) if distinct else (UNKNOWN, *_NOTHING)
 
 
 def qualify(values: Column) -> Column:
     """struct(label, start, end, precision, status) of all date strings that are given for one event.
 
-    Trimmed strings that differ are conflicting, whatever days they mean. "A to B" and "A..B" are
-    intervals of two dates in order; a reversed one is unknown.
+    Trimmed strings that differ are conflicting, whatever days they mean; an empty one is a string
+    like others, null is none. Strings repeat much more often than they differ, so each task reads
+    a distinct one once and looks it up again afterwards.
     """
-    cleaned = F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: F.trim(v)), lambda v: v != "")
-    return _once(F.array_sort(F.array_distinct(cleaned)), _of_distinct)
-
-
-def _once(value: Column, f) -> Column:
-    """f(value), with the value computed once however often f names it."""
-    return F.get(F.transform(F.array(value), lambda x: f(x)), F.lit(0))
-
-
-def _interval(left: Column, right: Column) -> Column:
-    return F.when(left["start"] <= right["end"], _made(left["start"], right["end"], "interval", "approximate"))
 
+    def each(lists: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([qualified(v) for v in lists], columns=["label", "start", "end", "precision", "status"])
 
-def _of_distinct(distinct: Column) -> Column:
-    none = F.lit(None).cast("string")
-    value = F.get(distinct, F.lit(0))
-    ends = [F.trim(F.get(F.split(value, pattern, 2), F.lit(i))) for pattern in (r"\s+to\s+", r"\.\.") for i in (0, 1)]
-    read = F.transform(F.array(value, *ends), lambda v: _single(v))
-    dated = _once(read, lambda r: F.coalesce(_interval(F.get(r, F.lit(1)), F.get(r, F.lit(2))), _interval(F.get(r, F.lit(3)), F.get(r, F.lit(4))), F.get(r, F.lit(0)), _made(none, none, "unknown", "unknown")))
-    dated = F.when(F.size(distinct) > 1, _made(none, none, "unknown", "conflicting")).otherwise(dated)
-    return dated.withField("label", F.when(F.size(distinct) == 0, F.lit(UNKNOWN)).otherwise(F.array_join(distinct, "; ")))
+    each.__annotations__ = {"lists": pd.Series, "return": pd.DataFrame}
+    ship_active()
+    return F.pandas_udf(each, _STRUCT)(values)

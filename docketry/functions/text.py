@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
+from itertools import accumulate
 from urllib.parse import quote, unquote, urljoin, urlsplit
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -41,22 +43,35 @@ def markdown_escape(column: Column | str) -> Column:
 
 
 def frame_hash(*columns: Column) -> Column:
-    """SHA-256 over fields that each follow their byte length, so that no two lists of fields run together."""
+    """SHA-256 over fields that each follow their byte length, so that no two lists of fields run together; null is not empty."""
     parts = []
     for c in columns:
-        value = F.coalesce(c.cast("string"), F.lit(""))
-        parts += [F.octet_length(value).cast("string"), F.lit(":"), value]
+        value = c.cast("string")
+        parts.append(F.coalesce(F.concat(F.octet_length(value).cast("string"), F.lit(":"), value), F.lit("null:")))
     return F.sha2(F.concat(*parts).cast("binary"), 256)
 
 
+def sum_of_hashes(rows: DataFrame, columns: list[str]) -> str:
+    """A digest of a table's rows, whatever their order, with their number.
+
+    The four 64-bit words of each row's SHA-256 are added up as decimals, so partial sums come from
+    the tasks and one row goes to the driver. It tells accidental changes; whoever can choose rows
+    freely could make two tables with equal sums.
+    """
+    digest = frame_hash(*(F.col(c) for c in columns))
+    words = [F.conv(F.substring(digest, 1 + 16 * i, 16), 16, 10).cast("decimal(20,0)") for i in range(4)]
+    total = rows.select(*(w.alias(f"w{i}") for i, w in enumerate(words))).agg(*(F.sum(f"w{i}").alias(f"w{i}") for i in range(4)), F.count("*").alias("n")).first()
+    return "-".join(f"{int(total[f'w{i}'] or 0):x}" for i in range(4)) + f"-{total['n']}"
+
+
 def source_id(extension: Column, text: Column) -> Column:
     """The identity of retained bytes under an extension: equal bytes and extension are one source."""
     return F.concat(F.lit("source-"), F.sha2(F.concat(extension, F.char(F.lit(0)), F.sha2(text.cast("binary"), 256)).cast("binary"), 256))
 
 
 def chunk_key(page_id: Column, index: Column) -> Column:
-    """A stable signed 64-bit key: the first eight bytes of a SHA-256 over page, separator and big-endian index."""
-    raw = F.concat(page_id.cast("binary"), F.unhex(F.lit("00")), F.lit("chunk").cast("binary"), F.unhex(F.lit("00")), F.unhex(F.lpad(F.hex(index.cast("long")), 16, "0")))
+    """A stable signed 64-bit key: the first eight bytes of a SHA-256 over page, separator (a fixed value) and big-endian index."""
+    raw = F.concat(page_id.cast("binary"), F.unhex(F.lit("00")), F.lit("meaning-chunk").cast("binary"), F.unhex(F.lit("00")), F.unhex(F.lpad(F.hex(index.cast("long")), 16, "0")))
     return F.conv(F.substring(F.sha2(raw, 256), 1, 16), 16, -10).cast("long")
 
 
@@ -88,14 +103,31 @@ def linked_urls(text: str) -> list[str]:
 
 
 def resolve_url(base: str, href: str) -> str:
-    """The absolute http(s) URL of a link, or the link as it is written."""
+    """The absolute http(s) URL of a link, written as browsers write it, or the link as it stands.
+
+    An empty link is the base itself, without its fragment.
+    """
     try:
-        url = urljoin(base, href)
-        return url if urlsplit(url).scheme in ("http", "https") else href
-    except ValueError:
+        start = urlsplit(base)
+        if not start.scheme:
+            return href
+        parts = urlsplit(urljoin(base, href) if href else base.partition("#")[0])
+        if parts.scheme not in ("http", "https") or not parts.hostname:
+            return href
+        host = f"[{parts.hostname}]" if ":" in parts.hostname else parts.hostname.encode("idna").decode() if not parts.hostname.isascii() else parts.hostname
+        port = f":{parts.port}" if parts.port and parts.port != {"http": 80, "https": 443}[parts.scheme] else ""
+        user = parts.netloc.rpartition("@")[0]
+        url = f"{parts.scheme}://{f'{user}@' if user else ''}{host}{port}{quote(parts.path or '/', safe=_PATH)}"
+        url += f"?{quote(parts.query, safe=_QUERY)}" if parts.query else ""
+        return url + (f"#{quote(parts.fragment, safe=_QUERY)}" if parts.fragment else "")
+    except (ValueError, UnicodeError):
         return href
 
 
+#: Signs that stay as they are in paths and queries.
+_PATH, _QUERY = "/%!$&'()*+,;=:@-._~[]|\\^", "/%!$&()*+,;=:@-._~?[]|\\^`{}"
+
+
 def resolve_relative(page: str, link: str) -> str | None:
     """The collection path that a link on a page leads to; None for absolute, foreign or escaping links."""
     path = unquote(link.partition("#")[0])
@@ -121,6 +153,13 @@ def relative_link(page: str, target: str) -> str:
     return "/".join([".."] * (len(here) - shared) + there[shared:])
 
 
+def rebased_link(link: str, page: str, moved: str) -> str:
+    """A relative link of a page as the page writes it after it has moved; other links stay."""
+    target, mark, place = link.partition("#")
+    path = resolve_relative(page, target)
+    return link if path is None else quote(relative_link(moved, path), safe="/-._~") + mark + place
+
+
 def cut_utf8(text: str, most: int) -> str:
     """The longest prefix of at most so many bytes that ends between characters."""
     return text.encode()[:most].decode(errors="ignore")
@@ -178,9 +217,9 @@ def utf8_windows(data: bytes, size: int = 32 << 10, overlap: int = 1 << 10) -> l
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
-    """Character spans that end at . ? ! before white space, or at a line's end."""
+    """Character spans that end at . ? ! before white space, or at a line's end, without outer white space."""
     out, at = [], 0
-    for m in re.finditer(r"[.?!]+(?=\s)|\n|$", text):
+    for m in re.finditer(r"[.?!](?=\s|$)|\n|$", text):
         end = m.end()
         body = text[at:end].strip()
         if body:
@@ -188,3 +227,52 @@ def sentences(text: str) -> list[tuple[int, int]]:
             out.append((start, start + len(body)))
         at = end
     return out
+
+
+# Signs that end a sentence, closing quotes that belong to it, and signs that open a quotation.
+_ENDS, _CLOSING, _OPENING = ".?!\n", "'\"’”", "“\"‘'"
+
+
+def sentence_around(text: str, start: int, end: int) -> tuple[int, int]:
+    """The sentence (in characters) around a match: from after the sign that ends the one before, to the sign that ends its own and closing quotes."""
+    left = 1 + max(text.rfind(sign, 0, start) for sign in _ENDS)
+    right = min((at + 1 for sign in _ENDS if (at := text.find(sign, end)) >= 0), default=len(text))
+    while left < right and text[left].isspace():
+        left += 1
+    while right < len(text) and text[right] in _CLOSING:
+        right += 1
+    return left, right
+
+
+def origin(text: str, start: int, end: int) -> str:
+    """"quoted" where the last quotation mark before a span (in characters) comes again after it, or a colon before it follows the word quoted; else "observed"."""
+    opened = max(text.rfind(sign, 0, start) for sign in _OPENING)
+    if opened >= 0 and text.find(text[opened], end) >= 0:
+        return "quoted"
+    colon = text.rfind(":", 0, start)
+    word = _QUOTED.search(text) if colon >= 0 else None
+    return "quoted" if word and word.end() <= colon else "observed"
+
+
+_QUOTED = re.compile("quoted", re.IGNORECASE)
+
+
+def bytes_at(text: str):
+    """A function from a character's number to its first byte's."""
+    if text.isascii():
+        return lambda n: n
+    ends = [0, *accumulate(len(c.encode()) for c in text)]
+    return ends.__getitem__
+
+
+def stream_holds(pieces: Iterable[bytes], needle: bytes) -> bool:
+    """Whether a byte string occurs in a stream, across its pieces too; the empty one occurs in any. Holds a piece and the needle's length at once."""
+    if not needle:
+        return True
+    tail = b""
+    for piece in pieces:
+        tail += piece
+        if needle in tail:
+            return True
+        tail = tail[max(0, len(tail) - len(needle) + 1) :]
+    return False

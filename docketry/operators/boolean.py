@@ -12,13 +12,17 @@ import json
 import re
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry.functions.text import is_true
+from docketry.operators.continuation import MAX_PAGE, MAX_WORK, Answer, Store, check_limits
+from docketry.session import durable
 
 STATUSES = ("pending", "processing", "complete", "failed", "unavailable", "update_pending", "update_failed", "identity_ambiguous", "extraction_incomplete", "source_unavailable")
 MAX_NODES, MAX_DEPTH, MAX_HOPS, MAX_KIND_BYTES = 64, 16, 32, 128
+#: Hops that one plan unrolls before what it reached is written.
+HOPS_A_PLAN = 8
 _DAY = re.compile(r"\d{4}-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])")
 
 
@@ -156,22 +160,32 @@ def reached(path: Path, pages: DataFrame, edges: DataFrame) -> DataFrame:
         step = _steps(frontier, edges, hop).where("supported").join(around, F.col("next") == F.col("p_id")).where(allowed.column("p_"))
         step = step.select("next", F.concat("route", F.array("relationship_id")).alias("route"))
         # The least route is the first discovered: an aggregate with a map-side part, where a window would move every route.
-        frontier = step.groupBy(F.col("next").alias("at")).agg(F.min("route").alias("route"))
+        frontier = _written(step.groupBy(F.col("next").alias("at")).agg(F.min("route").alias("route")), depth)
     return frontier.select(F.col("at").alias("page_id"), "route")
 
 
-def diagnostics(path: Path, pages: DataFrame, edges: DataFrame) -> DataFrame:
-    """(depth, relationship_id, issue): edges of the path's kinds that lead nowhere or have no support left."""
+def _examined(path: Path, pages: DataFrame, edges: DataFrame) -> DataFrame:
+    """(depth, at, relationship_id, issue): the edges of the path's kinds that it meets, and what is wrong with them."""
     spark = pages.sparkSession
     frontier = spark.createDataFrame([(path.start,)], "at string")
-    around, out = _around(pages), spark.createDataFrame([], "depth int, relationship_id string, issue string")
+    around, out = _around(pages), spark.createDataFrame([], "depth int, at string, relationship_id string, issue string")
     for depth, hop in enumerate(path.hops, 1):
         step = _steps(frontier, edges, hop).join(around, F.col("next") == F.col("p_id"), "left")
         issue = F.when(F.col("p_id").isNull(), "missing_endpoint").when(~F.col("supported"), "missing_support")
-        out = out.unionByName(step.select(F.lit(depth).alias("depth"), "relationship_id", issue.alias("issue")).where("issue IS NOT NULL"))
+        out = out.unionByName(step.select(F.lit(depth).alias("depth"), "at", "relationship_id", issue.alias("issue")))
         allowed = path.endpoint if depth == len(path.hops) else path.intermediate
-        frontier = step.where("p_id IS NOT NULL AND supported").where(allowed.column("p_")).select(F.col("next").alias("at")).distinct()
-    return out.distinct()
+        frontier = _written(step.where("p_id IS NOT NULL AND supported").where(allowed.column("p_")).select(F.col("next").alias("at")).distinct(), depth)
+    return out
+
+
+def diagnostics(path: Path, pages: DataFrame, edges: DataFrame) -> DataFrame:
+    """(depth, relationship_id, issue): edges of the path's kinds that lead nowhere or have no support left."""
+    return _examined(path, pages, edges).where("issue IS NOT NULL").select("depth", "relationship_id", "issue").distinct()
+
+
+def _written(frontier: DataFrame, depth: int) -> DataFrame:
+    """Long paths are written every few hops, so that plans stay small."""
+    return durable(frontier) if depth % HOPS_A_PLAN == 0 else frontier
 
 
 def query_pages(pages: DataFrame, edges: DataFrame, expression: Expression, returned: Constraint | None = None) -> DataFrame:
@@ -180,18 +194,21 @@ def query_pages(pages: DataFrame, edges: DataFrame, expression: Expression, retu
     starts = {p.start for p in paths}
     if starts and pages.where(F.col("page_id").isin(list(starts))).select("page_id").distinct().count() < len(starts):
         raise ValueError("a start page does not exist")
-    found = pages
-    for n, path in enumerate(paths):
-        found = found.join(reached(path, pages, edges).withColumnRenamed("route", f"leaf_{n}"), "page_id", "left")
-    number = {id(p): n for n, p in enumerate(paths)}
+    # Leaves are numbered as they are written; equal ones share a join.
+    found, distinct = pages, list(dict.fromkeys(paths))
+    for n, path in enumerate(distinct):
+        found = found.join(reached(path, pages, edges).withColumnRenamed("route", f"path_{n}"), "page_id", "left")
+    column = [F.col(f"path_{distinct.index(path)}") for path in paths]
+    numbers = iter(range(len(paths)))
 
     def holds(node: Expression, negated: bool) -> tuple[Column, list[tuple[int, Column]]]:
         """Whether the node, or its negation, is true of a page, and which leaves speak for it when it is."""
         if isinstance(node, Not):
             return holds(node.of, not negated)
         if isinstance(node, Path):
-            hit = F.col(f"leaf_{number[id(node)]}").isNotNull()
-            return (~hit, []) if negated else (hit, [(number[id(node)], hit)])
+            n = next(numbers)
+            hit = column[n].isNotNull()
+            return (~hit, []) if negated else (hit, [(n, hit)])
         if isinstance(node, Constraint):
             return (~node.column() if negated else node.column()), []
         every = isinstance(node, And) != negated
@@ -204,7 +221,7 @@ def query_pages(pages: DataFrame, edges: DataFrame, expression: Expression, retu
         return total, evidence
 
     matches, evidence = holds(expression, False)
-    told = F.array(*(F.when(hit, F.struct(F.lit(n).alias("leaf"), F.col(f"leaf_{n}").alias("route"))) for n, hit in evidence)) if evidence else F.array().cast("array<struct<leaf:int,route:array<string>>>")
+    told = F.array(*(F.when(hit, F.struct(F.lit(n).alias("leaf"), column[n].alias("route"))) for n, hit in evidence)) if evidence else F.array().cast("array<struct<leaf:int,route:array<string>>>")
     out = found.where(matches).where((returned or Constraint()).column())
     return out.select(*pages.columns, F.filter(told, lambda x: x.isNotNull()).alias("evidence"))
 
@@ -213,33 +230,74 @@ def relationship_text(kind: Column, source: Column, target: Column, qualifier: C
     return F.concat_ws(" ", source, kind, target, F.when(F.length(F.trim(qualifier)) > 0, F.concat(F.lit("("), qualifier, F.lit(")"))))
 
 
-@dataclass
-class Cursor:
-    """Results of one query under one revision, written once and paged by page_id."""
+def targets(expression: Expression, returned: Constraint | None = None) -> list[str]:
+    """The start pages that a saved query names, once each and in order, after validation."""
+    (returned or Constraint()).validate()
+    return list(dict.fromkeys(path.start for path in leaves(expression)))
 
-    folder: str
-    signature: str
-    revision: str
-    last: str = ""
-    canceled: bool = False
 
+class Queries:
+    """query_pages in calls of bounded work, over stored tables.
 
-def start(pages: DataFrame, edges: DataFrame, expression: Expression, folder: str, revision: str, returned: Constraint | None = None) -> Cursor:
-    query_pages(pages, edges, expression, returned).write.mode("overwrite").parquet(folder)
-    return Cursor(folder, signature(expression, returned or Constraint()), revision)
+    The first call finds the result and stores it with the examined edges. Each call then goes on
+    through the edges (a unit of work each, with what is wrong with them) and, when none is left,
+    through the pages in order of page_id (a unit each). So budgets change how many calls a result
+    takes, never the result, and NOT never speaks before all paths are known.
+    """
 
+    def __init__(self, store: Store, pages: DataFrame, edges: DataFrame) -> None:
+        self.store, self.pages, self.edges = store, pages, edges
 
-def next_page(spark: SparkSession, cursor: Cursor, revision: str, asked: str, size: int = 50) -> tuple[list, bool]:
-    """(rows, complete): the page after the cursor's last row. A canceled, stale or changed query is an error."""
-    if not 1 <= size <= 50:
-        raise ValueError("a page has 1 to 50 rows")
-    for wrong, why in ((cursor.canceled, "canceled"), (cursor.revision != revision, "stale"), (cursor.signature != asked, "changed")):
-        if wrong:
-            raise ValueError(f"the query is {why}")
-    rows = spark.read.parquet(cursor.folder).where(F.col("page_id") > cursor.last).orderBy("page_id").limit(size + 1).collect()
-    if rows[:size]:
-        cursor.last = rows[:size][-1]["page_id"]
-    return rows[:size], len(rows) <= size
+    def query(self, expression: Expression, revision: str, returned: Constraint | None = None, continuation: str | None = None, work_budget: int = MAX_WORK, page_size: int = MAX_PAGE) -> Answer:
+        check_limits(work_budget, page_size)
+        returned = returned or Constraint()
+        returned.validate()
+        paths, asked = leaves(expression), signature(expression, returned)
+        if continuation is None:
+            name, state = self._begin(expression, returned, paths, revision, asked), {"edge": None, "page": ""}
+        else:
+            name, state = self.store.resume(continuation, revision, asked)
+        self.store.retire()
+        spark, folder = self.pages.sparkSession, self.store.tables(name)
+        work, diagnostics, results = 0, [], []
+        edge, last = state["edge"], state["page"]
+        examined = spark.read.parquet(f"{folder}/examined")
+        if edge != "done":
+            key = ["leaf", "depth", "at", "relationship_id"]
+            later = examined if edge is None else examined.where(F.struct(*key) > F.struct(*(F.lit(v).cast(examined.schema[k].dataType) for k, v in zip(key, edge, strict=True))))
+            rows = later.orderBy(*key).limit(work_budget).collect()
+            work = len(rows)
+            diagnostics = [(r["leaf"], r["depth"], r["relationship_id"], r["issue"]) for r in rows if r["issue"]]
+            edge = [rows[-1][k] for k in key] if work == work_budget else "done"
+        complete = False
+        if edge == "done" and work < work_budget:
+            found = spark.read.parquet(f"{folder}/found")
+            around = self.pages.where(F.col("page_id") > last).select("page_id").orderBy("page_id").limit(work_budget - work + 1)
+            rows = around.join(found.withColumn("hit", F.lit(True)), "page_id", "left").orderBy("page_id").collect()
+            scanned = 0
+            for row in rows[: work_budget - work]:
+                if len(results) == page_size:
+                    break
+                last, scanned = row["page_id"], scanned + 1
+                if row["hit"]:
+                    results.append(row)
+            work += scanned
+            complete = scanned == len(rows)
+        self.store.save(name, {"signature": asked, "revision": revision, "canceled": False, "edge": edge, "page": last})
+        return Answer(results, revision, None if complete else self.store.token(name), complete, work, diagnostics)
+
+    def _begin(self, expression: Expression, returned: Constraint, paths: list[Path], revision: str, asked: str) -> str:
+        name = self.store.begin({"signature": asked, "revision": revision})
+        folder = self.store.tables(name)
+        query_pages(self.pages, self.edges, expression, returned).write.parquet(f"{folder}/found")
+        examined = self.pages.sparkSession.createDataFrame([], "leaf int, depth int, at string, relationship_id string, issue string")
+        for n, path in enumerate(paths):
+            examined = examined.unionByName(_examined(path, self.pages, self.edges).select(F.lit(n).alias("leaf"), "depth", "at", "relationship_id", "issue"))
+        examined.write.parquet(f"{folder}/examined")
+        return name
+
+    def cancel(self, continuation: str) -> None:
+        self.store.cancel(continuation)
 
 
 def latest_support(supports: DataFrame) -> DataFrame:

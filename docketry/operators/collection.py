@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketry.functions.text import contains_literal, fold, frame_hash, is_true
+from docketry.functions.text import contains_literal, fold, is_true, sum_of_hashes
 
 PAGE_SIZE = 50
 AXES = ("topic", "person", "place", "date", "format")
@@ -93,21 +94,9 @@ def member_page(pages: DataFrame, tags: DataFrame, links: DataFrame, group_id: s
 
 
 def revision(pages: DataFrame, tags: DataFrame) -> str:
-    """A digest of all rows that groups depend on, whatever their order.
-
-    Row hashes are added up modulo 2**61, so partial sums come from the tasks and one number goes to the driver.
-    """
-
-    def summed(frame: DataFrame, columns: list[str]) -> DataFrame:
-        row = F.conv(F.substring(frame_hash(*(F.col(c) for c in columns)), 1, 14), 16, 10).cast("decimal(38,0)")
-        return frame.agg(F.sum(row).alias("s"), F.count("*").alias("n"))
-
-    a = summed(pages, ["page_id", "page_type", "title", "kind", "event_date", "format", "processing_status"])
-    b = summed(tags, ["page_id", "normalized", "label"])
-    row = a.unionAll(b).select(F.concat_ws("/", F.coalesce(F.col("s").cast("string"), F.lit("0")), "n").alias("x")).collect()
-    import hashlib
-
-    return hashlib.sha256("|".join(r["x"] for r in row).encode()).hexdigest()
+    """A digest of all rows that groups depend on, whatever their order."""
+    told = sum_of_hashes(pages, ["page_id", "page_type", "title", "kind", "event_date", "format", "processing_status"])
+    return hashlib.sha256(f"{told}|{sum_of_hashes(tags, ['page_id', 'normalized', 'label'])}".encode()).hexdigest()
 
 
 def membership_changes(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -77,3 +77,62 @@ def commit(staged: DataFrame, stored: DataFrame, key: list[str], payload: str) -
     fresh = staged.dropDuplicates([*key, payload]).join(stored.select(*key), key, "left_anti")
     clash = staged.join(stored.select(*key, F.col(payload).alias("stored_")), key).where(F.col(payload) != F.col("stored_")).drop("stored_")
     return fresh, clash
+
+
+def chained(drafts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(content, entities) of the sources whose aggregate() has no problem.
+
+    content: source_id, text, the drafts' texts joined in order. entities: source_id, kind, label,
+    start, each once, where it was first mentioned. Aggregates are within LIMITS and MAX_BYTES, so
+    a source's text and entities fit a row and a group.
+    """
+    good = aggregate(drafts).where("problem IS NULL").select("source_id")
+    kept = drafts.join(good, "source_id", "left_semi")
+    parts = kept.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("start", "text"))).alias("parts"))
+    mentions = kept.select("source_id", "start", F.posexplode("entities").alias("position", "entity"))
+    first = mentions.groupBy("source_id", F.col("entity.kind").alias("kind"), F.col("entity.label").alias("label")).agg(F.min(F.struct("start", "position")).alias("first"))
+    return parts.select("source_id", F.array_join(F.col("parts.text"), "").alias("text")), first.select("source_id", "kind", "label", F.col("first.start").alias("start"))
+
+
+def holds_bytes(records: DataFrame, needle: bytes) -> DataFrame:
+    """(part_id, found): whether the stored records (part_id, start, data) of a part hold a byte string, across records too.
+
+    Records stream in order; no more than one and the needle's length are held at once.
+    """
+    import pandas as pd
+
+    from docketry.session import ship
+
+    ship(records.sparkSession)
+
+    def each(batches):
+        last, tail, found = None, b"", False
+        for batch in batches:
+            rows = []
+            for part, data in zip(batch["part_id"], batch["data"], strict=True):
+                if part != last:
+                    if last is not None:
+                        rows.append((last, found))
+                    last, tail, found = part, b"", not needle
+                if not found:
+                    tail += bytes(data or b"")
+                    found = needle in tail
+                    tail = tail[max(0, len(tail) - len(needle) + 1) :]
+            yield pd.DataFrame(rows, columns=["part_id", "found"])
+        if last is not None:
+            yield pd.DataFrame([(last, found)], columns=["part_id", "found"])
+
+    ordered = records.select("part_id", "start", "data").repartition("part_id").sortWithinPartitions("part_id", "start")
+    return ordered.mapInPandas(each, f"part_id {records.schema['part_id'].dataType.simpleString()}, found boolean")
+
+
+def percentiles(samples: DataFrame, column: str, shares: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
+    """(share, value): the sample at position floor((n - 1) * share) of the sorted ones, from counts of the distinct values."""
+    kind = samples.schema[column].dataType.simpleString()
+    n = samples.where(F.col(column).isNotNull()).count()
+    if not n:
+        return samples.sparkSession.createDataFrame([], f"share double, value {kind}")
+    at = [int((n - 1) * round(100 * s)) // 100 for s in shares]
+    wanted = F.array(*(F.lit(s) for s in shares))
+    values = samples.agg(F.percentile(column, F.array(*(F.lit(k / (n - 1) if n > 1 else 0.0) for k in at))).alias("v"))
+    return values.select(F.explode(F.arrays_zip(wanted.alias("share"), F.col("v").alias("value"))).alias("p")).select("p.share", F.round("p.value", 9).cast(kind).alias("value"))

@@ -6,7 +6,7 @@ import json
 import uuid
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry.functions.text import frame_hash, passage
@@ -59,24 +59,22 @@ def update_category(status: Column, error: Column) -> Column:
 
 
 def recovery(state: Column, retry_at: Column) -> Column:
-    return (
-        F.when(retry_at.isNotNull(), F.concat(F.lit("A retry is scheduled at epoch milliseconds "), retry_at.cast("string")))
-        .when(state.isin("pending", "processing"), "Processing is queued or running")
-        .otherwise("No retry is scheduled; what is supported stays readable")
-    )
+    """struct(how, retry_at): whether a retry is scheduled (and when, in epoch milliseconds), queued, or neither."""
+    how = F.when(retry_at.isNotNull(), "scheduled").when(state.isin("pending", "processing"), "queued").otherwise("none")
+    return F.struct(how.alias("how"), retry_at.cast("long").alias("retry_at"))
 
 
 def gaps(sources: DataFrame, coverage: DataFrame, relationships: DataFrame) -> DataFrame:
     """(page_id, category, scope, detail, recovery, rule): everything that keeps a page's knowledge incomplete.
 
     sources: page_id, source_id, available, original, extraction, detail, ambiguous, update_status, state,
-    error, retry_at, edited. coverage: page_id, location, status, detail. relationships: page_id,
+    error, retry_at, edited (outside, and uncertain). coverage: page_id, location, status, detail. relationships: page_id,
     relationship_id, qualifier, supported.
     """
 
     def rule(n: int, rows: DataFrame, category: Column | str, scope: str, detail: Column, how: Column | None = None) -> DataFrame:
         category = F.lit(category) if isinstance(category, str) else category
-        return rows.select("page_id", category.alias("category"), F.col(scope).alias("scope"), detail.alias("detail"), (F.lit(None).cast("string") if how is None else how).alias("recovery"), F.lit(n).alias("rule"))
+        return rows.select("page_id", category.alias("category"), F.col(scope).alias("scope"), detail.alias("detail"), (F.lit(None).cast("struct<how:string,retry_at:bigint>") if how is None else how).alias("recovery"), F.lit(n).alias("rule"))
 
     how = recovery(F.col("state"), F.col("retry_at"))
     there = sources.where("available")
@@ -87,14 +85,14 @@ def gaps(sources: DataFrame, coverage: DataFrame, relationships: DataFrame) -> D
         rule(1, sources.where("NOT available"), "source_unavailable", "source_id", F.lit("The source page is unavailable")),
         rule(2, there.where("NOT original"), "source_unavailable", "source_id", F.lit("The retained original is unavailable")),
         rule(3, there.where("extraction = 'empty'"), "empty_source", "source_id", F.col("detail")),
-        rule(4, there.where("ambiguous"), "identity_ambiguous", "page_id", F.lit("Several pages claim this identity")),
+        rule(4, there.where("ambiguous"), "identity_ambiguous", "source_id", F.lit("Several pages claim this identity")),
         rule(5, open_.where(~complete), "extraction_incomplete", "source_id", F.col("detail"), how),
         rule(6, coverage.where("status <> 'complete'"), "extraction_incomplete", "location", F.col("detail")),
         rule(7, open_.where("update_status IS NOT NULL"), update_category(F.col("update_status"), F.col("error")), "source_id", F.coalesce("error", F.lit("The replacement has not completed")), how),
         rule(8, open_.where("update_status IS NULL AND state <> 'complete'"), stuck, "source_id", F.coalesce("error", F.lit("Processing has not completed")), how),
         rule(9, relationships.where("NOT supported"), "insufficient_support", "relationship_id", F.lit("No support of the relationship is left")),
         rule(10, relationships.where("supported AND trim(qualifier) <> ''"), "insufficient_support", "relationship_id", F.col("qualifier")),
-        rule(11, there.where("edited"), "update_pending", "page_id", F.lit("The page was edited outside")),
+        rule(11, there.where("edited"), "insufficient_support", "source_id", F.lit("An edit made outside could not become current facts")),
     ]
     out = parts[0]
     for part in parts[1:]:
@@ -102,6 +100,20 @@ def gaps(sources: DataFrame, coverage: DataFrame, relationships: DataFrame) -> D
     return out
 
 
+def with_sources(found: DataFrame, knowledge: DataFrame) -> DataFrame:
+    """gaps() with those of knowledge pages' sources added to the pages (page_id, source_page_id), the sources' first."""
+    of_source = knowledge.join(found.withColumnRenamed("page_id", "source_page_id"), "source_page_id").select("page_id", "category", "scope", "detail", "recovery", "rule", F.lit(0).alias("part"))
+    return found.withColumn("part", F.lit(1)).unionByName(of_source)
+
+
+def first_gaps(found: DataFrame) -> DataFrame:
+    """The first MAX_GAPS gaps of each page, numbered by rule and scope, and whether there may be more."""
+    by = Window.partitionBy("page_id")
+    order = [*(["part"] if "part" in found.columns else []), "rule", "scope", "detail"]
+    rows = found.withColumn("position", F.row_number().over(by.orderBy(*order))).where(F.col("position") <= MAX_GAPS)
+    return rows.withColumn("truncated", F.count("*").over(by) >= MAX_GAPS)
+
+
 def inspect(found: DataFrame, page_id: str) -> tuple[list, bool]:
     """A page's first MAX_GAPS gaps by rule and scope, and whether there may be more."""
     rows = found.where(F.col("page_id") == page_id).orderBy("rule", "scope", "detail").limit(MAX_GAPS).collect()
@@ -187,3 +199,28 @@ def list_views(files: dict[str, str]) -> list[tuple[str, str, str, str]]:
         rows.append((view["name"], view["view_id"], path, "available"))
     rows = [(n, i, p, "duplicate" if count.get(i, 0) > 1 else s) for n, i, p, s in rows]
     return sorted(rows, key=lambda r: (r[0].lower(), r[1], r[2]))
+
+
+def open_view(files: dict[str, str], view_id: str) -> dict:
+    """The one view of an identity; a missing or duplicate one is an error, and no file is chosen."""
+    uuid.UUID(view_id)
+    hits = []
+    for text in files.values():
+        try:
+            view = parse_view(text)
+        except (ValueError, KeyError, TypeError, AttributeError):
+            continue
+        if view["view_id"] == view_id:
+            hits.append(view)
+    if len(hits) != 1:
+        raise ValueError("the view is missing or its identity is ambiguous")
+    return hits[0]
+
+
+def resolve_view(view: dict, pages: DataFrame) -> DataFrame:
+    """(reference, title, kind, state) of the pages that a view names; one that is gone is unavailable, and nothing takes its place."""
+    definition = view["definition"]
+    named = list(dict.fromkeys([*definition.get("references", []), *([definition["target"]] if definition.get("target") else []), *(s["page_id"] for s in definition.get("trail", []) if s.get("page_id"))]))
+    rows = pages.sparkSession.createDataFrame([(n, r) for n, r in enumerate(named)], "position int, reference string")
+    known = pages.select(F.col("page_id").alias("reference"), "title", "kind", F.lit("available").alias("state"))
+    return rows.join(known, "reference", "left").select("position", "reference", "title", "kind", F.coalesce("state", F.lit("unavailable")).alias("state"))

@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketry.functions.text import frame_hash
+from docketry.functions.text import sum_of_hashes
+from docketry.operators.continuation import MAX_PAGE, MAX_WORK, Answer, QueryError, Store, check_limits
 from docketry.session import durable
 
 
-def both_ways(edges: DataFrame) -> DataFrame:
-    """(at, next, relationship_id, kind, with_arrow): every supported edge in both directions, without self-links."""
+STEPS = "array<struct<relationship_id:string,kind:string,with_arrow:boolean,page_id:string>>"
+#: A frontier of at most so many pages is a filter on the edges.
+FEW_PAGES = 500
+
+
+def both_ways(edges: DataFrame, here: list[str] | None = None) -> DataFrame:
+    """(at, next, relationship_id, kind, with_arrow): every supported edge (at the pages `here`, if given) in both directions, without self-links."""
     kept = edges.where("supported AND from_page_id <> to_page_id")
-    out = kept.select(F.col("from_page_id").alias("at"), F.col("to_page_id").alias("next"), "relationship_id", "kind", F.lit(True).alias("with_arrow"))
-    return out.unionByName(kept.select(F.col("to_page_id").alias("at"), F.col("from_page_id").alias("next"), "relationship_id", "kind", F.lit(False).alias("with_arrow")))
+    ahead, back = (kept if here is None else kept.where(F.col(c).isin(here)) for c in ("from_page_id", "to_page_id"))
+    out = ahead.select(F.col("from_page_id").alias("at"), F.col("to_page_id").alias("next"), "relationship_id", "kind", F.lit(True).alias("with_arrow"))
+    return out.unionByName(back.select(F.col("to_page_id").alias("at"), F.col("from_page_id").alias("next"), "relationship_id", "kind", F.lit(False).alias("with_arrow")))
 
 
 def explore(pages: DataFrame, edges: DataFrame, start: str, max_hops: int) -> DataFrame:
@@ -21,37 +28,84 @@ def explore(pages: DataFrame, edges: DataFrame, start: str, max_hops: int) -> Da
 
     Routes are ordered by their relationship ids. The start is not reached. A level is one join and
     one aggregation, written before the next begins; levels already reached are taken out by an
-    anti-join. So a long chain plans no slower than a short one.
+    anti-join. A frontier of few pages is put to the edges as a filter, which stored edges answer
+    from the files that hold those pages; a larger one is joined.
     """
     if not 1 <= max_hops <= 256:
         raise ValueError("1 to 256 hops")
     spark = pages.sparkSession
-    steps_type = "array<struct<relationship_id:string,kind:string,with_arrow:boolean,page_id:string>>"
-    near = both_ways(edges).join(pages.select(F.col("page_id").alias("next")), "next", "left_semi")
-    near = durable(near) if max_hops > 1 else near
-    frontier = spark.createDataFrame([(start, 0, [])], f"page_id string, depth int, steps {steps_type}")
-    reached = frontier
+    ids = pages.select(F.col("page_id").alias("next"))
+    frontier = spark.createDataFrame([(start, 0, [])], f"page_id string, depth int, steps {STEPS}")
+    reached, here, total = frontier, [start], 1
     for depth in range(1, max_hops + 1):
         step = F.struct("relationship_id", "kind", "with_arrow", F.col("next").alias("page_id"))
-        found = frontier.join(near, F.col("page_id") == F.col("at")).select("next", F.concat("steps", F.array(step)).alias("steps"))
-        found = found.join(reached.select(F.col("page_id").alias("next")), "next", "left_anti")
-        frontier = found.groupBy("next").agg(F.min("steps").alias("steps")).select(F.col("next").alias("page_id"), F.lit(depth).alias("depth"), "steps")
+        found = frontier.join(both_ways(edges, here), F.col("page_id") == F.col("at")).select("next", F.concat("steps", F.array(step)).alias("steps"))
+        found = found.join(reached.select(F.col("page_id").alias("next")), "next", "left_anti").groupBy("next").agg(F.min("steps").alias("steps"))
+        found = found.join(ids, "next", "left_semi").select(F.col("next").alias("page_id"), F.lit(depth).alias("depth"), "steps")
         # Every level is read twice, by the next join and by the anti-joins after it: it is written once.
-        frontier = durable(frontier)
-        if frontier.isEmpty():
+        frontier = durable(found)
+        size = frontier.count()
+        if not size:
             break
+        total += size
+        here = [r["page_id"] for r in frontier.select("page_id").collect()] if size <= FEW_PAGES else None
         reached = reached.unionByName(frontier)
+        if depth % 16 == 0:
+            reached = durable(reached, total)
     return reached.where("depth > 0")
 
 
-def examined(pages: DataFrame, edges: DataFrame, start: str, max_hops: int, budget: int, after: tuple[str, str] | None = None) -> DataFrame:
-    """One call's share of the edges that exploring examines, in (page, relationship) order: at most `budget`, after a keyset position."""
-    inner = explore(pages, edges, start, max_hops - 1).select("page_id") if max_hops > 1 else explore(pages, edges, start, 1).limit(0).select("page_id")
-    at = inner.unionByName(pages.sparkSession.createDataFrame([(start,)], "page_id string"))
-    rows = both_ways(edges).join(at, F.col("at") == F.col("page_id"), "left_semi")
-    if after:
-        rows = rows.where((F.col("at") > after[0]) | ((F.col("at") == after[0]) & (F.col("relationship_id") > after[1])))
-    return rows.orderBy("at", "relationship_id").limit(budget)
+def examined(edges: DataFrame, explored: DataFrame, start: str, max_hops: int) -> DataFrame:
+    """(depth, at, relationship_id, page_id): the edges that exploring examines, and the page that each discovers, if any."""
+    inner = explored.where(F.col("depth") < max_hops).select(F.col("page_id").alias("at"), F.col("depth").alias("from_depth"))
+    inner = inner.unionByName(explored.sparkSession.createDataFrame([(start, 0)], "at string, from_depth int"))
+    last, before = F.get("steps", F.size("steps") - 1), F.coalesce(F.get("steps", F.size("steps") - 2)["page_id"], F.lit(start))
+    found = explored.select("page_id", F.col("depth").alias("d"), last["relationship_id"].alias("r"), before.alias("b"))
+    rows = both_ways(edges).join(inner, "at")
+    hit = (F.col("next") == F.col("page_id")) & (F.col("d") == F.col("from_depth") + 1) & (F.col("r") == F.col("relationship_id")) & (F.col("b") == F.col("at"))
+    return rows.join(found, hit, "left").select((F.col("from_depth") + 1).alias("depth"), "at", "relationship_id", "page_id")
+
+
+class Explorations:
+    """Explorations in calls of bounded work: each examines at most so many edges, and gives the pages that these discover."""
+
+    def __init__(self, store: Store, pages: DataFrame, edges: DataFrame) -> None:
+        self.store, self.pages, self.edges = store, pages, edges
+
+    def explore(self, start: str, max_hops: int, revision: str, continuation: str | None = None, work_budget: int = MAX_WORK, page_size: int = MAX_PAGE) -> Answer:
+        check_limits(work_budget, page_size)
+        asked = f"{max_hops} {start}"
+        spark = self.pages.sparkSession
+        if continuation is None:
+            if self.pages.where(F.col("page_id") == start).isEmpty():
+                raise QueryError("invalid: the start page does not exist")
+            name, state = self.store.begin({"signature": asked, "revision": revision}), {"edge": None, "waiting": []}
+            found = explore(self.pages, self.edges, start, max_hops)
+            found.write.parquet(f"{self.store.tables(name)}/found")
+            found = spark.read.parquet(f"{self.store.tables(name)}/found")
+            examined(self.edges, found, start, max_hops).repartitionByRange("depth", "at", "relationship_id").sortWithinPartitions("depth", "at", "relationship_id").write.parquet(f"{self.store.tables(name)}/examined")
+        else:
+            name, state = self.store.resume(continuation, revision, asked)
+        self.store.retire()
+        key = ["depth", "at", "relationship_id"]
+        rows = spark.read.parquet(f"{self.store.tables(name)}/examined")
+        waiting, edge = state["waiting"], state["edge"]
+        if edge is not None:
+            rows = rows.where(F.struct(*key) > F.struct(*(F.lit(v).cast(rows.schema[k].dataType) for k, v in zip(key, edge, strict=True))))
+        batch = rows.orderBy(*key).limit(work_budget + 1).collect() if len(waiting) < page_size else []
+        more = len(batch) > work_budget or len(waiting) >= page_size
+        batch = batch[:work_budget]
+        waiting = waiting + [r["page_id"] for r in batch if r["page_id"] is not None]
+        edge = [batch[-1][k] for k in key] if batch else edge
+        results, waiting = waiting[:page_size], waiting[page_size:]
+        complete = not more and not waiting
+        self.store.save(name, {"signature": asked, "revision": revision, "canceled": False, "edge": edge, "waiting": waiting})
+        return Answer(results, revision, None if complete else self.store.token(name), complete, len(batch))
+
+    def details(self, continuation: str, revision: str, target: str, offset: int = 0, size: int = MAX_PAGE) -> list:
+        """Steps of a discovered page's route from the page back to the start, a page of them at a time."""
+        name, _ = self.store.resume(continuation, revision)
+        return details(self.pages.sparkSession.read.parquet(f"{self.store.tables(name)}/found"), target, offset, size)
 
 
 def details(explored: DataFrame, target: str, offset: int = 0, size: int = 50) -> list:
@@ -63,21 +117,5 @@ def details(explored: DataFrame, target: str, offset: int = 0, size: int = 50) -
 
 
 def graph_revision(edges: DataFrame) -> str:
-    """A digest of the supported edges, whatever their order, summed in the tasks."""
-    row = F.conv(F.substring(frame_hash(F.col("relationship_id"), F.col("from_page_id"), F.col("to_page_id"), F.col("kind")), 1, 14), 16, 10).cast("decimal(38,0)")
-    total = edges.where("supported").agg(F.sum(row).alias("s"), F.count("*").alias("n")).first()
-    return f"{int(total['s'] or 0):x}-{total['n']}"
-
-
-class Cursor:
-    """A stored exploration, read page by page in order of depth and page."""
-
-    def __init__(self, spark: SparkSession, folder: str, revision: str) -> None:
-        self.spark, self.folder, self.revision = spark, folder, revision
-
-    def page(self, revision: str, after: tuple[int, str] = (0, ""), size: int = 50) -> list:
-        if revision != self.revision:
-            raise ValueError("the graph has changed; explore again")
-        rows = self.spark.read.parquet(self.folder)
-        later = (F.col("depth") > after[0]) | ((F.col("depth") == after[0]) & (F.col("page_id") > after[1]))
-        return rows.where(later).orderBy("depth", "page_id").limit(size).collect()
+    """A digest of the supported edges, whatever their order; see functions.text.sum_of_hashes."""
+    return sum_of_hashes(edges.where("supported"), ["relationship_id", "from_page_id", "to_page_id", "kind"])

@@ -112,3 +112,43 @@ def resolve_links(links: DataFrame, pages: DataFrame) -> DataFrame:
     """(page, link, page_id): links (page, link, path) by the pages' places (path, page_id); two pages at a place resolve to none."""
     one = pages.groupBy("path").agg(F.min("page_id").alias("page_id"), F.count("*").alias("n")).where("n = 1").select("path", "page_id")
     return links.join(one, "path", "left").select("page", "link", "page_id")
+
+
+def withdraw(sources: DataFrame, acquisitions: DataFrame, removed: DataFrame, precedes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sources, versions) after removed origins' acquisitions are gone.
+
+    sources: source_id, current, pending (version ids or null). acquisitions: source_id, version_id, origin, method,
+    registration. removed: origin, method, registration, a null method or registration standing for any.
+    precedes: earlier, later, a strict partial order of versions.
+
+    A version without owners is withdrawn. A source whose current version (or pending one, if it has
+    no current) still has an owner keeps its knowledge and drops a pending version without owner
+    (`keep`). Otherwise the one version that all other owned ones precede becomes pending
+    (`fallback`); without such a one nothing is guessed (`uncertain`); without owners nothing is
+    left (`removed`).
+    """
+    any_of = lambda c: F.col(f"r.{c}").isNull() | F.col(f"a.{c}").eqNullSafe(F.col(f"r.{c}"))
+    a, r = acquisitions.alias("a"), removed.alias("r")
+    left = a.join(r, (F.col("a.origin") == F.col("r.origin")) & any_of("method") & any_of("registration"), "left_anti")
+    owners = left.groupBy("source_id", "version_id").agg(F.count("*").alias("owners"))
+    versions = acquisitions.select("source_id", "version_id").distinct().join(owners, ["source_id", "version_id"], "left")
+    versions = versions.select("source_id", "version_id", F.coalesce("owners", F.lit(0)).alias("owners"), F.when(F.col("owners") > 0, "owned").otherwise("withdrawn").alias("state"))
+    owned = versions.where("state = 'owned'").select("source_id", "version_id")
+    last = latest_if_certain(owned, precedes).withColumnRenamed("version_id", "fallback")
+    has = lambda c: owned.select("source_id", F.col("version_id").alias(c), F.lit(True).alias(f"{c}_owned"))
+    rows = sources.join(has("current"), ["source_id", "current"], "left").join(has("pending"), ["source_id", "pending"], "left")
+    rows = rows.join(last, "source_id", "left").join(owned.select("source_id", F.lit(True).alias("any_owned")).distinct(), "source_id", "left")
+    keep = F.coalesce(F.when(F.col("current").isNotNull(), F.col("current_owned")).otherwise(F.col("pending_owned")), F.lit(False))
+    action = F.when(keep, "keep").when(F.col("any_owned").isNull(), "removed").when(F.col("fallback").isNotNull(), "fallback").otherwise("uncertain")
+    pending = F.when(action == "keep", F.when(F.col("pending_owned"), F.col("pending"))).when(action == "fallback", F.col("fallback"))
+    return rows.select("source_id", F.when(action == "keep", F.col("current")).alias("current"), pending.alias("pending"), action.alias("action")), versions
+
+
+def restore(acquisitions: DataFrame, supplied: DataFrame) -> DataFrame:
+    """Acquisitions with those that are supplied again; what is there already is not doubled."""
+    return acquisitions.unionByName(supplied).distinct()
+
+
+def withdrawn_supports(supports: DataFrame, sources: DataFrame) -> DataFrame:
+    """Supports (item_id, source_id, ...) without those of sources that withdraw() did not keep."""
+    return supports.join(sources.where("action <> 'keep'").select("source_id"), "source_id", "left_anti")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -133,10 +134,18 @@ def nearest_of_each(vectors: DataFrame, queries: DataFrame, k: int, cutoff: floa
                 own = np.stack(batch["vector"].to_numpy()).astype(np.float64)
                 own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-12)
                 scores = np.round(own @ matrix.T, 6)
-                row, col = np.nonzero(scores >= cutoff)
-                part = pd.DataFrame({"query_id": ids[col], "page_id": batch["page_id"].to_numpy()[row], "score": scores[row, col]})
-                part = part.groupby(["query_id", "page_id"], as_index=False)["score"].max()
-                best = part if best is None else pd.concat([best, part])
+                # Chunks of one page are together at last; before that a batch gives each query its best score a page, k of them.
+                pages, at = np.unique(batch["page_id"].to_numpy(), return_inverse=True)
+                if len(pages) < len(at):
+                    of_page = np.full((len(pages), len(ids)), -np.inf)
+                    np.maximum.at(of_page, at, scores)
+                    scores = of_page
+                else:
+                    scores = scores[np.argsort(at)]
+                kth = np.partition(scores, len(pages) - k, axis=0)[len(pages) - k] if len(pages) > k else np.full(len(ids), -np.inf)
+                row, col = np.nonzero((scores >= kth) & (scores >= cutoff))
+                part = pd.DataFrame({"query_id": ids[col], "page_id": pages[row], "score": scores[row, col]})
+                best = part if best is None else pd.concat([best, part]).groupby(["query_id", "page_id"], as_index=False)["score"].max()
                 best = best.sort_values(["query_id", "score", "page_id"], ascending=[True, False, True]).groupby("query_id").head(k)
             if best is not None:
                 yield best
@@ -150,15 +159,34 @@ def nearest_of_each(vectors: DataFrame, queries: DataFrame, k: int, cutoff: floa
     return merged.withColumn("rank_", rank).where(F.col("rank_") <= k).drop("rank_")
 
 
-def chunks(pages: DataFrame, size: int = 510) -> DataFrame:
-    """(page_id, chunk_index, vector_key, content_hash, body): title, kind and content cut into runs of `size` words, to be embedded."""
-    body = F.concat_ws("\n", "title", "kind", "content")
-    cut = F.split(F.trim(body), r"\s+")
+def chunks(pages: DataFrame, size: int = 510, tokens: Column | None = None) -> DataFrame:
+    """(page_id, chunk_index, vector_key, content_hash, body): title, kind and content cut into runs of `size` tokens, to be embedded.
+
+    `tokens` makes an array of tokens of the column `body`, as the embedding model's tokenizer would;
+    without it tokens are runs other than white space. No text is left out, whichever it is.
+    """
+    pages = pages.withColumn("body", F.concat_ws("\n", "title", "kind", "content"))
+    cut = F.split(F.trim("body"), r"\s+") if tokens is None else tokens
     pieces = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size(cut) / size) - 1)), lambda i: F.struct(i.cast("int").alias("chunk_index"), F.array_join(F.slice(cut, (i * size + 1).cast("int"), size), " ").alias("body")))
     rows = pages.select("page_id", F.explode(pieces).alias("c")).select("page_id", "c.*")
     return rows.select("page_id", "chunk_index", chunk_key(F.col("page_id").cast("string"), F.col("chunk_index")).alias("vector_key"), F.sha2(F.col("body").cast("binary"), 256).alias("content_hash"), "body")
 
 
+def embedded(chunked: DataFrame, embed: Callable[[list[str]], list[list[float]]]) -> DataFrame:
+    """(page_id, chunk_index, content_hash, vector): chunks() through a model, which is given lists of texts and returns their vectors; normalised."""
+    import pandas as pd
+
+    from docketry.session import ship
+
+    def each(bodies: pd.Series) -> pd.Series:
+        return pd.Series([[float(x) for x in v] for v in embed(bodies.tolist())])
+
+    each.__annotations__ = {"bodies": pd.Series, "return": pd.Series}
+    ship(chunked.sparkSession)
+    rows = chunked.select("page_id", "chunk_index", "content_hash", F.pandas_udf(each, "array<double>")("body").alias("raw"))
+    return rows.select("page_id", "chunk_index", "content_hash", normalized(F.col("raw")).alias("vector"))
+
+
 def sync(current: DataFrame, stored: DataFrame) -> DataFrame:
     """What a vector store must do: `embed` chunks that are new or changed, `delete` those that are gone (page_id, chunk_index, content_hash)."""
     key = ["page_id", "chunk_index"]

@@ -6,14 +6,23 @@ directed graph, conversations give passages and events give acquisitions.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.functions.text import fold, source_id
+from docketry.session import shared_dir
 
 
 class Collection:
-    """Lazily read tables below a folder; every property is a DataFrame that nothing caches."""
+    """A collection over the tables below a folder.
+
+    Its pages, edges, tags and words are derived once for an application, at their first use, and
+    stored in the shared folder: pages and edges in order of page and by kind, so that a query reads
+    the files that hold its pages. Everything else is read from the tables as it is.
+    """
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder
@@ -21,6 +30,20 @@ class Collection:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def stored(self, name: str, build: Callable[[], DataFrame], by: list[str], kind: str | None = None) -> DataFrame:
+        """What `build` gives, written on first use in ranges of `by`, in a folder for each value of `kind`."""
+        context = self.spark.sparkContext
+        known = context.__dict__.setdefault("_docketry_stored", {})
+        if (self.folder, name) not in known:
+            path = f"{shared_dir(self.spark).rstrip('/')}/collection-{uuid.uuid4().hex}/{name}"
+            frame = build()
+            columns = frame.columns
+            dealt = frame.repartitionByRange(*([kind] if kind else []), *by).sortWithinPartitions(*([kind] if kind else []), *by)
+            (dealt.write.partitionBy(kind) if kind else dealt.write).parquet(path)
+            known[self.folder, name] = path, columns
+        path, columns = known[self.folder, name]
+        return self.spark.read.parquet(path).select(*columns)
+
     @property
     def sources(self) -> DataFrame:
         """source_id, format, text, acquisitions, first_doc, status: equal bytes are one source with several acquisitions."""
@@ -34,6 +57,17 @@ class Collection:
 
     @property
     def pages(self) -> DataFrame:
+        return self.stored("pages", self._pages, ["page_id"])
+
+    @property
+    def edges(self) -> DataFrame:
+        return self.stored("edges", self._edges, ["from_page_id"], "kind")
+
+    @property
+    def tags(self) -> DataFrame:
+        return self.stored("tags", self._tags, ["normalized"])
+
+    def _pages(self) -> DataFrame:
         """page_id, source_id, page_type, title, kind, event_date, format, processing_status."""
 
         def page(frame: DataFrame, kind: str, key: str, title: Column, date: Column | None = None, status: Column | None = None) -> DataFrame:
@@ -62,8 +96,7 @@ class Collection:
             out = out.unionByName(part)
         return out
 
-    @property
-    def edges(self) -> DataFrame:
+    def _edges(self) -> DataFrame:
         """relationship_id, from_page_id, to_page_id, kind, supported."""
 
         def edge(frame: DataFrame, kind: str, a: tuple[str, str], b: tuple[str, str]) -> DataFrame:
@@ -83,8 +116,7 @@ class Collection:
             out = out.unionByName(part)
         return out.select(F.sha2(F.concat_ws("|", "kind", "from_page_id", "to_page_id").cast("binary"), 256).alias("relationship_id"), "from_page_id", "to_page_id", "kind", F.lit(True).alias("supported"))
 
-    @property
-    def tags(self) -> DataFrame:
+    def _tags(self) -> DataFrame:
         """page_id, label, normalized."""
 
         def tag(frame: DataFrame, kind: str, key: str, label: str) -> DataFrame:

@@ -231,8 +231,8 @@ _WORDS = r"list_filter(string_split_regex(lower(coalesce({0}, '')), '[^\p{{L}}\p
 )
 def keyword_search(c: Collection) -> DataFrame:
     content = _content(c)
-    no_tags = c.tags.limit(0)
-    return search.keyword(search.inverted(content), content, no_tags, "the WITH from", search.Filters(format="EN"))
+    tags = c.table("documents").select(F.col("doc_id").cast("string").alias("page_id"), F.col("lang").alias("normalized"))
+    return search.keyword(c.stored("words", lambda: search.inverted(content), ["word"]), content, tags, "the WITH from", search.Filters(format="EN"))
 
 
 @query("SELECT page_id, title, 'tag' AS matched_by, 1 AS \"rank\" FROM pages_ WHERE page_id IN (SELECT page_id FROM tags_ WHERE normalized = 'building') AND processing_status = 'complete'", model=True)
@@ -270,15 +270,25 @@ def vector_search_many(c: Collection) -> DataFrame:
     return found.groupBy("query_id").agg(F.round(F.max("score"), 4).alias("best"), F.count("*").alias("n"))
 
 
-@query("SELECT count(*) AS chunks, count(DISTINCT page_id) AS pages FROM (SELECT doc_id AS page_id, unnest(generate_series(0, greatest(0, ceil(len(string_split_regex(trim(source || chr(10) || 'source' || chr(10) || text), '\\s+')) / 510)::INT - 1))) FROM documents)")
+_CUT = r"string_split_regex(trim(source || chr(10) || 'source' || chr(10) || coalesce(text, '')), '\s+')"
+
+
+@query(f"SELECT page_id, i::INT AS chunk_index, sha256(array_to_string(w[i * 510 + 1:i * 510 + 510], ' ')) AS content_hash FROM (SELECT doc_id::VARCHAR AS page_id, {_CUT} AS w, unnest(generate_series(0, greatest(0, ceil(len({_CUT}) / 510)::INT - 1))) AS i FROM documents)")
 def chunk_documents(c: Collection) -> DataFrame:
-    return search.chunks(_content(c)).agg(F.count("*").alias("chunks"), F.countDistinct("page_id").alias("pages"))
+    return search.chunks(_content(c)).select("page_id", "chunk_index", "content_hash")
 
 
-@query("SELECT doc_id::VARCHAR AS page_id, 0 AS chunk_index, 'embed' AS action FROM documents WHERE doc_id % 3 = 0 AND doc_id % 2 = 1 UNION ALL SELECT doc_id::VARCHAR, 0, 'delete' FROM documents WHERE doc_id % 2 = 0 AND doc_id % 3 <> 0")
+@query(
+    f"""WITH c AS (SELECT doc_id, i, sha256(array_to_string(w[i * 510 + 1:i * 510 + 510], ' ')) AS h FROM (SELECT doc_id, {_CUT} AS w, unnest(generate_series(0, greatest(0, ceil(len({_CUT}) / 510)::INT - 1))) AS i FROM documents))
+    SELECT doc_id::VARCHAR AS page_id, i::INT AS chunk_index, 'embed' AS action FROM c WHERE doc_id % 5 = 0 OR doc_id % 7 = 0
+    UNION ALL SELECT doc_id::VARCHAR || 'x', i::INT, 'delete' FROM c WHERE doc_id % 5 = 0"""
+)
 def vector_sync(c: Collection) -> DataFrame:
-    rows = c.table("documents").select(F.col("doc_id").cast("string").alias("page_id"), F.lit(0).alias("chunk_index"), F.sha2(F.col("text").cast("binary"), 256).alias("content_hash"), "doc_id")
-    return search.sync(rows.where("doc_id % 3 = 0"), rows.where("doc_id % 2 = 0"))
+    """All chunks against a store in which some pages have other names and some chunks other texts."""
+    current = search.chunks(_content(c)).select("page_id", "chunk_index", "content_hash")
+    n = F.col("page_id").cast("long")
+    stored = current.select(F.when(n % 5 == 0, F.concat("page_id", F.lit("x"))).otherwise(F.col("page_id")).alias("page_id"), "chunk_index", F.when(n % 7 == 0, "old").otherwise(F.col("content_hash")).alias("content_hash"))
+    return search.sync(current, stored)
 
 
 # ---- sources -----------------------------------------------------------------------------
@@ -368,12 +378,6 @@ def contiguous_records(c: Collection) -> DataFrame:
     return evidence.contiguous(rows)
 
 
-@query()
-def candidates(c: Collection) -> DataFrame:
-    texts = c.table("documents").select(F.col("doc_id").cast("string").alias("source_id"), "text")
-    return formation.candidates(texts)
-
-
 @query(r"""SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '([0-9]{2,})', 1))), ';') AS found FROM documents""")
 def pattern_matches(c: Collection) -> DataFrame:
     hits = F.regexp_extract_all("text", F.lit(r"([0-9]{2,})"), F.lit(1))
@@ -416,48 +420,90 @@ def owned_versions(c: Collection) -> DataFrame:
     return reconcile.owned_versions(c.table("events").select(F.col("user_id").alias("origin"), (F.col("event_id") % 100).alias("version_id"), F.col("event_id").alias("arrival")))
 
 
-@query("SELECT c_custkey AS page_id, 'duplicate_identity' AS state FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderpriority) > 1) UNION ALL SELECT c_custkey, 'resolved' FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderpriority) = 1)")
+@query(
+    """SELECT o_custkey AS page_id, CASE WHEN n = 1 THEN path END AS path, CASE WHEN n > 1 THEN 'duplicate_identity' WHEN o_custkey % 3 = 0 AND path LIKE '1-URGENT/%' THEN 'identity_ambiguous' ELSE 'resolved' END AS state
+    FROM (SELECT o_custkey, count(DISTINCT o_orderpriority) AS n, min(o_orderpriority || '/' || o_custkey) AS path FROM orders GROUP BY 1)"""
+)
 def page_identities(c: Collection) -> DataFrame:
     found = c.table("orders").select(F.col("o_custkey").alias("page_id"), F.concat("o_orderpriority", F.lit("/"), "o_custkey").alias("path"))
-    return reconcile.identities(found, found.limit(0)).select("page_id", "state")
+    ledger = c.table("customer").where("c_custkey % 3 = 0").select((F.col("c_custkey") + 1).alias("page_id"), F.concat(F.lit("1-URGENT/"), "c_custkey").alias("path"))
+    return reconcile.identities(found, ledger).select("page_id", "path", "state")
 
 
-@query("SELECT c_custkey AS page_id, 'Customer' AS kind FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
+@query("SELECT c_custkey AS page_id, 'Customer' AS kind FROM customer WHERE c_custkey % 4 <> 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 def removable_pages(c: Collection) -> DataFrame:
     pages = c.table("customer").select(F.col("c_custkey").alias("page_id"), F.lit("Customer").alias("kind"))
     related = c.table("orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("from_page_id"), F.col("o_custkey").alias("to_page_id"))
-    return reconcile.removable_pages(pages, pages.limit(0), related)
+    return reconcile.removable_pages(pages, pages.where("page_id % 4 = 0"), related)
 
 
 # ---- gaps, comparison, trails, watched folders -------------------------------------------
 
 
-@query(
-    """WITH s AS (SELECT doc_id, doc_id % 7 = 0 AS gone, CASE WHEN length(text) < 60 THEN 'empty' WHEN doc_id % 5 = 0 THEN 'partial' ELSE 'text_preserved' END AS x, doc_id % 4 = 0 AS failed FROM documents)
-    SELECT doc_id AS page_id, 'source_unavailable' AS category FROM s WHERE gone
-    UNION ALL SELECT doc_id, 'empty_source' FROM s WHERE NOT gone AND x = 'empty' UNION ALL SELECT doc_id, 'extraction_incomplete' FROM s WHERE NOT gone AND x = 'partial'
-    UNION ALL SELECT doc_id, 'update_failed' FROM s WHERE NOT gone AND x <> 'empty' AND failed"""
-)
-def knowledge_gaps(c: Collection) -> DataFrame:
+_GAP_ROWS = """s AS (SELECT doc_id, doc_id::VARCHAR AS sid, doc_id % 7 <> 0 AS available, doc_id % 11 <> 0 AS original, CASE WHEN length(text) < 60 THEN 'empty' WHEN doc_id % 5 = 0 THEN 'partial' ELSE 'text_preserved' END AS x,
+    doc_id % 13 = 0 AS ambiguous, CASE doc_id % 8 WHEN 0 THEN 'uncertain' WHEN 1 THEN 'failed' WHEN 2 THEN 'pending' END AS u, CASE WHEN doc_id % 16 = 0 THEN 'an ambiguous identity' WHEN doc_id % 8 = 0 THEN 'other' END AS e,
+    CASE doc_id % 6 WHEN 0 THEN 'failed' WHEN 1 THEN 'unavailable' WHEN 2 THEN 'pending' ELSE 'complete' END AS state, CASE WHEN doc_id % 6 = 0 THEN doc_id END AS retry_at, doc_id % 17 = 0 AS edited FROM documents),
+  g AS (SELECT doc_id, 'source_unavailable' AS category, sid AS scope, 1 AS rule FROM s WHERE NOT available
+    UNION ALL SELECT doc_id, 'source_unavailable', sid, 2 FROM s WHERE available AND NOT original
+    UNION ALL SELECT doc_id, 'empty_source', sid, 3 FROM s WHERE available AND x = 'empty'
+    UNION ALL SELECT doc_id, 'identity_ambiguous', sid, 4 FROM s WHERE available AND ambiguous
+    UNION ALL SELECT doc_id, 'extraction_incomplete', sid, 5 FROM s WHERE available AND x = 'partial'
+    UNION ALL SELECT doc_id, 'extraction_incomplete', 'part ' || (doc_id % 3), 6 FROM s WHERE doc_id % 3 <> 0
+    UNION ALL SELECT doc_id, CASE WHEN u = 'uncertain' AND doc_id % 16 = 0 THEN 'identity_ambiguous' WHEN u IN ('failed', 'uncertain') THEN 'update_failed' ELSE 'update_pending' END, sid, 7 FROM s WHERE available AND u IS NOT NULL
+    UNION ALL SELECT doc_id, CASE state WHEN 'failed' THEN 'update_failed' WHEN 'unavailable' THEN 'insufficient_support' ELSE 'update_pending' END, sid, 8 FROM s WHERE available AND u IS NULL AND x <> 'empty' AND state <> 'complete'
+    UNION ALL SELECT doc_id, 'insufficient_support', 'r' || doc_id, 9 FROM s WHERE doc_id % 9 = 0
+    UNION ALL SELECT doc_id, 'insufficient_support', 'r' || doc_id, 10 FROM s WHERE doc_id % 9 <> 0 AND doc_id % 10 = 0
+    UNION ALL SELECT doc_id, 'insufficient_support', sid, 11 FROM s WHERE available AND edited)"""
+
+
+def _gaps(c: Collection) -> DataFrame:
     n = F.col("doc_id")
-    none = F.lit(None).cast("string")
-    rows = c.table("documents").select(
-        n.alias("page_id"), n.cast("string").alias("source_id"), (n % 7 != 0).alias("available"), F.lit(True).alias("original"), F.when(F.length("text") < 60, "empty").when(n % 5 == 0, "partial").otherwise("text_preserved").alias("extraction"),
-        F.lit("detail").alias("detail"), F.lit(False).alias("ambiguous"), none.alias("update_status"), F.when(n % 4 == 0, "failed").otherwise("complete").alias("state"), none.alias("error"), F.lit(None).cast("long").alias("retry_at"), F.lit(False).alias("edited"),
+    docs = c.table("documents")
+    rows = docs.select(
+        n.alias("page_id"), n.cast("string").alias("source_id"), (n % 7 != 0).alias("available"), (n % 11 != 0).alias("original"), F.when(F.length("text") < 60, "empty").when(n % 5 == 0, "partial").otherwise("text_preserved").alias("extraction"),
+        F.lit("detail").alias("detail"), (n % 13 == 0).alias("ambiguous"), F.when(n % 8 == 0, "uncertain").when(n % 8 == 1, "failed").when(n % 8 == 2, "pending").alias("update_status"),
+        F.when(n % 6 == 0, "failed").when(n % 6 == 1, "unavailable").when(n % 6 == 2, "pending").otherwise("complete").alias("state"),
+        F.when(n % 16 == 0, "an ambiguous identity").when(n % 8 == 0, "other").alias("error"), F.when(n % 6 == 0, n).alias("retry_at"), (n % 17 == 0).alias("edited"),
     )
-    coverage = rows.limit(0).select("page_id", F.lit("").alias("location"), F.lit("").alias("status"), F.lit("").alias("detail"))
-    related = rows.limit(0).select("page_id", F.lit("").alias("relationship_id"), F.lit("").alias("qualifier"), F.lit(True).alias("supported"))
-    return inspect.gaps(rows, coverage, related).select("page_id", "category")
+    coverage = docs.select(n.alias("page_id"), F.concat(F.lit("part "), (n % 3).cast("string")).alias("location"), F.when(n % 3 == 0, "complete").otherwise("partial").alias("status"), F.lit("half read").alias("detail"))
+    related = docs.select(n.alias("page_id"), F.concat(F.lit("r"), n.cast("string")).alias("relationship_id"), F.when(n % 10 == 0, "possibly").otherwise(" ").alias("qualifier"), (n % 9 != 0).alias("supported"))
+    return inspect.gaps(rows, coverage, related)
+
+
+@query(f"WITH {_GAP_ROWS} SELECT doc_id AS page_id, category, scope, rule FROM g")
+def knowledge_gaps(c: Collection) -> DataFrame:
+    return _gaps(c).select("page_id", "category", "scope", "rule")
+
 
+@query(f"WITH {_GAP_ROWS}, k AS (SELECT doc_id - 1 AS doc_id, category, scope, rule, 0 AS part FROM g UNION ALL SELECT *, 1 FROM g) SELECT doc_id AS page_id, category, rule, row_number() OVER (PARTITION BY doc_id ORDER BY part, rule, scope)::INT AS position, count(*) OVER (PARTITION BY doc_id) >= 100 AS truncated FROM k")
+def inspected_gaps(c: Collection) -> DataFrame:
+    """Every page as a knowledge page too, whose source is the next one."""
+    found = inspect.with_sources(_gaps(c), c.table("documents").select((F.col("doc_id") - 1).alias("page_id"), F.col("doc_id").alias("source_page_id")))
+    return inspect.first_gaps(found).select("page_id", "category", "rule", "position", "truncated")
 
-@query("SELECT doc_id::VARCHAR AS source_id, CASE WHEN doc_id % 7 = 0 THEN 'unavailable' WHEN doc_id % 11 = 0 THEN 'unavailable' ELSE 'fresh' END AS state, CASE WHEN doc_id % 7 = 0 THEN 'unavailable_page' WHEN doc_id % 11 = 0 THEN 'superseded' END AS reason FROM documents")
+
+@query(f"WITH {_GAP_ROWS} SELECT doc_id AS page_id, CASE WHEN retry_at IS NOT NULL THEN 'scheduled' WHEN state = 'pending' THEN 'queued' ELSE 'none' END AS how, retry_at FROM s")
+def recoveries(c: Collection) -> DataFrame:
+    n = F.col("doc_id")
+    state = F.when(n % 6 == 0, "failed").when(n % 6 == 1, "unavailable").when(n % 6 == 2, "pending").otherwise("complete")
+    return c.table("documents").select(n.alias("page_id"), inspect.recovery(state, F.when(n % 6 == 0, n)).alias("r")).select("page_id", "r.how", "r.retry_at")
+
+
+@query(
+    """SELECT doc_id::VARCHAR AS source_id, CASE WHEN reason IS NULL THEN 'fresh' WHEN reason = 'stale' THEN 'stale' ELSE 'unavailable' END AS state, reason, CASE WHEN reason IS NULL THEN length(split_part(text, chr(10), 2)) END AS characters FROM (
+    SELECT *, CASE WHEN doc_id % 7 = 0 THEN 'unavailable_page' WHEN doc_id % 11 = 0 THEN 'superseded' WHEN doc_id % 13 = 0 THEN 'missing_original' WHEN doc_id % 17 = 0 THEN 'integrity' WHEN coalesce(text, '') = '' THEN 'no_text'
+      WHEN doc_id % 19 = 0 THEN 'stale' WHEN doc_id % 23 = 0 OR instr(text, chr(10)) = 0 THEN 'missing_passage' END AS reason FROM documents) WHERE coalesce(strlen(text), 0) <= 8192"""
+)
 def comparison_sides(c: Collection) -> DataFrame:
+    """Line 2 of every document of at most a passage's bytes, with every reason why there is none."""
     n = F.col("doc_id")
-    rows = c.table("documents").select(
+    rows = c.table("documents").where("coalesce(octet_length(text), 0) <= 8192").select(
         n.cast("string").alias("source_id"), n.cast("string").alias("version_id"), F.col("source").alias("title"), "text", F.array(F.lit("all")).alias("coverage"), F.array("lang").alias("linked"),
-        (n % 7 != 0).alias("available"), (n % 11 == 0).alias("superseded"), F.lit(True).alias("original"), F.lit(True).alias("intact"), F.lit(False).alias("timed"),
+        (n % 7 != 0).alias("available"), (n % 11 == 0).alias("superseded"), (n % 13 != 0).alias("original"), (n % 17 != 0).alias("intact"), (n % 23 == 0).alias("timed"),
     )
-    return inspect.side(rows, 1).select("source_id", "state", "reason")
+    told = inspect.signature(rows).select("source_id", F.when(F.col("source_id").cast("long") % 19 == 0, "seen before").otherwise(F.col("signature")).alias("seen"))
+    found = inspect.side(rows.join(told, "source_id"), 2, F.col("seen"))
+    return found.select("source_id", "state", "reason", F.length(F.substring_index("passage.text", "\n", 1)).cast("long").alias("characters"))
 
 
 @query("SELECT doc_id AS stop_id, CASE WHEN doc_id % 7 = 0 THEN 'unavailable' WHEN doc_id % 2 = 0 THEN 'available' ELSE 'changed' END AS state FROM documents WHERE length(text) > 20")

@@ -38,6 +38,11 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def ship_active() -> None:
+    """ship() for the session at work, for functions that make columns and are given none."""
+    ship(SparkSession.active())
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 

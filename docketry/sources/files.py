@@ -6,6 +6,7 @@ import email
 import email.policy
 import io
 import re
+import uuid
 import zipfile
 from collections.abc import Iterator
 from urllib.parse import quote
@@ -334,15 +335,28 @@ def part_stream(records: DataFrame) -> DataFrame:
 
 
 def publish(frame: DataFrame, folder: str) -> None:
-    """Write beside the target, then swap: readers see the old result or the new one."""
-    spark = frame.sparkSession
-    hadoop, path = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
-    staged, target, old = path(f"{folder}.staged"), path(folder), path(f"{folder}.old")
-    frame.write.mode("overwrite").parquet(f"{folder}.staged")
-    files = target.getFileSystem(hadoop)
-    files.delete(old, True)
-    if files.exists(target):
-        files.rename(target, old)
-    if not files.rename(staged, target):
-        raise OSError(f"{folder} could not be published")
-    files.delete(old, True)
+    """Write a new version below the folder, then let its pointer name it.
+
+    Replacing the pointer is one atomic step, so published() reads the old version or the new one
+    at any time. Writers share no names; the last one to point wins. Older versions stay.
+    """
+    spark, version = frame.sparkSession, uuid.uuid4().hex
+    frame.write.parquet(f"{folder}/version={version}")
+    hadoop, jvm = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs
+    staged, pointer = jvm.Path(f"{folder}/_{version}"), jvm.Path(f"{folder}/_current")
+    out = staged.getFileSystem(hadoop).create(staged, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    files = jvm.FileContext.getFileContext(staged.getFileSystem(hadoop).getUri(), hadoop)
+    over = spark.sparkContext._gateway.new_array(getattr(jvm, "Options$Rename"), 1)
+    over[0] = getattr(jvm, "Options$Rename").OVERWRITE
+    files.rename(files.makeQualified(staged), files.makeQualified(pointer), over)
+
+
+def published(spark: SparkSession, folder: str) -> DataFrame:
+    """The version that the folder's pointer names."""
+    pointer = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_current")
+    read = pointer.getFileSystem(spark._jsc.hadoopConfiguration()).open(pointer)
+    version = bytes(read.readNBytes(64)).decode()
+    read.close()
+    return spark.read.parquet(f"{folder}/version={version}")

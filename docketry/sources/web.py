@@ -14,7 +14,7 @@ from docketry.session import ship
 # Elements whose content is not shown, and elements that break paragraphs.
 HIDDEN = ("script", "style", "noscript", "template", "svg")
 BLOCKS = (
-    "address", "article", "aside", "blockquote", "br", "dd", "div", "dl", "dt", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6",
+    "address", "article", "blockquote", "br", "dd", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6",
     "header", "hr", "li", "main", "nav", "ol", "p", "pre", "section", "table", "td", "th", "tr", "ul",
 )
 
@@ -45,25 +45,25 @@ class _Reader(HTMLParser):
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in HIDDEN:
-            if self.hidden and self.hidden[-1] == tag:
-                self.hidden.pop()
+        if tag in self.hidden:
+            del self.hidden[len(self.hidden) - 1 - self.hidden[::-1].index(tag) :]
         elif self.hidden:
             return
         elif tag == "title":
             self.in_title = False
         elif tag == "a" and self.link is not None:
             text = " ".join("".join(self.link_text).split())
-            url = resolve_url(self.base, self.link) if self.link else ""
+            url = resolve_url(self.base, " ".join(self.link.split()))
             self.body.append(f"{text} ({url})" if url else text)
             self.link = None
         elif tag in BLOCKS:
             self.body.append("\n\n")
 
     def handle_data(self, data: str) -> None:
-        if self.hidden:
-            return
-        (self.title if self.in_title else self.body if self.link is None else self.link_text).append(data)
+        if self.in_title:
+            self.title.append(data)
+        elif not self.hidden:
+            (self.body if self.link is None else self.link_text).append(data)
 
 
 def project(html: str | None, url: str | None) -> tuple[str, str]:
