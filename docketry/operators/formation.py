@@ -7,6 +7,7 @@ is found, what of it is its value, how much of the text is its quote and what qu
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -447,20 +448,80 @@ def statements(lines: DataFrame) -> DataFrame:
     return rows.withColumn("occurrence", F.row_number().over(Window.partitionBy("path", "opening").orderBy("position"))).select("path", "position", "locator", "channel", "text", "heading", "opening", "occurrence")
 
 
-def slug(column: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(column), r"[^\p{L}\p{N}]+", "-"), "^-+|-+$", "")
+# Words that a statement's subject does not begin with, or ends before.
+NO_SUBJECT = (
+    "a", "an", "the", "this", "that", "these", "those", "unconfirmed", "unverified", "provisional", "conditional", "reported", "possibly", "estimated", "is", "are", "was", "were", "be", "been", "being",
+    "left", "remains", "remained", "measured", "measures", "recorded", "reports", "shows", "showed", "suggests", "suggested", "confirms", "confirmed", "indicates", "indicated", "occurred", "happened", "has", "have", "had",
+)
 
 
-def record_keys(found: DataFrame) -> DataFrame:
-    """statements() with `record_key`, the stable identity of what a line states: sheet cells by place, tables by field and subject, others by opening and heading."""
-    field = F.trim(F.substring_index(F.element_at(F.split("text", "; "), -1), ":", 1))
-    leading = F.trim(F.substring_index(F.element_at(F.split("text", "; "), 1), ":", -1))
-    key = (
-        F.when(F.col("channel").isin("cell", "cached_formula_value"), F.sha2(F.col("locator").cast("binary"), 256))
-        .when(F.col("channel") == "table", F.concat_ws("/", slug(field), slug(leading)))
-        .otherwise(F.concat_ws("/", slug(F.coalesce("heading", F.lit(""))), slug(F.col("opening")), F.col("occurrence").cast("string")))
-    )
-    return found.withColumn("record_key", key)
+def plain_slug(value: str) -> str:
+    return "-".join("".join(c.lower() if c.isalnum() else " " for c in value).split())
+
+
+def subject_of(text: str) -> str:
+    """The first three words of a statement's subject; numbers and words before the subject do not count."""
+    words: list[str] = []
+    for word in re.findall(r"(?:[^\W_]|-)+", text):
+        word = word.lower()
+        if word.isnumeric() or (word in NO_SUBJECT and not words):
+            continue
+        if word in NO_SUBJECT or len(words) == 3:
+            break
+        words.append(word)
+    return "-".join(words)
+
+
+def _object(marker: str) -> str:
+    """The identity that a package gives a paragraph or shape, with its part."""
+    found = re.search(r"OOXML part (\S+) (?:.*?)(paragraph id |shape id )(\S+)", marker)
+    return f"{found[1]}:{found[2]}{found[3]}" if found else ""
+
+
+def keys_in(text: str) -> list[tuple[int, str]]:
+    """(line, record key) of located lines that have one: an identity that stays when what they state changes.
+
+    Sheet cells go by their place; PDF lines by page, column, first two words and how often these came
+    before; package objects by their identity under the nearest heading; table rows and slide fields by
+    field and subject; what is left by its subject.
+    """
+    heading, seen, out = "", {}, []
+    for n, line in enumerate(text.split("\n"), 1):
+        channel, start = located(line) or (None, 0)
+        body = line[start:].strip()
+        if channel not in ORIGINS or not body:
+            continue
+        kind, _, marker = line[1 : start - 2].partition(" ")
+        place, under, key = marker.rpartition("; channel=")[0], plain_slug(heading), ""
+        field, colon, subject = body.split(";")[0].partition(":")
+        if kind == "PDF":
+            page, column = place.split(" region ")[0], re.search(r"; column=([^;]*)", place)
+            if column:
+                prefix = plain_slug(" ".join(body.split(" (OCR transcription;")[0].split()[:2]))
+                seen[page, column[1], prefix] = seen.get((page, column[1], prefix), 0) + 1
+                key = f"pdf:{plain_slug(page)}:column-{column[1]}:{prefix}:occurrence-{seen[page, column[1], prefix]}"
+        elif kind == "XLSX":
+            key = f"spreadsheet:{hashlib.sha256(place.encode()).hexdigest()}"
+        elif _object(place) and channel != "slide_text_table":
+            key = f"office-object:{under}:{channel}:{plain_slug(_object(place))}"
+        elif channel in ("table", "slide_text_table") and not colon:
+            continue
+        elif channel in ("table", "slide_text_table") and plain_slug(field) and plain_slug(subject):
+            key = f"office-field:{channel}:{under}:{plain_slug(_object(place))}:{plain_slug(field)}-{plain_slug(subject)}"
+        elif channel.startswith("slide_text") and ":" in body and plain_slug(body.split(":")[0]):
+            key = f"office-slide-field:{under}:{plain_slug(body.split(':')[0])}"
+        elif subject_of(body):
+            key = f"office-subject:{channel}:{under}:{subject_of(body)}"
+        if key:
+            out.append((n, key))
+        if channel == "main_document" and ("style Title" in place or "style Heading" in place):
+            heading = body
+    return out
+
+
+def keys(texts: DataFrame) -> DataFrame:
+    """(source_id, line, record_key) of texts (source_id, text); see keys_in()."""
+    return _rows(texts, keys_in, "line int, record_key string").select("source_id", "line", "record_key")
 
 
 def _numbered(part: pd.DataFrame) -> pd.DataFrame:

@@ -151,4 +151,10 @@ def restore(acquisitions: DataFrame, supplied: DataFrame) -> DataFrame:
 
 def withdrawn_supports(supports: DataFrame, sources: DataFrame) -> DataFrame:
     """Supports (item_id, source_id, ...) without those of sources that withdraw() did not keep."""
-    return supports.join(sources.where("action <> 'keep'").select("source_id"), "source_id", "left_anti")
+    return supports.join(sources.where("action <> 'keep'").select("source_id"), "source_id", "left_anti").select(*supports.columns)
+
+
+def supported_edges(edges: DataFrame, supports: DataFrame) -> DataFrame:
+    """Edges with `supported` as the supports (item_id, ...) that are left say."""
+    left = supports.select(F.col("item_id").alias("relationship_id"), F.lit(True).alias("held")).distinct()
+    return edges.join(left, "relationship_id", "left").withColumn("supported", F.coalesce("held", F.lit(False))).drop("held")

@@ -60,3 +60,10 @@ def page(entries: DataFrame, descending: bool = False, offset: int = 0, size: in
 def current_support(supports: DataFrame) -> DataFrame:
     """One support per entry that still resolves, the earliest in its list (entry_id, position, resolves, ...)."""
     return supports.where("resolves").groupBy("entry_id").agg(F.min_by(F.struct(*supports.columns), "position").alias("s")).select("s.*")
+
+
+def described(entries: DataFrame, pages: DataFrame, supports: DataFrame) -> DataFrame:
+    """Entries with their pages' kind (an entry is named by its page) and the source, qualifier and position of the support that holds them up, if any does."""
+    held = current_support(supports).select("entry_id", "source_id", "qualifier", "position")
+    rows = entries.withColumn("page_id", F.col("entry_id")).join(pages.select("page_id", "kind"), "page_id", "left")
+    return rows.join(held, "entry_id", "left")

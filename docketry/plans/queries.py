@@ -2,35 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docketry.functions import dates, text
 from docketry.operators import boolean, collection, evidence, formation, inspect, paths, reconcile, search, timeline
-from docketry.plans.model import SQL, Collection
+from docketry.plans.model import Collection
+from docketry.plans.registry import QUERIES, query
 from docketry.sources import conversation, files, web
 from docketry.streaming import watch
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
 #: Turn numbers in a block; a block is what one task numbers.
 BLOCK_TURNS = 1024
 
 
-def query(sql: str | None = None, model: bool = False):
-    """Register a function of (collection) under its name; `model` puts the model's tables before the SQL."""
-
-    def add(f: Callable[[Collection], DataFrame]):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Collection(spark, sf_dir))
-        if sql:
-            ORACLE[f.__name__] = f"WITH {SQL} {sql}" if model else sql
-        return f
-
-    return add
-
-
 # ---- groups and members ------------------------------------------------------------------
 
 _SUBJECTS = "SELECT 'subject:' || page_id AS id, title AS label, 1 + coalesce(n, 0) AS members FROM pages_ LEFT JOIN (SELECT knowledge_page_id AS page_id, count(*) AS n FROM links_ GROUP BY 1) USING (page_id) WHERE page_type = 'knowledge'"
@@ -299,7 +284,19 @@ def web_titles(c: Collection) -> DataFrame:
     return c.table("pages").select("page_id", web.title(F.col("html")).alias("title"))
 
 
-@query()
+_PLAIN = "replace(replace(replace(replace({0}, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;', '&')"
+
+
+@query(
+    rf"""WITH p AS (
+      SELECT page_id, url, trim(regexp_replace({_PLAIN.format("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")}, '\s+', ' ', 'g')) AS title, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS base,
+        string_split(regexp_replace(regexp_replace(html, '(?s)<title>.*?</title>|<script>.*?</script>|<style>.*?</style>|<!--.*?-->|<!DOCTYPE[^>]*>', '', 'g'), '</a>', chr(1), 'g'), '<a href="') AS parts FROM pages),
+    l AS (SELECT page_id, url, title, array_to_string(list_transform(parts, lambda x, i: CASE WHEN i = 1 THEN x ELSE
+        split_part(split_part(x, '">', 2), chr(1), 1) || ' (' || base || replace(replace(url_encode(split_part(x, '"', 1)), '%2F', '/'), '%2C', ',') || ')' || substr(x, instr(x, chr(1)) + 1) END), '') AS h FROM p),
+    t AS (SELECT page_id, url, title, array_to_string(list_filter(list_transform(string_split({_PLAIN.format("regexp_replace(regexp_replace(h, '</?(p|li|ul|div|article|footer|h1|nav|br)( [^>]*)?>', chr(10) || chr(10), 'g'), '<[^>]+>', '', 'g')")}, chr(10) || chr(10)),
+        lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10) || chr(10)) AS text FROM l)
+    SELECT page_id, url, title, text, len(string_split(text, chr(10)))::INT AS line_count FROM t"""
+)
 def web_projection(c: Collection) -> DataFrame:
     return web.projected(c.table("pages"))
 

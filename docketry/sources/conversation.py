@@ -135,6 +135,19 @@ def parse_located(line: str) -> dict | None:
     return {k: unquote(v) for k, _, v in pairs} | {"text": text}
 
 
+def parsed(lines: DataFrame) -> DataFrame:
+    """located() lines (path, position, line) read back: session, message, order, role, author, date, channel, text; other lines are left out."""
+    keys = ["session", "message", "order", "role", "author", "date", "channel", "text"]
+
+    def each(values: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([parse_located(v or "") or dict.fromkeys(keys) for v in values], columns=keys)
+
+    each.__annotations__ = {"values": pd.Series, "return": pd.DataFrame}
+    ship(lines.sparkSession)
+    rows = lines.select("path", F.pandas_udf(each, ", ".join(f"{k} string" for k in keys))("line").alias("p"))
+    return rows.select("path", "p.*").where("session IS NOT NULL")
+
+
 def knowledge(found: DataFrame, intents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(entities, edges): messages whose judged intent (session, message, intent, score) is certain enough become pages of their conversation."""
     judged = found.where("text IS NOT NULL").join(intents, ["session", "message"], "left")

@@ -20,7 +20,9 @@ BLOCKS = (
 
 
 class _Reader(HTMLParser):
-    """Text by tokens alone: no tree is built, so an element that never closes hides or holds what follows."""
+    """Text by tokens alone: no tree is built, so an element that never closes hides or holds what follows, and no element's content is read differently."""
+
+    CDATA_CONTENT_ELEMENTS = RCDATA_CONTENT_ELEMENTS = ()
 
     def __init__(self, base: str) -> None:
         super().__init__(convert_charrefs=True)
@@ -97,3 +99,28 @@ def readable(data: bytes) -> str:
     return data.decode("utf-8")
 
 
+
+
+#: Requests that one import makes at most, redirects included. Fixed value.
+MAX_ATTEMPTS = 8
+
+
+def imported(asked: DataFrame, answers: DataFrame) -> DataFrame:
+    """(url, final_url, attempts, context, problem, html) of explicitly asked URLs (url).
+
+    answers: url, status, location, html, what a request to each URL gives. Redirects are followed,
+    MAX_ATTEMPTS requests in all; nothing else is fetched. `context` has the URLs on the way.
+    """
+    known = answers.select(F.col("url").alias("final_url"), "status", "location", "html")
+    moved = F.col("status").between(300, 399) & F.col("location").isNotNull()
+    rows = asked.select("url", F.col("url").alias("final_url"), F.array().cast("array<string>").alias("context"))
+    out = None
+    for attempt in range(1, MAX_ATTEMPTS + 1):
+        rows = rows.join(known, "final_url", "left")
+        last = attempt == MAX_ATTEMPTS
+        over = rows if last else rows.where(~F.coalesce(moved, F.lit(False)))
+        problem = F.when(F.col("status").isNull(), "no answer").when(moved, "too many redirects").when(F.col("status") != 200, F.concat(F.lit("status "), F.col("status").cast("string")))
+        part = over.select("url", "final_url", F.lit(attempt).alias("attempts"), "context", problem.alias("problem"), F.when(problem.isNull(), F.col("html")).alias("html"))
+        out = part if out is None else out.unionByName(part)
+        rows = rows.where(moved).select("url", F.col("location").alias("final_url"), F.concat("context", F.array("final_url")).alias("context"))
+    return out

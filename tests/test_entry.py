@@ -7,7 +7,7 @@ FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
-@pytest.mark.parametrize("name", ["boolean_two_hops", "groups_format", "timeline_of_reasoning", "conversation_lines", "watched_scan"])
+@pytest.mark.parametrize("name", ["boolean_two_hops", "groups_format", "timeline_of_reasoning", "conversation_lines", "watched_scan", "candidates", "record_keys", "web_projection", "knowledge_gaps", "new_page_owners", "sheet_cells", "text_functions"])
 def test_queries_equal_their_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
