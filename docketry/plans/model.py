@@ -31,14 +31,16 @@ class Collection:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def stored(self, name: str, build: Callable[[], DataFrame], by: list[str], kind: str | None = None) -> DataFrame:
-        """What `build` gives, written on first use in ranges of `by`, in a folder for each value of `kind`."""
+        """What `build` gives, written on first use by `by` and in its order, in a folder for each value of `kind`."""
         context = self.spark.sparkContext
         known = context.__dict__.setdefault("_docketry_stored", {})
         if (self.folder, name) not in known:
             path = f"{shared_dir(self.spark).rstrip('/')}/collection-{uuid.uuid4().hex}/{name}"
             frame = build()
             columns = frame.columns
-            dealt = frame.repartitionByRange(*([kind] if kind else []), *by).sortWithinPartitions(*([kind] if kind else []), *by)
+            keys = [*([kind] if kind else []), *by]
+            # Rebalancing gathers a key's rows and splits what gathers too much, in one pass.
+            dealt = frame.hint("rebalance", *(F.col(k) for k in keys)).sortWithinPartitions(*keys)
             (dealt.write.partitionBy(kind) if kind else dealt.write).parquet(path)
             known[self.folder, name] = path, columns
         path, columns = known[self.folder, name]
