@@ -68,22 +68,30 @@ class Model:
     curve: tuple[float, float, float] = (-3.0, 0.0, 0.0)
 
     def automaton(self):
+        """Patterns with (weight, length); an exception phrase has no weight."""
         import ahocorasick
 
         built = ahocorasick.Automaton()
         for term, weight in self.terms.items():
-            built.add_word(_pattern(term), weight)
+            built.add_word(_pattern(term), (weight, len(_pattern(term))))
         for phrase in self.exceptions:
-            built.add_word(f" {phrase} ", -sum(self.weight(w) for w in phrase.split()))
+            built.add_word(f" {phrase} ", (None, len(phrase) + 2))
         if len(built):
             built.make_automaton()
         return built
 
-    def weight(self, word: str) -> float:
-        return self.terms.get(word, 0.0) + sum(self.terms.get(f"{word[:k]}*", 0.0) for k in STEMS if k <= len(word))
+    def total(self, folded: str, automaton) -> float:
+        """The weights of all occurrences of terms that no exception phrase covers."""
+        hits, harmless = [], []
+        for end, (weight, length) in automaton.iter(folded) if len(automaton) else ():
+            if weight is None:
+                harmless.append((end - length, end))
+            else:
+                hits.append((end - length, end, weight))
+        return sum(w for a, b, w in hits if not any(x <= a and b <= y for x, y in harmless))
 
     def features(self, folded: str, automaton) -> tuple[float, float]:
-        total = max(0.0, sum(w for _, w in automaton.iter(folded))) if len(automaton) else 0.0
+        total = max(0.0, self.total(folded, automaton))
         return np.log1p(total), np.log1p(100 * total / max(1, folded.count(" ") - 1))
 
     def score(self, text: str | None, automaton) -> float:
