@@ -23,6 +23,8 @@ MAX_REPEATS = 3
 SLICE_SHIFT = 52
 #: Rows of a pattern, about so many, that are looked at to close what a seeded choice leaves of its share.
 FILLERS = 1024
+#: Memory of that choice, in bits a row and word: 32 MB.
+SUBSET_BITS = 1 << 28
 #: More patterns than that are an error: sources are meant to be few, and their patterns a summary.
 MAX_PATTERNS = 20_000
 
@@ -124,18 +126,34 @@ def min_cost_flow(patterns: list[tuple[tuple[int, ...], int]], quotas: list[int]
     return [{j: room[e ^ 1] for j, e in a.items() if room[e ^ 1]} for a in arcs]
 
 
+def nearest_subset(sizes: list[int], wanted: int) -> list[int]:
+    """Positions of sizes whose sum comes nearest to `wanted`, the smaller sum of two equally near; the first SUBSET_BITS // (2 * wanted) sizes are looked at.
+
+    Bit n of a number is set if n is a sum of some of the sizes so far.
+    """
+    if wanted <= 0:
+        return []
+    sizes, limit = sizes[: max(1, SUBSET_BITS // (2 * wanted))], (1 << (2 * wanted)) - 1
+    reach = [1]
+    for size in sizes:
+        reach.append(reach[-1] | (reach[-1] << size & limit if size < 2 * wanted else 0))
+    low = (reach[-1] & ((1 << (wanted + 1)) - 1)).bit_length() - 1
+    above = reach[-1] >> (wanted + 1)
+    high = wanted + (above & -above).bit_length() if above else None
+    total = high if high is not None and high - wanted < wanted - low else low
+    chosen = []
+    for n in range(len(sizes), 0, -1):
+        if not reach[n - 1] >> total & 1:
+            chosen.append(n - 1)
+            total -= sizes[n - 1]
+    return chosen[::-1]
+
+
 def _filled(part: pd.DataFrame) -> pd.DataFrame:
-    """Of a pattern's rows (key, u, size, missing): those that fit one after another, and then the nearest in size if that helps."""
+    """Of a pattern's rows (key, u, size, missing), those whose sizes add up nearest to what is missing."""
     part = part.sort_values("u")
-    missing, more = int(part["missing"].iloc[0]), []
-    for u, size in zip(part["u"].tolist(), part["size"].tolist(), strict=True):
-        if size <= missing:
-            more.append(u)
-            missing -= size
-    off = (part.loc[~part["u"].isin(more), "size"] - missing).abs()
-    if len(off) and off.min() < missing:
-        more.append(int(part["u"][off.idxmin()]))
-    return pd.DataFrame({"key": [part["key"].iloc[0]], "more": [more]})
+    chosen = nearest_subset(part["size"].tolist(), int(part["missing"].iloc[0]))
+    return pd.DataFrame({"key": [part["key"].iloc[0]], "more": [part["u"].iloc[chosen].tolist()]})
 
 
 def mix(docs: DataFrame, seed: int = 17, id_col: str = "doc_id", members: Column | None = None, weights: tuple[float, ...] = WEIGHTS, most: int = MAX_REPEATS, size: Column | None = None) -> DataFrame:
@@ -144,9 +162,8 @@ def mix(docs: DataFrame, seed: int = 17, id_col: str = "doc_id", members: Column
     `members` is the array of a row's sources (by default its source alone); sources sort by code
     point, null last; `source` is the first of them, or null. `taken` counts the words that the
     mix takes of the row, whole passes of it and at most `most`. Within a pattern a last partial
-    pass takes rows in the order of a seeded hash of id and text as long as they fit; of the about
-    FILLERS rows after these, those that still fit; and then the one among them whose size comes
-    nearest, if that helps. Rows that repeat id and text go together; null is an id like
+    pass takes rows in the order of a seeded hash of id and text as long as they fit, and of the about
+    FILLERS rows after these the ones whose sizes add up nearest to what is missing. Rows that repeat id and text go together; null is an id like
     others. Empty documents and empty tables take nothing.
     """
     small_batches(docs.sparkSession)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontaminate, mixing, pii, quality, simhash, tokens, toxicity, warc, winnow
-from .common import crc_mod, load
+from .common import compact, crc_mod, load
 
 TOKENIZER = "byte_bpe_50k.json"
 THRESHOLD = 0.7
@@ -54,7 +54,8 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(load(spark, sf_dir, "documents"))
+    docs = load(spark, sf_dir, "documents")
+    return mixing.mix(compact(docs, docs.count()))
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
