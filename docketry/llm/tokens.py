@@ -19,7 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, scratch_dir, small_batches
+from docketry.session import FILE_ROWS
+
+from .common import compact, durable, scratch_dir, small_batches
 
 #: Longer texts are encoded in pieces of about so many characters.
 PIECE_CHARS = 1 << 20
@@ -90,6 +92,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache: str | None = None,
     version = hashlib.sha256(source.encode()).hexdigest()
     shared = spark.sparkContext.broadcast(source)  # a vocabulary file: a few MB, whatever the input
 
+    rows = docs.count()
+    docs = compact(docs, rows)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     digest = F.unhex(F.sha2(text.cast("binary"), 256))
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), digest.alias("digest"))
@@ -117,6 +121,6 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache: str | None = None,
         texts = texts.join(known, "digest", "left_anti")
     # Copies go before the shuffle, one a task, so that a text with many copies is no hot key after it.
     fresh = texts.mapInArrow(once, "digest binary, text string").repartition("digest").mapInArrow(encode, "digest binary, n_tokens long")
-    fresh.write.parquet(f"{cache}/tokenizer={version}/run={uuid.uuid4().hex}")
+    compact(fresh, rows).write.parquet(f"{cache}/tokenizer={version}/run={uuid.uuid4().hex}")
     counts = _known(spark, cache, version)
-    return narrow.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    return compact(narrow.join(counts, "digest"), rows, FILE_ROWS).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -398,6 +398,15 @@ def test_mix_of_overlapping_sources(spark):
     assert abs(sum(r.taken for r in out) - sum(sum(f.values()) for f in flow)) <= 41 * len(words)
 
 
+def test_nearest_subset_equals_trying_all():
+    rng = random.Random(2)
+    for _ in range(200):
+        sizes, wanted = [rng.randint(1, 30) for _ in range(rng.randint(0, 9))], rng.randint(0, 60)
+        chosen = mixing.nearest_subset(sizes, wanted)
+        best = min(abs(sum(c) - wanted) for n in range(len(sizes) + 1) for c in itertools.combinations(sizes, n) if sum(c) < 2 * wanted or not c)
+        assert len(set(chosen)) == len(chosen) and abs(sum(sizes[i] for i in chosen) - wanted) == best
+
+
 def test_mix_fills_around_a_giant(spark):
     """A document larger than what is missing is passed over, and small ones after it fill the share."""
     rows = [(n, "w " * 100, "small") for n in range(300)] + [(1000 + n, "w " * 20_000, "small") for n in range(3)] + [(5000, "w " * 10_000, "other")]
@@ -448,7 +457,53 @@ def test_toxicity_exceptions_cancel_their_terms_once():
     automaton = model.automaton()
     assert model.features(toxicity.fold("kill time"), automaton)[0] == 0
     assert model.features(toxicity.fold("hate, kill time"), automaton)[0] == pytest.approx(np.log1p(3))
-
+    # A word that two phrases cover.
+    model = toxicity.Model({"idiot": 3.0, "clown": 2.0}, ("clown fish", "the clown"))
+    automaton = model.automaton()
+    assert [model.total(toxicity.fold(t), automaton) for t in ("you idiot the clown fish", "clown clown fish", "idiot clown")] == [3.0, 2.0, 5.0]
+
+
+def test_lexicon_equals_looking_everywhere(spark):
+    rng = random.Random(9)
+    words = ["kill", "killing", "hate", "time", "the", "fish", "hater", "k1ll", "ok"]
+    model = toxicity.Model({"kill*": 2.0, "hate": 3.0, "hater": -1.0}, ("kill time", "the hate"), (-1.0, 1.5, -0.25))
+    texts = [None, "", *(" ".join(rng.choices(words, k=rng.randint(1, 30))) for _ in range(200))]
+    scores = {r.doc_id: r.score for r in toxicity.scored(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), model).collect()}
+    for n, text in enumerate(texts):
+        own = toxicity.fold(text).split()
+        total = 0.0
+        for i, w in enumerate(own):
+            weight = sum(v for t, v in model.terms.items() if (w.startswith(t[:-1]) if t.endswith("*") else w == t))
+            phrases = {" ".join(own[max(0, i - 1) : i + 1]), " ".join(own[i : i + 2])}
+            total += 0.0 if phrases & set(model.exceptions) else weight
+        z = -1.0 + 1.5 * np.log1p(max(0, total)) - 0.25 * np.log1p(100 * max(0, total) / max(1, len(own)))
+        assert scores[n] == pytest.approx(1 / (1 + np.exp(-z)))
+
+
+def test_rules_equal_reading_them(spark):
+    """The compiled column against the rules read one by one over statistics that are counted plainly."""
+    rules = quality.Rules(-0.5, [(((1, 1.5, True), (4, 0.1, False)), 2.0), (((9, 0.8, False),), -1.25), (((12, 0.2, True),), 0.75)])
+    texts = [None, " ", "One", "one two two two", "A B! c? DDD e", "x " * 300 + "\n" + "y! " * 40]
+    got = {r.doc_id: r.score for r in quality.scored(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), rules).collect()}
+    for n, text in enumerate(texts):
+        words = (text or "").split()
+        stat = {1: np.log1p(len(words)), 4: sum(c.isupper() for c in text or "") / max(1, len(text or "")), 9: len(set(words)) / max(1, len(words)), 12: sum(w[-1] in "!?" for w in words) / max(1, len(words))}
+        if not words:
+            stat = dict.fromkeys(stat, 0.0)
+        z = -0.5 + sum(w for rule, w in rules.weighted if all((stat[j] > b) == above for j, b, above in rule))
+        assert got[n] == pytest.approx(1 / (1 + np.exp(-z)))
+
+
+def test_held_out_accuracy(spark):
+    """Both classifiers on labelled rows that they were not fitted on, by the rules of their queries."""
+    from docketry.llm.common import crc_mod, load
+
+    docs, labels = (load(spark, "/root/testdata/sf0.01", t) for t in ("documents", "labels"))
+    for module, column, n, out in ((quality, "quality", 4, 2), (toxicity, "toxic", 3, 1)):
+        model = module.train(docs, labels, crc_mod("id", n) != out)
+        held = labels.where(crc_mod("doc_id", n) == out).join(module.scored(docs, model), "doc_id")
+        right = held.select(F.avg(((F.col("score") >= 0.7).cast("int") == F.col(column)).cast("double"))).first()[0]
+        assert right >= 0.9, (module.__name__, right)
 
 def test_toxicity_keeps_all_exceptions(monkeypatch):
     monkeypatch.setattr(toxicity, "MAX_TERMS", 1)
