@@ -64,7 +64,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 #: Rows of a few numbers each that one file of a small table holds.
-FILE_ROWS = 1 << 18
+FILE_ROWS = 1 << 17
 
 
 def durable(frame: DataFrame, rows: int | None = None) -> DataFrame:
