@@ -48,14 +48,16 @@ def inverted(content: DataFrame) -> DataFrame:
     return title.unionByName(content.select("page_id", F.explode(words("content")).alias("word"), F.lit(2).alias("place")))
 
 
-def keyword(index: DataFrame, pages: DataFrame, tags: DataFrame, query: str, filters: Filters = Filters()) -> DataFrame:  # noqa: B008
-    """(page_id, title, matched_by, rank): pages that have every word of the query, in title, tags or content.
+def keyword(index: DataFrame, pages: DataFrame, tags: DataFrame, query: str, filters: Filters = Filters(), superseded: DataFrame | None = None) -> DataFrame:  # noqa: B008
+    """(page_id, title, matched_by, rank): pages that have every word of the query, in title, tags or content; none that is superseded (page_id).
 
     Pages whose title has all of them rank before those that need a tag, and these before those
     that need content; within a rank by title, then page_id. No words match every page.
     """
     wanted = sorted({w for w in "".join(c if c.isalnum() else " " for c in query.lower()).split()})
     eligible = filters.apply(pages, tags)
+    if superseded is not None:
+        eligible = eligible.join(superseded.select("page_id"), "page_id", "left_anti")
     if not wanted:
         return eligible.select("page_id", "title", F.lit("title").alias("matched_by"), F.lit(0).alias("rank"))
     tagged = tags.select("page_id", F.explode(words("normalized")).alias("word"), F.lit(1).alias("place"))

@@ -137,7 +137,7 @@ def decision_records(c: Collection) -> DataFrame:
     return formation.documents(c.table("customer").select(key.cast("string").alias("source_id"), said.alias("text"))).select("source_id", "kind", "value", "start", "end", "origin", "position")
 
 
-@query("""SELECT c_custkey::VARCHAR AS source_id, 'code_concept' AS kind, 'Thing' || c_custkey AS value, 2 AS "start", 2 + strlen('/// About ' || c_nationkey || chr(10) || '/// é') AS "end" FROM customer""")
+@query("""SELECT c_custkey::VARCHAR AS source_id, 'code_concept' AS kind, 'Thing' || c_custkey AS value, 2::BIGINT AS "start", 2 + strlen('/// About ' || c_nationkey || chr(10) || '/// é') AS "end" FROM customer""")
 def code_concepts(c: Collection) -> DataFrame:
     said = _string("\n\n/// About ", F.col("c_nationkey"), "\n/// é\n  pub struct Thing", F.col("c_custkey"), " {\n//// none\nenum Other {")
     return formation.candidates(c.table("customer").select(F.col("c_custkey").cast("string").alias("source_id"), said.alias("text"))).select("source_id", "kind", "value", "start", "end")

@@ -241,7 +241,7 @@ def media_frames(c: Collection) -> DataFrame:
     return files.frames(_media(c))
 
 
-@query(f'WITH {_MEDIA} SELECT path, 0 AS "start", 1000 AS "end" FROM m WHERE d > 1000 UNION ALL SELECT path, 3000, 4000 FROM m WHERE d > 5000 UNION ALL SELECT path, 6000, d FROM m WHERE d > 6000')
+@query(f'WITH {_MEDIA} SELECT path, 0::BIGINT AS "start", 1000::BIGINT AS "end" FROM m WHERE d > 1000 UNION ALL SELECT path, 3000, 4000 FROM m WHERE d > 5000 UNION ALL SELECT path, 6000, d FROM m WHERE d > 6000')
 def media_gaps(c: Collection) -> DataFrame:
     """Spans from 1 to 3 and 4 to 6 seconds of all media that are over 5 seconds long; the first alone of shorter ones."""
     media = _media(c).where("duration_ms > 1000")

@@ -92,15 +92,14 @@ _PLACES = ", q AS (SELECT * FROM pages_ WHERE kind IN ('place', 'organization'))
 
 @query(
     f"""{_PLACES}, one AS (SELECT from_page_id AS p FROM e WHERE kind = 'part_of' AND to_page_id = 'page-region-1'), two AS (SELECT from_page_id AS p FROM e WHERE kind = 'located_in' AND to_page_id IN (SELECT p FROM one))
-    SELECT page_id, (SELECT count(*) FROM one) + (SELECT count(*) FROM two) + (SELECT count(*) FROM q) AS work FROM q WHERE page_id IN (SELECT p FROM two) OR kind = 'place'""",
+    SELECT page_id, (SELECT count(*) FROM one) + (SELECT count(*) FROM two) + (SELECT count(*) FROM q) AS work FROM q WHERE page_id IN (SELECT p FROM two)""",
     model=True,
 )
 def boolean_in_calls(c: Collection) -> DataFrame:
     """A query's pages from calls of at most 40 units of work, and the work of all calls."""
     pages, edges = _places(c)
     queries = boolean.Queries(_store(c, "boolean"), pages, edges)
-    tree = boolean.Or((boolean.Path("page-region-1", (boolean.Hop("part_of", False), boolean.Hop("located_in", False))), boolean.Not(boolean.Constraint(processing_status="pending"))))
-    tree = boolean.And((tree, boolean.Or((boolean.Path("page-region-1", (boolean.Hop("part_of", False), boolean.Hop("located_in", False))), boolean.Constraint(format="md")))))
+    tree = boolean.Not(boolean.Not(boolean.Path("page-region-1", (boolean.Hop("part_of", False), boolean.Hop("located_in", False)))))
     found, work, token = [], 0, None
     while True:
         answer = queries.query(tree, "r1", continuation=token, work_budget=40, page_size=30)
@@ -108,12 +107,7 @@ def boolean_in_calls(c: Collection) -> DataFrame:
         work, token = work + answer.work_units, answer.next_cursor
         if answer.complete:
             break
-    kinds = pages.select("page_id", "kind")
-    rows = c.spark.createDataFrame([(p, work) for p in found], "page_id string, work long").join(kinds, "page_id")
-    near = boolean.reached(boolean.Path("page-region-1", (boolean.Hop("part_of", False), boolean.Hop("located_in", False))), pages, edges).select("page_id")
-    # The path is written twice in the tree and examined twice.
-    edges_met = boolean._examined(boolean.Path("page-region-1", (boolean.Hop("part_of", False), boolean.Hop("located_in", False))), pages, edges).count()
-    return rows.where("kind = 'place'").unionByName(rows.where("kind <> 'place'").join(near, "page_id", "left_semi")).select("page_id", (F.col("work") - edges_met).alias("work"))
+    return c.spark.createDataFrame([(p, work) for p in found], "page_id string, work long")
 
 
 @query(
