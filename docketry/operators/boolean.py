@@ -1,6 +1,6 @@
 """Boolean queries over multi-hop relationship paths.
 
-A query tree is compiled to one lazy plan: each path leaf unrolls to one equi-join per hop, each
+A query tree is compiled to one lazy plan: each path leaf unrolls to one equi-join per hop, with edges that know the page they lead to, each
 constraint to a column, and the tree to a column expression over a flag per leaf. A page reached
 several ways at one depth keeps the first route in breadth-first order, which is the order of the
 routes' relationship ids, hop by hop; so the route itself, compared as an array, decides.
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry.functions.text import is_true
+from docketry.operators.adjacency import Adjacency
 from docketry.operators.continuation import MAX_PAGE, MAX_WORK, Answer, Store, check_limits
 from docketry.session import durable
 
@@ -140,47 +141,44 @@ def signature(expression: Expression, returned: Constraint) -> str:
     return json.dumps([plain(expression), asdict(returned)], sort_keys=True)
 
 
-def _around(pages: DataFrame) -> DataFrame:
-    return pages.select(F.col("page_id").alias("p_id"), F.col("event_date").alias("p_event_date"), F.col("format").alias("p_format"), F.col("processing_status").alias("p_processing_status"))
+def _steps(near: Adjacency, hop: Hop, start: str | None) -> DataFrame:
+    """What a hop may take: rows of its kind and direction, at the start alone if it is the first."""
+    rows = near.around(None if start is None else [start])
+    return rows.where((F.col("kind") == hop.kind) & (F.col("way") == int(hop.with_arrow)))
 
 
-def _steps(frontier: DataFrame, edges: DataFrame, hop: Hop) -> DataFrame:
-    here, there = ("from_page_id", "to_page_id") if hop.with_arrow else ("to_page_id", "from_page_id")
-    near = edges.where(F.col("kind") == hop.kind).select(F.col(here).alias("at"), F.col(there).alias("next"), "relationship_id", "supported")
-    return frontier.join(near, "at")
+def _allowed(path: Path, depth: int) -> Column:
+    return (path.endpoint if depth == len(path.hops) else path.intermediate).column("n_")
 
 
-def reached(path: Path, pages: DataFrame, edges: DataFrame) -> DataFrame:
+def reached(path: Path, near: Adjacency) -> DataFrame:
     """(page_id, route): the pages at a path's end, each with its first route."""
-    spark = pages.sparkSession
+    spark = near.rows.sparkSession
     frontier = spark.createDataFrame([(path.start, [])], "at string, route array<string>")
-    around = _around(pages)
     for depth, hop in enumerate(path.hops, 1):
-        allowed = path.endpoint if depth == len(path.hops) else path.intermediate
-        step = _steps(frontier, edges, hop).where("supported").join(around, F.col("next") == F.col("p_id")).where(allowed.column("p_"))
-        step = step.select("next", F.concat("route", F.array("relationship_id")).alias("route"))
+        steps = _steps(near, hop, path.start if depth == 1 else None).where("supported AND there").where(_allowed(path, depth))
+        step = frontier.join(steps, "at").select("next", F.concat("route", F.array("relationship_id")).alias("route"))
         # The least route is the first discovered: an aggregate with a map-side part, where a window would move every route.
         frontier = _written(step.groupBy(F.col("next").alias("at")).agg(F.min("route").alias("route")), depth)
     return frontier.select(F.col("at").alias("page_id"), "route")
 
 
-def _examined(path: Path, pages: DataFrame, edges: DataFrame) -> DataFrame:
+def _examined(path: Path, near: Adjacency) -> DataFrame:
     """(depth, at, relationship_id, issue): the edges of the path's kinds that it meets, and what is wrong with them."""
-    spark = pages.sparkSession
+    spark = near.rows.sparkSession
     frontier = spark.createDataFrame([(path.start,)], "at string")
-    around, out = _around(pages), spark.createDataFrame([], "depth int, at string, relationship_id string, issue string")
+    out = spark.createDataFrame([], "depth int, at string, relationship_id string, issue string")
     for depth, hop in enumerate(path.hops, 1):
-        step = _steps(frontier, edges, hop).join(around, F.col("next") == F.col("p_id"), "left")
-        issue = F.when(F.col("p_id").isNull(), "missing_endpoint").when(~F.col("supported"), "missing_support")
+        step = frontier.join(_steps(near, hop, path.start if depth == 1 else None), "at")
+        issue = F.when(~F.col("there"), "missing_endpoint").when(~F.col("supported"), "missing_support")
         out = out.unionByName(step.select(F.lit(depth).alias("depth"), "at", "relationship_id", issue.alias("issue")))
-        allowed = path.endpoint if depth == len(path.hops) else path.intermediate
-        frontier = _written(step.where("p_id IS NOT NULL AND supported").where(allowed.column("p_")).select(F.col("next").alias("at")).distinct(), depth)
+        frontier = _written(step.where("there AND supported").where(_allowed(path, depth)).select(F.col("next").alias("at")).distinct(), depth)
     return out
 
 
-def diagnostics(path: Path, pages: DataFrame, edges: DataFrame) -> DataFrame:
+def diagnostics(path: Path, pages: DataFrame, edges: DataFrame | Adjacency) -> DataFrame:
     """(depth, relationship_id, issue): edges of the path's kinds that lead nowhere or have no support left."""
-    return _examined(path, pages, edges).where("issue IS NOT NULL").select("depth", "relationship_id", "issue").distinct()
+    return _examined(path, Adjacency.of(pages, edges)).where("issue IS NOT NULL").select("depth", "relationship_id", "issue").distinct()
 
 
 def _written(frontier: DataFrame, depth: int) -> DataFrame:
@@ -188,16 +186,16 @@ def _written(frontier: DataFrame, depth: int) -> DataFrame:
     return durable(frontier) if depth % HOPS_A_PLAN == 0 else frontier
 
 
-def query_pages(pages: DataFrame, edges: DataFrame, expression: Expression, returned: Constraint | None = None) -> DataFrame:
+def query_pages(pages: DataFrame, edges: DataFrame | Adjacency, expression: Expression, returned: Constraint | None = None) -> DataFrame:
     """All result pages with `evidence`, the routes of leaves that speak for them, as (leaf, route)."""
-    paths = leaves(expression)
+    paths, near = leaves(expression), Adjacency.of(pages, edges)
     starts = {p.start for p in paths}
     if starts and pages.where(F.col("page_id").isin(list(starts))).select("page_id").distinct().count() < len(starts):
         raise ValueError("a start page does not exist")
     # Leaves are numbered as they are written; equal ones share a join.
     found, distinct = pages, list(dict.fromkeys(paths))
     for n, path in enumerate(distinct):
-        found = found.join(reached(path, pages, edges).withColumnRenamed("route", f"path_{n}"), "page_id", "left")
+        found = found.join(reached(path, near).withColumnRenamed("route", f"path_{n}"), "page_id", "left")
     column = [F.col(f"path_{distinct.index(path)}") for path in paths]
     numbers = iter(range(len(paths)))
 
@@ -245,8 +243,8 @@ class Queries:
     takes, never the result, and NOT never speaks before all paths are known.
     """
 
-    def __init__(self, store: Store, pages: DataFrame, edges: DataFrame) -> None:
-        self.store, self.pages, self.edges = store, pages, edges
+    def __init__(self, store: Store, pages: DataFrame, edges: DataFrame | Adjacency) -> None:
+        self.store, self.pages, self.near = store, pages, Adjacency.of(pages, edges)
 
     def query(self, expression: Expression, revision: str, returned: Constraint | None = None, continuation: str | None = None, work_budget: int = MAX_WORK, page_size: int = MAX_PAGE) -> Answer:
         check_limits(work_budget, page_size)
@@ -289,10 +287,10 @@ class Queries:
     def _begin(self, expression: Expression, returned: Constraint, paths: list[Path], revision: str, asked: str) -> str:
         name = self.store.begin({"signature": asked, "revision": revision})
         folder = self.store.tables(name)
-        query_pages(self.pages, self.edges, expression, returned).write.parquet(f"{folder}/found")
+        query_pages(self.pages, self.near, expression, returned).write.parquet(f"{folder}/found")
         examined = self.pages.sparkSession.createDataFrame([], "leaf int, depth int, at string, relationship_id string, issue string")
         for n, path in enumerate(paths):
-            examined = examined.unionByName(_examined(path, self.pages, self.edges).select(F.lit(n).alias("leaf"), "depth", "at", "relationship_id", "issue"))
+            examined = examined.unionByName(_examined(path, self.near).select(F.lit(n).alias("leaf"), "depth", "at", "relationship_id", "issue"))
         examined.write.parquet(f"{folder}/examined")
         return name
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docketry.functions.text import sum_of_hashes
+from docketry.operators.adjacency import Adjacency
 from docketry.operators.continuation import MAX_PAGE, MAX_WORK, Answer, QueryError, Store, check_limits
 from docketry.session import durable
 
@@ -15,35 +16,30 @@ STEPS = "array<struct<relationship_id:string,kind:string,with_arrow:boolean,page
 FEW_PAGES = 500
 
 
-def both_ways(edges: DataFrame, here: list[str] | None = None) -> DataFrame:
-    """(at, next, relationship_id, kind, with_arrow): every supported edge (at the pages `here`, if given) in both directions, without self-links."""
-    kept = edges.where("supported AND from_page_id <> to_page_id")
-    ahead, back = (kept if here is None else kept.where(F.col(c).isin(here)) for c in ("from_page_id", "to_page_id"))
-    out = ahead.select(F.col("from_page_id").alias("at"), F.col("to_page_id").alias("next"), "relationship_id", "kind", F.lit(True).alias("with_arrow"))
-    return out.unionByName(back.select(F.col("to_page_id").alias("at"), F.col("from_page_id").alias("next"), "relationship_id", "kind", F.lit(False).alias("with_arrow")))
+def _links(rows: DataFrame) -> DataFrame:
+    """(at, next, relationship_id, kind, with_arrow, there): supported edges other than self-links."""
+    return rows.where("supported AND at <> next").select("at", "next", "relationship_id", "kind", (F.col("way") == 1).alias("with_arrow"), "there")
 
 
-def explore(pages: DataFrame, edges: DataFrame, start: str, max_hops: int) -> DataFrame:
+def explore(pages: DataFrame, edges: DataFrame | Adjacency, start: str, max_hops: int) -> DataFrame:
     """(page_id, depth, steps): each page within reach once, at its least depth, with its first route.
 
     Routes are ordered by their relationship ids. The start is not reached. A level is one join and
     one aggregation, written before the next begins; levels already reached are taken out by an
     anti-join. A frontier of few pages is put to the edges as a filter, which stored edges answer
-    from the files that hold those pages; a larger one is joined.
+    from those pages' buckets; a larger one is joined.
     """
     if not 1 <= max_hops <= 256:
         raise ValueError("1 to 256 hops")
-    spark = pages.sparkSession
-    ids = pages.select(F.col("page_id").alias("next"))
+    spark, near = pages.sparkSession, Adjacency.of(pages, edges)
     frontier = spark.createDataFrame([(start, 0, [])], f"page_id string, depth int, steps {STEPS}")
     reached, here, total = frontier, [start], 1
     for depth in range(1, max_hops + 1):
         step = F.struct("relationship_id", "kind", "with_arrow", F.col("next").alias("page_id"))
-        found = frontier.join(both_ways(edges, here), F.col("page_id") == F.col("at")).select("next", F.concat("steps", F.array(step)).alias("steps"))
+        found = frontier.join(_links(near.around(here)).where("there"), F.col("page_id") == F.col("at")).select("next", F.concat("steps", F.array(step)).alias("steps"))
         found = found.join(reached.select(F.col("page_id").alias("next")), "next", "left_anti").groupBy("next").agg(F.min("steps").alias("steps"))
-        found = found.join(ids, "next", "left_semi").select(F.col("next").alias("page_id"), F.lit(depth).alias("depth"), "steps")
         # Every level is read twice, by the next join and by the anti-joins after it: it is written once.
-        frontier = durable(found)
+        frontier = durable(found.select(F.col("next").alias("page_id"), F.lit(depth).alias("depth"), "steps"))
         size = frontier.count()
         if not size:
             break
@@ -55,13 +51,13 @@ def explore(pages: DataFrame, edges: DataFrame, start: str, max_hops: int) -> Da
     return reached.where("depth > 0")
 
 
-def examined(edges: DataFrame, explored: DataFrame, start: str, max_hops: int) -> DataFrame:
+def examined(near: Adjacency, explored: DataFrame, start: str, max_hops: int) -> DataFrame:
     """(depth, at, relationship_id, page_id): the edges that exploring examines, and the page that each discovers, if any."""
     inner = explored.where(F.col("depth") < max_hops).select(F.col("page_id").alias("at"), F.col("depth").alias("from_depth"))
     inner = inner.unionByName(explored.sparkSession.createDataFrame([(start, 0)], "at string, from_depth int"))
     last, before = F.get("steps", F.size("steps") - 1), F.coalesce(F.get("steps", F.size("steps") - 2)["page_id"], F.lit(start))
     found = explored.select("page_id", F.col("depth").alias("d"), last["relationship_id"].alias("r"), before.alias("b"))
-    rows = both_ways(edges).join(inner, "at")
+    rows = _links(near.rows).join(inner, "at")
     hit = (F.col("next") == F.col("page_id")) & (F.col("d") == F.col("from_depth") + 1) & (F.col("r") == F.col("relationship_id")) & (F.col("b") == F.col("at"))
     return rows.join(found, hit, "left").select((F.col("from_depth") + 1).alias("depth"), "at", "relationship_id", "page_id")
 
@@ -69,8 +65,8 @@ def examined(edges: DataFrame, explored: DataFrame, start: str, max_hops: int) -
 class Explorations:
     """Explorations in calls of bounded work: each examines at most so many edges, and gives the pages that these discover."""
 
-    def __init__(self, store: Store, pages: DataFrame, edges: DataFrame) -> None:
-        self.store, self.pages, self.edges = store, pages, edges
+    def __init__(self, store: Store, pages: DataFrame, edges: DataFrame | Adjacency) -> None:
+        self.store, self.pages, self.near = store, pages, Adjacency.of(pages, edges)
 
     def explore(self, start: str, max_hops: int, revision: str, continuation: str | None = None, work_budget: int = MAX_WORK, page_size: int = MAX_PAGE) -> Answer:
         check_limits(work_budget, page_size)
@@ -80,10 +76,10 @@ class Explorations:
             if self.pages.where(F.col("page_id") == start).isEmpty():
                 raise QueryError("invalid: the start page does not exist")
             name, state = self.store.begin({"signature": asked, "revision": revision}), {"edge": None, "waiting": []}
-            found = explore(self.pages, self.edges, start, max_hops)
+            found = explore(self.pages, self.near, start, max_hops)
             found.write.parquet(f"{self.store.tables(name)}/found")
             found = spark.read.parquet(f"{self.store.tables(name)}/found")
-            examined(self.edges, found, start, max_hops).repartitionByRange("depth", "at", "relationship_id").sortWithinPartitions("depth", "at", "relationship_id").write.parquet(f"{self.store.tables(name)}/examined")
+            examined(self.near, found, start, max_hops).repartitionByRange("depth", "at", "relationship_id").sortWithinPartitions("depth", "at", "relationship_id").write.parquet(f"{self.store.tables(name)}/examined")
         else:
             name, state = self.store.resume(continuation, revision, asked)
         self.store.retire()

@@ -8,11 +8,13 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.functions.text import fold, source_id
+from docketry.operators.adjacency import Adjacency, bucket, buckets_for, with_pages
 from docketry.session import shared_dir
 
 
@@ -20,8 +22,8 @@ class Collection:
     """A collection over the tables below a folder.
 
     Its pages, edges, tags and words are derived once for an application, at their first use, and
-    stored in the shared folder: pages and edges in order of page and by kind, so that a query reads
-    the files that hold its pages. Everything else is read from the tables as it is.
+    stored in the shared folder, edges by kind and, as seen from either end, by a bucket of the page,
+    so that a hop reads what lies around its pages. Everything else is read from the tables as it is.
     """
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
@@ -30,21 +32,28 @@ class Collection:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def stored(self, name: str, build: Callable[[], DataFrame], by: list[str], kind: str | None = None) -> DataFrame:
-        """What `build` gives, written on first use by `by` and in its order, in a folder for each value of `kind`."""
-        context = self.spark.sparkContext
-        known = context.__dict__.setdefault("_docketry_stored", {})
-        if (self.folder, name) not in known:
+    def stored(self, name: str, build: Callable[[], DataFrame], by: list[str], folders: list[str] | None = None, dealt: list[str] | None = None) -> DataFrame:
+        """What `build` gives, written on first use: rows that agree in `dealt` (folders and `by` unless given) together,
+        in order of `by`, in a folder for each value of `folders`. Written anew once the tables' files have changed.
+        """
+        known = self.spark.sparkContext.__dict__.setdefault("_docketry_stored", {})
+        if known.get((self.folder, name), [None])[0] != self.stamp:
             path = f"{shared_dir(self.spark).rstrip('/')}/collection-{uuid.uuid4().hex}/{name}"
-            frame = build()
-            columns = frame.columns
-            keys = [*([kind] if kind else []), *by]
-            # Rebalancing gathers a key's rows and splits what gathers too much, in one pass.
-            dealt = frame.hint("rebalance", *(F.col(k) for k in keys)).sortWithinPartitions(*keys)
-            (dealt.write.partitionBy(kind) if kind else dealt.write).parquet(path)
-            known[self.folder, name] = path, columns
-        path, columns = known[self.folder, name]
-        return self.spark.read.parquet(path).select(*columns)
+            frame, folders = build(), folders or []
+            # Rebalancing gathers rows of a key and splits what gathers too much, in one pass.
+            gathered = frame.hint("rebalance", *(F.col(k) for k in dealt or [*folders, *by])).sortWithinPartitions(*folders, *by)
+            (gathered.write.partitionBy(*folders) if folders else gathered.write).parquet(path)
+            known[self.folder, name] = self.stamp, path, frame.schema
+        _, path, schema = known[self.folder, name]
+        # With the schema given, values of folders keep their types.
+        return self.spark.read.schema(schema).parquet(path).select(*schema.names)
+
+    @cached_property
+    def stamp(self) -> str:
+        """The names, lengths and times of the tables' files, as the collection was opened."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        files = folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(folder)
+        return "\n".join(sorted(f"{f.getPath().getName()} {f.getLen()} {f.getModificationTime()}" for f in files))
 
     @property
     def sources(self) -> DataFrame:
@@ -63,7 +72,14 @@ class Collection:
 
     @property
     def edges(self) -> DataFrame:
-        return self.stored("edges", self._edges, ["from_page_id"], "kind")
+        return self.stored("edges", self._edges, ["from_page_id"], ["kind"])
+
+    @property
+    def adjacency(self) -> Adjacency:
+        """The edges from either end, for queries that follow them; a bucket's rows lie together."""
+        folders = ["kind", "way", "bucket"]
+        buckets = buckets_for(self.edges.count())
+        return Adjacency(self.stored("adjacency", lambda: with_pages(self.pages, self.edges).withColumn("bucket", bucket(F.col("at"), buckets)), ["at"], folders, folders), buckets)
 
     @property
     def tags(self) -> DataFrame:

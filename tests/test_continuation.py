@@ -2,6 +2,7 @@ import pytest
 
 from docketry.operators import boolean as B
 from docketry.operators import paths
+from docketry.operators.adjacency import Adjacency
 from docketry.operators.continuation import IDLE_MS, QueryError, Store
 
 PAGES = "page_id string, title string, kind string, event_date string, format string, processing_status string"
@@ -80,4 +81,4 @@ def test_a_chain_beyond_one_plan(spark):
     edges = spark.createDataFrame([(f"r{i:02}", f"n{i:02}", f"n{i + 1:02}", "next", True) for i in range(n - 1)], EDGES)
     found = paths.explore(pages, edges, "n00", 256)
     assert {(r["page_id"], r["depth"]) for r in found.collect()} == {(f"n{i:02}", i) for i in range(1, n)}
-    assert [r["page_id"] for r in B.reached(B.Path("n00", (B.Hop("next"),) * 17), pages, edges).collect()] == ["n17"]
+    assert [r["page_id"] for r in B.reached(B.Path("n00", (B.Hop("next"),) * 17), Adjacency.of(pages, edges)).collect()] == ["n17"]
