@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry.functions.text import chunk_key, fold, is_true, normalized_tag
+from docketry.session import shared_dir, ship
 
 CUTOFF = 0.45
 PAGE_SIZE = 50
+#: Bytes of a block of queries, which all tasks get, and queries that a task scores at once.
+BLOCK_BYTES, TILE = 32 << 20, 512
 
 
 @dataclass(frozen=True)
@@ -108,57 +115,75 @@ def nearest(vectors: DataFrame, query: list[float], k: int, eligible: DataFrame
     return best.where(F.col("score") >= cutoff).orderBy(F.desc("score"), "page_id").limit(k)
 
 
-def nearest_of_each(vectors: DataFrame, queries: DataFrame, k: int, cutoff: float = CUTOFF) -> DataFrame:
-    """(query_id, page_id, score) for a stated set of queries (query_id, vector) of any size.
+def best_rows(scores: np.ndarray, k: int) -> np.ndarray:
+    """Which k entries of each column are the largest, earlier rows first among equal ones; a mask."""
+    if len(scores) <= k:
+        return np.ones(scores.shape, bool)
+    kth = np.partition(scores, len(scores) - k, axis=0)[len(scores) - k]
+    above, equal = scores > kth, scores == kth
+    return above | (equal & (np.cumsum(equal, axis=0, dtype=np.int32) <= k - above.sum(axis=0)))
 
-    Queries go in blocks as a matrix; every task multiplies its vectors with the block and keeps k a
-    query, and a final aggregation keeps the k best. Nothing is paired beyond a block's products.
-    """
-    import numpy as np
-    import pandas as pd
 
+def _unit(matrix: np.ndarray) -> np.ndarray:
+    return matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
+
+
+def nearest_of_each(vectors: DataFrame, queries: DataFrame, k: int, cutoff: float = CUTOFF, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(query_id, page_id, score) for a stated set of queries (query_id, vector) of any size; equal scores by page_id.
+
+    Queries go in blocks of about `block_bytes`, one after another: each is sent to all tasks, which
+    multiply their vectors with it in tiles and keep k pages a query, and an aggregation keeps the k
+    best. Only one block is held at a time, and what several blocks find is appended to a table in the
+    shared folder. Null vectors are near nothing.
+    """
     spark = vectors.sparkSession
-    total, block, out = queries.count(), 2048, None
-    blocks = max(1, -(-total // block))
+    asked = queries.where("vector IS NOT NULL").select("query_id", F.col("vector").cast("array<double>").alias("vector"))
+    total, width = asked.agg(F.count("*"), F.max(F.size("vector"))).first()
+    blocks = max(1, -(-total * (width or 1) * 8 // block_bytes))
+    if blocks == 1:
+        return _nearest_of_block(vectors, asked, k, cutoff)[0]
+    folder = f"{shared_dir(spark).rstrip('/')}/nearest-{uuid.uuid4().hex}"
     for n in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n).select("query_id", "vector").collect()
-        ids = np.array([r["query_id"] for r in rows], dtype=np.int64)
-        matrix = np.array([r["vector"] for r in rows], dtype=np.float64).reshape(len(rows), -1)
-        matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
-        held = spark.sparkContext.broadcast((ids, matrix))
-
-        def score(batches, held=held):
-            ids, matrix = held.value
-            best: pd.DataFrame | None = None
-            for batch in batches:
-                if not len(ids) or not len(batch):
-                    continue
-                own = np.stack(batch["vector"].to_numpy()).astype(np.float64)
-                own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-12)
-                scores = np.round(own @ matrix.T, 6)
-                # Chunks of one page are together at last; before that a batch gives each query its best score a page, k of them.
-                pages, at = np.unique(batch["page_id"].to_numpy(), return_inverse=True)
+        found, held = _nearest_of_block(vectors, asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n), k, cutoff)
+        found.write.mode("append").parquet(folder)
+        held.destroy()
+    return spark.read.parquet(folder)
+
+
+def _nearest_of_block(vectors: DataFrame, asked: DataFrame, k: int, cutoff: float) -> tuple[DataFrame, Broadcast]:
+    rows = asked.toArrow()
+    values = rows.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    held = vectors.sparkSession.sparkContext.broadcast((rows.column("query_id").to_numpy(), _unit(values.reshape(len(rows), -1) if len(rows) else np.empty((0, 1)))))
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, matrix = held.value
+        best: dict[int, pd.DataFrame] = {}
+        for batch in batches:
+            if not len(ids) or not len(batch):
+                continue
+            own = _unit(np.stack(batch["vector"].to_numpy()).astype(np.float64))
+            # Chunks of one page are together at last; before that a batch gives each query its best score a page.
+            pages, at = np.unique(batch["page_id"].to_numpy(), return_inverse=True)
+            for tile in range(0, len(ids), TILE):
+                scores = np.round(own @ matrix[tile : tile + TILE].T, 6)
+                of_page = np.full((len(pages), scores.shape[1]), -np.inf)
                 if len(pages) < len(at):
-                    of_page = np.full((len(pages), len(ids)), -np.inf)
                     np.maximum.at(of_page, at, scores)
-                    scores = of_page
                 else:
-                    scores = scores[np.argsort(at)]
-                kth = np.partition(scores, len(pages) - k, axis=0)[len(pages) - k] if len(pages) > k else np.full(len(ids), -np.inf)
-                row, col = np.nonzero((scores >= kth) & (scores >= cutoff))
-                part = pd.DataFrame({"query_id": ids[col], "page_id": pages[row], "score": scores[row, col]})
-                best = part if best is None else pd.concat([best, part]).groupby(["query_id", "page_id"], as_index=False)["score"].max()
-                best = best.sort_values(["query_id", "score", "page_id"], ascending=[True, False, True]).groupby("query_id").head(k)
-            if best is not None:
-                yield best
-
-        part = vectors.select("page_id", "vector").mapInPandas(score, "query_id long, page_id long, score double")
-        out = part if out is None else out.unionByName(part)
-    merged = out.groupBy("query_id", "page_id").agg(F.max("score").alias("score"))
-    from pyspark.sql import Window
-
+                    of_page[at] = scores
+                row, col = np.nonzero(best_rows(of_page, k) & (of_page >= cutoff))
+                part = pd.DataFrame({"query_id": ids[tile + col], "page_id": pages[row], "score": of_page[row, col]})
+                if tile in best:
+                    part = pd.concat([best[tile], part]).groupby(["query_id", "page_id"], as_index=False)["score"].max()
+                    part = part.sort_values(["query_id", "score", "page_id"], ascending=[True, False, True]).groupby("query_id").head(k)
+                best[tile] = part
+        yield from best.values()
+
+    ship(vectors.sparkSession)
+    found = vectors.where("vector IS NOT NULL").select("page_id", "vector").mapInPandas(score, "query_id long, page_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "page_id"))
-    return merged.withColumn("rank_", rank).where(F.col("rank_") <= k).drop("rank_")
+    merged = found.groupBy("query_id", "page_id").agg(F.max("score").alias("score"))
+    return merged.withColumn("rank_", rank).where(F.col("rank_") <= k).drop("rank_"), held
 
 
 def chunks(pages: DataFrame, size: int = 510, tokens: Column | None = None) -> DataFrame:
@@ -176,10 +201,6 @@ def chunks(pages: DataFrame, size: int = 510, tokens: Column | None = None) -> D
 
 def embedded(chunked: DataFrame, embed: Callable[[list[str]], list[list[float]]]) -> DataFrame:
     """(page_id, chunk_index, content_hash, vector): chunks() through a model, which is given lists of texts and returns their vectors; normalised."""
-    import pandas as pd
-
-    from docketry.session import ship
-
     def each(bodies: pd.Series) -> pd.Series:
         return pd.Series([[float(x) for x in v] for v in embed(bodies.tolist())])
 
