@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Limits of one source's aggregate. Fixed values.
@@ -44,11 +44,23 @@ def windows(texts: DataFrame, size: int = 32 << 10, overlap: int = 1 << 10) -> D
 
 
 def contiguous(records: DataFrame, key: str = "part_id", size: str | None = None) -> DataFrame:
-    """(key, complete): whether records (key, start, end) follow each other from 0 without holes, up to the stated size if there is one."""
-    w = Window.partitionBy(key).orderBy("start", "end")
-    rows = records.withColumn("fits", F.col("start") == F.coalesce(F.lag("end").over(w), F.lit(0)))
-    total = F.max("end") == F.max(size) if size else F.lit(True)
-    return rows.groupBy(key).agg((F.bool_and("fits") & total).alias("complete"))
+    """(key, complete): whether records (key, start, end) follow each other from 0 without holes, up to the stated size if there is one.
+
+    Records are a chain if as many begin as end at every point, but for one more that begins at 0 and
+    one more that ends at the last: counted, not sorted, so a part of any size is spread over tasks.
+    Empty records may stand at points of the chain; null and backward spans belong to none.
+    """
+    good, empty = F.coalesce(F.col("start") <= F.col("end"), F.lit(False)), F.coalesce(F.col("start") == F.col("end"), F.lit(False))
+    ends = F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("d")), F.struct(F.col("end").alias("at"), F.lit(-1).alias("d")))
+    total = F.col(size) if size else F.lit(None).cast("long")
+    points = records.select(key, total.alias("size_"), good.alias("good"), empty.alias("empty"), F.explode(ends).alias("e")).select(key, "size_", "good", "empty", "e.*")
+    at = points.groupBy(key, "at").agg(F.sum(F.when(F.col("empty"), 0).otherwise(F.col("d"))).alias("d"), F.bool_and("good").alias("good"), F.bool_or(~F.col("empty")).alias("on_chain"), F.bool_or("empty").alias("empty"), F.max("size_").alias("size_"))
+    # Spans run forward, so with these excesses all of them lie on one path, from 0 to the one point of -1.
+    fits = F.col("good") & (~F.col("empty") | F.col("on_chain") | (F.col("at") == 0)) & F.when(F.col("at") == 0, F.col("d").isin(0, 1)).otherwise(F.col("d").isin(0, -1))
+    whole = at.groupBy(key).agg(F.bool_and(F.coalesce(fits, F.lit(False))).alias("fits"), F.count_if(F.col("d") > 0).alias("begun"), F.count_if(F.col("d") < 0).alias("ended"), F.count_if(F.col("on_chain")).alias("chain"), F.min("at").alias("first"), F.max("at").alias("last"), F.max("size_").alias("size_"))
+    one = F.when(F.col("chain") > 0, (F.col("begun") == 1) & (F.col("ended") == 1)).otherwise(F.lit(True))
+    sized = F.coalesce(F.col("last") == F.col("size_"), F.lit(False)) if size else F.lit(True)
+    return whole.select(key, F.coalesce(F.col("fits") & one & (F.col("first") == 0) & sized, F.lit(False)).alias("complete"))
 
 
 def aggregate(drafts: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROLES = ("complete_replacement", "supplement", "targeted_correction", "conditional", "unknown")
@@ -13,13 +13,13 @@ def current_versions(versions: DataFrame) -> DataFrame:
 
     Revision decides, then date, then arrival; a choice by arrival alone is marked as uncertain.
     """
-    by = Window.partitionBy("source_id").orderBy(F.desc_nulls_last("revision"), F.desc_nulls_last("date"), F.desc("arrival"), "version_id")
+    # Two aggregations with map-side parts, so that a source's many versions never meet in one sort.
     told = F.coalesce(F.col("revision").cast("string"), F.col("date"))
-    rows = versions.withColumn("rank_", F.row_number().over(by)).withColumn("told", told)
-    unsure = F.max(F.col("told").isNull()).over(Window.partitionBy("source_id")) & (F.count("*").over(Window.partitionBy("source_id")) > 1)
-    out = rows.withColumn("ordering_uncertain", unsure).where("rank_ = 1")
-    basis = F.when(F.col("ordering_uncertain"), "arrival_fallback").when(F.col("revision").isNotNull(), "revision").otherwise("date")
-    return out.select("source_id", "version_id", "ordering_uncertain", basis.alias("order_basis"))
+    equal = versions.groupBy("source_id", "revision", "date", "arrival").agg(F.min("version_id").alias("version_id"), F.count("*").alias("n"), F.bool_or(told.isNull()).alias("untold"))
+    last = F.max_by(F.struct("version_id", "revision"), F.struct("revision", "date", "arrival"))
+    out = equal.groupBy("source_id").agg(last.alias("last"), (F.bool_or("untold") & (F.sum("n") > 1)).alias("ordering_uncertain"))
+    basis = F.when(F.col("ordering_uncertain"), "arrival_fallback").when(F.col("last.revision").isNotNull(), "revision").otherwise("date")
+    return out.select("source_id", "last.version_id", "ordering_uncertain", basis.alias("order_basis"))
 
 
 def latest_if_certain(candidates: DataFrame, precedes: DataFrame) -> DataFrame:
