@@ -109,33 +109,60 @@ def chained(drafts: DataFrame) -> tuple[DataFrame, DataFrame]:
 def holds_bytes(records: DataFrame, needle: bytes) -> DataFrame:
     """(part_id, found): whether the stored records (part_id, start, data) of a part hold a byte string, across records too.
 
-    Records stream in order; no more than one and the needle's length are held at once.
+    Records are dealt by ranges of part and start, so a long part is read by several tasks; each streams
+    its stretches and passes on their first and last bytes, as many as a match across an end may need.
+    Null data are empty.
     """
     import pandas as pd
 
     from docketry.session import ship
 
     ship(records.sparkSession)
+    more = max(0, len(needle) - 1)
+    part_type = records.schema["part_id"].dataType.simpleString()
+
+    def stretches(batches):
+        part, start, head, tail, found = None, None, b"", b"", False
+        long = began = False
+
+        def told():
+            return (part, start, found, [head, tail] if long else [head])
 
-    def each(batches):
-        last, tail, found = None, b"", False
         for batch in batches:
             rows = []
-            for part, data in zip(batch["part_id"], batch["data"], strict=True):
-                if part != last:
-                    if last is not None:
-                        rows.append((last, found))
-                    last, tail, found = part, b"", not needle
-                if not found:
-                    tail += bytes(data or b"")
-                    found = needle in tail
-                    tail = tail[max(0, len(tail) - len(needle) + 1) :]
-            yield pd.DataFrame(rows, columns=["part_id", "found"])
-        if last is not None:
-            yield pd.DataFrame([(last, found)], columns=["part_id", "found"])
-
-    ordered = records.select("part_id", "start", "data").repartition("part_id").sortWithinPartitions("part_id", "start")
-    return ordered.mapInPandas(each, f"part_id {records.schema['part_id'].dataType.simpleString()}, found boolean")
+            for now, at, data in zip(batch["part_id"], batch["start"], batch["data"], strict=True):
+                data = bytes(data or b"")
+                if not began or now != part:
+                    rows += [told()] if began else []
+                    part, start, head, tail, found, long, began = now, at, b"", b"", not needle, False, True
+                found = found or needle in tail + data
+                if not long:
+                    # A short stretch is passed on whole; a longer one keeps its two ends.
+                    head += data
+                    if len(head) > 2 * more:
+                        head, long = head[:more], True
+                tail = (tail + data)[-more:] if more else b""
+            yield pd.DataFrame(rows, columns=["part_id", "start", "found", "ends"])
+        if began:
+            yield pd.DataFrame([told()], columns=["part_id", "start", "found", "ends"])
+
+    def across(stretches: pd.Series) -> pd.Series:
+        def one(rows: list) -> bool:
+            run = b""
+            for row in rows:
+                run += bytes(row["ends"][0])
+                if needle in run:
+                    return True
+                run = bytes(row["ends"][1]) if len(row["ends"]) == 2 else run
+            return needle in run
+
+        return stretches.map(one)
+
+    across.__annotations__ = {"stretches": pd.Series, "return": pd.Series}
+    ordered = records.where("part_id IS NOT NULL").select("part_id", "start", "data").repartitionByRange("part_id", "start").sortWithinPartitions("part_id", "start")
+    found = ordered.mapInPandas(stretches, f"part_id {part_type}, start {records.schema['start'].dataType.simpleString()}, found boolean, ends array<binary>")
+    whole = found.groupBy("part_id").agg(F.bool_or("found").alias("found"), F.array_sort(F.collect_list(F.struct("start", "ends"))).alias("ends"))
+    return whole.select("part_id", (F.col("found") | F.pandas_udf(across, "boolean")("ends")).alias("found"))
 
 
 def percentiles(samples: DataFrame, column: str, shares: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:

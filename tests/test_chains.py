@@ -58,3 +58,21 @@ def test_current_versions_equal_sorting(spark):
     versions = spark.createDataFrame(rows, "source_id long, version_id string, revision int, date string, arrival int")
     found = {r["source_id"]: (r["version_id"], r["ordering_uncertain"], r["order_basis"]) for r in reconcile.current_versions(versions).collect()}
     assert found == want
+
+
+def test_bytes_are_found_across_records_and_tasks(spark):
+    """Parts of a few letters in records of 0 to 3 bytes, one part with most rows, needles of several lengths."""
+    rng, rows, texts = random.Random(7), [], {}
+    for part in range(40):
+        text, at = b"".join(rng.choice([b"a", b"b"]) for _ in range(2000 if part == 3 else rng.randint(0, 12))), 0
+        texts[part] = text
+        rows.append((part, 0, None))
+        while at < len(text):
+            size = rng.randint(1, 3)
+            rows.append((part, at, bytearray(text[at : at + size])))
+            at += size
+    rng.shuffle(rows)
+    records = spark.createDataFrame(rows, "part_id long, start long, data binary")
+    for needle in (b"", b"a", b"ab", b"abba", b"aaabbbab", texts[3][990:1010], texts[3][990:1010][::-1]):
+        found = {r["part_id"]: r["found"] for r in evidence.holds_bytes(records, needle).collect()}
+        assert found == {part: needle in text for part, text in texts.items()}, needle
