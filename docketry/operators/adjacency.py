@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Rows that a bucket is planned for, and most buckets of a kind and direction.
-BUCKET_ROWS, MAX_BUCKETS = 1 << 20, 4096
+BUCKET_ROWS, MAX_BUCKETS = 1 << 18, 4096
 #: The columns of a page that constraints ask for.
 ASKED = ("event_date", "format", "processing_status")
 
