@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -17,6 +18,8 @@ BLOCKS = (
     "address", "article", "blockquote", "br", "dd", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6",
     "header", "hr", "li", "main", "nav", "ol", "p", "pre", "section", "table", "td", "th", "tr", "ul",
 )
+#: An ampersand that begins no reference with a semicolon.
+_OPEN = re.compile(r"&(?!(?:[A-Za-z][A-Za-z0-9]*|#[0-9]+|#[xX][0-9A-Fa-f]+);)")
 
 
 class _Reader(HTMLParser):
@@ -68,20 +71,23 @@ class _Reader(HTMLParser):
             (self.body if self.link is None else self.link_text).append(data)
 
 
-def project(html: str | None, url: str | None) -> tuple[str, str]:
-    """(title, text): paragraphs of collapsed white space, links as "text (url)"."""
+def project(html: str | None, url: str | None, closed: bool = False) -> tuple[str, str]:
+    """(title, text): paragraphs of collapsed white space, links as "text (url)".
+
+    As HTML has it, some character references count without their semicolon; if `closed`, such text stays as it is written.
+    """
     reader = _Reader(url or "")
-    reader.feed(html or "")
+    reader.feed(_OPEN.sub("&amp;", html or "") if closed else html or "")
     reader.close()
     paragraphs = (" ".join(p.split()) for p in "".join(reader.body).split("\n\n"))
     return " ".join("".join(reader.title).split()), "\n\n".join(p for p in paragraphs if p)
 
 
-def projected(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """pages (page_id, url, html) as (page_id, url, title, text, line_count)."""
+def projected(pages: DataFrame, url: str = "url", html: str = "html", closed: bool = False) -> DataFrame:
+    """pages (page_id, url, html) as (page_id, url, title, text, line_count); see project()."""
 
     def each(htmls: pd.Series, urls: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([project(h, u) for h, u in zip(htmls, urls, strict=True)], columns=["title", "text"])
+        return pd.DataFrame([project(h, u, closed) for h, u in zip(htmls, urls, strict=True)], columns=["title", "text"])
 
     each.__annotations__ = {"htmls": pd.Series, "urls": pd.Series, "return": pd.DataFrame}
     ship(pages.sparkSession)

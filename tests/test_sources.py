@@ -14,6 +14,8 @@ def test_html_projection():
     assert web.project(html, "https://h.example/x") == ("A b", "one two three (https://h.example/y)\n\nfour\n\nfive")
     assert web.project("<p>a<a href='mailto:x'>b</a> <a>lost", "http://h.example/")[1] == "ab (mailto:x)"
     assert web.project(None, None) == ("", "")
+    open_, closed = (web.project("<title>a&amp</title><p>b&amp;amp c&ampd &copy; &#38;&#38 & <a href='/?a=1&amp;b'>e&lt</a>", "http://h.example/", c) for c in (False, True))
+    assert open_ == ("a&", "b&amp c&d © && & e< (http://h.example/?a=1&b)") and closed == ("a&amp", "b&amp c&ampd © &&#38 & e&lt (http://h.example/?a=1&b)")
 
 
 def test_conversation_export(spark):
