@@ -14,7 +14,7 @@ from docketry.functions import text
 from docketry.plans.model import Collection
 from docketry.plans.queries_formation import _string
 from docketry.plans.registry import query
-from docketry.session import ship
+from docketry.session import dealt, ship
 from docketry.sources import conversation, files, web
 
 _ENDINGS = ("docx", "PDF", "json", "txt", "rs", "exe", "jpeg", "jsonl")
@@ -84,7 +84,8 @@ def _packages(c: Collection, ending: str, build: Callable[[int, str, str], dict[
             yield pd.DataFrame(rows, columns=["path", "format", "content"])
 
     ship(c.spark)
-    return c.table("customer").select("c_custkey", "c_name", "c_mktsegment").mapInPandas(each, "path string, format string, content binary")
+    customers = c.table("customer").select("c_custkey", "c_name", "c_mktsegment")
+    return dealt(customers, customers.count()).mapInPandas(each, "path string, format string, content binary")
 
 
 @query(

@@ -257,16 +257,19 @@ def slide_lines(data: bytes) -> tuple[list[Line], list[str]]:
     return out, gaps if slides else gaps or ["there are no slides"]
 
 
+#: The columns of lines(), and the rows that are handed on at once.
+LINE, OUT_ROWS = ["path", "position", "locator", "channel", "text", "gap"], 4096
 READERS = {"eml": mail_lines, "zip": archive_lines, "xlsx": sheet_lines, "docx": document_lines, "pptx": slide_lines}
 
 
 def lines(files: DataFrame) -> DataFrame:
     """(path, position, locator, channel, text, gap) of structured files (path, format, content).
 
-    A file's text is cut at PROJECTION_BYTES with a gap; gaps are rows without text.
+    A file's text is cut at PROJECTION_BYTES with a gap; gaps are rows without text. Rows of small files leave together.
     """
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out, held = [], 0
         for batch in batches:
             for path, kind, data in zip(batch["path"], batch["format"], batch["content"], strict=True):
                 found, gaps = READERS[kind](bytes(data or b""))
@@ -278,7 +281,13 @@ def lines(files: DataFrame) -> DataFrame:
                         break
                     rows.append((path, n, locator, channel, text, None))
                 rows += [(path, len(rows) + n, None, "gap", None, g) for n, g in enumerate(gaps if found else [*gaps, "there is no text"], 1)]
-                yield pd.DataFrame(rows, columns=["path", "position", "locator", "channel", "text", "gap"])
+                out.extend(rows)
+                held += size
+                if len(out) >= OUT_ROWS or held >= PROJECTION_BYTES:
+                    yield pd.DataFrame(out, columns=LINE)
+                    out, held = [], 0
+        if out:
+            yield pd.DataFrame(out, columns=LINE)
 
     spark = files.sparkSession
     ship(spark)

@@ -3,8 +3,15 @@ import json
 import zipfile
 from email.message import EmailMessage
 
+import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
+
 from docketry.operators import formation, reconcile
-from docketry.plans import queries
+from docketry.plans import queries, queries_sources
+from docketry.plans.model import Collection
+from docketry.session import TASK_ROWS
 from docketry.sources import conversation, files, web
 from docketry.streaming import watch
 
@@ -172,3 +179,14 @@ def test_withdrawal_and_restoring(spark):
     assert {tuple(r) for r in reconcile.withdrawn_supports(supports, after).collect()} == {("f", "s1")}
     left = acquisitions.where("origin = 'o2'")
     assert reconcile.restore(left, acquisitions).count() == len(held)
+
+
+def test_small_files_leave_together_and_are_dealt_over_tasks(spark, tmp_path, monkeypatch):
+    count, each = TASK_ROWS + 7, []
+    pq.write_table(pa.table({"c_custkey": list(range(count)), "c_name": ["n"] * count, "c_mktsegment": ["s"] * count}), tmp_path / "customer.parquet")
+    made = queries_sources._packages(Collection(spark, str(tmp_path)), "zip", lambda k, n, s: {"a.txt": f"{n}\n{k}"})
+    assert made.rdd.getNumPartitions() == 2 and files.lines(made).where("text = 'n'").select("path").distinct().count() == count
+    monkeypatch.setattr(type(made), "mapInPandas", lambda self, f, schema: each.append(f))
+    files.lines(made)
+    out = list(each[0](iter([pd.DataFrame([(str(n), "zip", queries_sources._package({"a.txt": "x\ny"})) for n in range(5000)], columns=["path", "format", "content"])])))
+    assert len(out) == 3 and sum(map(len, out)) == 10000 and out[2]["path"].iloc[-1] == "4999"
