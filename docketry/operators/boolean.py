@@ -1,7 +1,7 @@
 """Boolean queries over multi-hop relationship paths.
 
-A query tree is compiled to one lazy plan: each path leaf unrolls to one equi-join per hop, with edges that know the page they lead to, each
-constraint to a column, and the tree to a column expression over a flag per leaf. A page reached
+Each hop of a path leaf is one join with the edges at the pages reached so far, which are written and counted before the
+next; each constraint is a column, and the tree a column expression over a flag per leaf. A page reached
 several ways at one depth keeps the first route in breadth-first order, which is the order of the
 routes' relationship ids, hop by hop; so the route itself, compared as an array, decides.
 """
@@ -16,14 +16,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry.functions.text import is_true
-from docketry.operators.adjacency import Adjacency
+from docketry.operators.adjacency import Adjacency, sized
 from docketry.operators.continuation import MAX_PAGE, MAX_WORK, Answer, Store, check_limits
-from docketry.session import durable
 
 STATUSES = ("pending", "processing", "complete", "failed", "unavailable", "update_pending", "update_failed", "identity_ambiguous", "extraction_incomplete", "source_unavailable")
 MAX_NODES, MAX_DEPTH, MAX_HOPS, MAX_KIND_BYTES = 64, 16, 32, 128
-#: Hops that one plan unrolls before what it reached is written.
-HOPS_A_PLAN = 8
 _DAY = re.compile(r"\d{4}-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])")
 
 
@@ -141,38 +138,34 @@ def signature(expression: Expression, returned: Constraint) -> str:
     return json.dumps([plain(expression), asdict(returned)], sort_keys=True)
 
 
-def _steps(near: Adjacency, hop: Hop, start: str | None) -> DataFrame:
-    """What a hop may take: rows of its kind and direction, at the start alone if it is the first."""
-    rows = near.around(None if start is None else [start])
-    return rows.where((F.col("kind") == hop.kind) & (F.col("way") == int(hop.with_arrow)))
-
-
 def _allowed(path: Path, depth: int) -> Column:
     return (path.endpoint if depth == len(path.hops) else path.intermediate).column("n_")
 
 
 def reached(path: Path, near: Adjacency) -> DataFrame:
     """(page_id, route): the pages at a path's end, each with its first route."""
-    spark = near.rows.sparkSession
-    frontier = spark.createDataFrame([(path.start, [])], "at string, route array<string>")
+    frontier, size, here = near.rows.sparkSession.createDataFrame([(path.start, [])], "at string, route array<string>"), 1, [path.start]
     for depth, hop in enumerate(path.hops, 1):
-        steps = _steps(near, hop, path.start if depth == 1 else None).where("supported AND there").where(_allowed(path, depth))
-        step = frontier.join(steps, "at").select("next", F.concat("route", F.array("relationship_id")).alias("route"))
+        step = near.met(frontier, size, here, (hop.kind, int(hop.with_arrow)), once=False).where("supported AND there").where(_allowed(path, depth))
+        step = step.select("next", F.concat("route", F.array("relationship_id")).alias("route"))
         # The least route is the first discovered: an aggregate with a map-side part, where a window would move every route.
-        frontier = _written(step.groupBy(F.col("next").alias("at")).agg(F.min("route").alias("route")), depth)
+        frontier = step.groupBy(F.col("next").alias("at")).agg(F.min("route").alias("route"))
+        if depth < len(path.hops):
+            frontier, size, here = sized(frontier)
     return frontier.select(F.col("at").alias("page_id"), "route")
 
 
 def _examined(path: Path, near: Adjacency) -> DataFrame:
     """(depth, at, relationship_id, issue): the edges of the path's kinds that it meets, and what is wrong with them."""
     spark = near.rows.sparkSession
-    frontier = spark.createDataFrame([(path.start,)], "at string")
+    frontier, size, here = spark.createDataFrame([(path.start,)], "at string"), 1, [path.start]
     out = spark.createDataFrame([], "depth int, at string, relationship_id string, issue string")
     for depth, hop in enumerate(path.hops, 1):
-        step = frontier.join(_steps(near, hop, path.start if depth == 1 else None), "at")
+        step = near.met(frontier, size, here, (hop.kind, int(hop.with_arrow)))
         issue = F.when(~F.col("there"), "missing_endpoint").when(~F.col("supported"), "missing_support")
         out = out.unionByName(step.select(F.lit(depth).alias("depth"), "at", "relationship_id", issue.alias("issue")))
-        frontier = _written(step.where("there AND supported").where(_allowed(path, depth)).select(F.col("next").alias("at")).distinct(), depth)
+        if depth < len(path.hops):
+            frontier, size, here = sized(step.where("there AND supported").where(_allowed(path, depth)).select(F.col("next").alias("at")).distinct())
     return out
 
 
@@ -181,11 +174,6 @@ def diagnostics(path: Path, pages: DataFrame, edges: DataFrame | Adjacency) -> D
     return _examined(path, Adjacency.of(pages, edges)).where("issue IS NOT NULL").select("depth", "relationship_id", "issue").distinct()
 
 
-def _written(frontier: DataFrame, depth: int) -> DataFrame:
-    """Long paths are written every few hops, so that plans stay small."""
-    return durable(frontier) if depth % HOPS_A_PLAN == 0 else frontier
-
-
 def query_pages(pages: DataFrame, edges: DataFrame | Adjacency, expression: Expression, returned: Constraint | None = None) -> DataFrame:
     """All result pages with `evidence`, the routes of leaves that speak for them, as (leaf, route)."""
     paths, near = leaves(expression), Adjacency.of(pages, edges)

@@ -1,10 +1,12 @@
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
 from docketry.operators import boolean as B
 from docketry.operators import paths
-from docketry.operators.adjacency import Adjacency, bucket, with_pages
+from docketry.operators import adjacency
+from docketry.operators.adjacency import Adjacency, Derived, both_ways, bucket, with_pages
 from docketry.plans.model import Collection
 
 PAGES = "page_id string, title string, kind string, event_date string, format string, processing_status string"
@@ -61,3 +63,30 @@ def test_tables_that_change_are_derived_anew(spark, tmp_path):
     write(50)
     spark.catalog.refreshByPath(str(tmp_path))
     assert seen() == 50
+
+
+@pytest.mark.parametrize(("few", "broadcast"), [(500, 1 << 17), (0, 1 << 17), (0, 0)])
+def test_derived_rows_answer_as_stored_ones_do(spark, monkeypatch, few, broadcast):
+    """Whether a frontier is a filter, broadcast or joined, and though edges come twice."""
+    pages, edges = graph(spark)
+    stored, near = Adjacency(with_pages(pages, edges)), Derived(both_ways(edges.unionByName(edges)), pages=pages, repeated=True)
+    for module in (adjacency, paths):
+        monkeypatch.setattr(module, "FEW_PAGES", few)
+    monkeypatch.setattr(adjacency, "BROADCAST_PAGES", broadcast)
+    path = B.Path("pé0", (B.Hop("next"), B.Hop("7", False), B.Hop("next")), intermediate=B.Constraint(date_to="2024-01-15"))
+    for ask in (
+        lambda e: B.reached(path, e).select("page_id", F.col("route").cast("string")),
+        lambda e: B._examined(B.Path("pé3", (B.Hop("next"), B.Hop("7"))), e),
+        lambda e: paths.explore(pages, e, "pé0", 3).select("page_id", "depth", F.col("steps").cast("string")),
+        lambda e: paths.examined(e, paths.explore(pages, e, "pé0", 2), "pé0", 2),
+    ):
+        want = sorted(map(repr, ask(stored).collect()))
+        assert want and sorted(map(repr, ask(near).collect())) == want
+
+
+def test_following_edges_stores_none(spark):
+    c = Collection(spark, "/root/testdata/sf0.001")
+    assert paths.explore(c.pages, c.adjacency, "page-customer-1", 2).count()
+    near = c.adjacency.around(["page-nation-3"]).where("kind = 'located_in'")
+    assert {r["relationship_id"] for r in near.collect()} == {r["relationship_id"] for r in c.edges.where("kind = 'located_in' AND to_page_id = 'page-nation-3'").collect()}
+    assert not {name for folder, name in spark.sparkContext._docketry_stored if folder == c.folder} & {"edges", "adjacency"}
