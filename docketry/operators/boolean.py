@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from docketry.functions.text import is_true
 from docketry.operators.adjacency import Adjacency, sized
-from docketry.operators.continuation import MAX_PAGE, MAX_WORK, Answer, Store, check_limits
+from docketry.operators.continuation import MAX_PAGE, MAX_WORK, Ahead, Answer, Store, check_limits
 
 STATUSES = ("pending", "processing", "complete", "failed", "unavailable", "update_pending", "update_failed", "identity_ambiguous", "extraction_incomplete", "source_unavailable")
 MAX_NODES, MAX_DEPTH, MAX_HOPS, MAX_KIND_BYTES = 64, 16, 32, 128
@@ -233,6 +233,7 @@ class Queries:
 
     def __init__(self, store: Store, pages: DataFrame, edges: DataFrame | Adjacency) -> None:
         self.store, self.pages, self.near = store, pages, Adjacency.of(pages, edges)
+        self.edges_ahead, self.pages_ahead = Ahead(), Ahead()
 
     def query(self, expression: Expression, revision: str, returned: Constraint | None = None, continuation: str | None = None, work_budget: int = MAX_WORK, page_size: int = MAX_PAGE) -> Answer:
         check_limits(work_budget, page_size)
@@ -247,19 +248,27 @@ class Queries:
         spark, folder = self.pages.sparkSession, self.store.tables(name)
         work, diagnostics, results = 0, [], []
         edge, last = state["edge"], state["page"]
-        examined = spark.read.parquet(f"{folder}/examined")
         if edge != "done":
             key = ["leaf", "depth", "at", "relationship_id"]
-            later = examined if edge is None else examined.where(F.struct(*key) > F.struct(*(F.lit(v).cast(examined.schema[k].dataType) for k, v in zip(key, edge, strict=True))))
-            rows = later.orderBy(*key).limit(work_budget).collect()
+
+            def edges_behind(count: int) -> list:
+                examined = spark.read.parquet(f"{folder}/examined")
+                later = examined if edge is None else examined.where(F.struct(*key) > F.struct(*(F.lit(v).cast(examined.schema[k].dataType) for k, v in zip(key, edge, strict=True))))
+                return later.orderBy(*key).limit(count).collect()
+
+            rows = self.edges_ahead.after(name, edge and tuple(edge), work_budget, lambda r: tuple(r[k] for k in key), edges_behind)
             work = len(rows)
             diagnostics = [(r["leaf"], r["depth"], r["relationship_id"], r["issue"]) for r in rows if r["issue"]]
             edge = [rows[-1][k] for k in key] if work == work_budget else "done"
         complete = False
         if edge == "done" and work < work_budget:
-            found = spark.read.parquet(f"{folder}/found")
-            around = self.pages.where(F.col("page_id") > last).select("page_id").orderBy("page_id").limit(work_budget - work + 1)
-            rows = around.join(found.withColumn("hit", F.lit(True)), "page_id", "left").orderBy("page_id").collect()
+
+            def pages_behind(count: int) -> list:
+                found = spark.read.parquet(f"{folder}/found")
+                around = self.pages.where(F.col("page_id") > last).select("page_id").orderBy("page_id").limit(count)
+                return around.join(found.withColumn("hit", F.lit(True)), "page_id", "left").orderBy("page_id").collect()
+
+            rows = self.pages_ahead.after(name, last, work_budget - work + 1, lambda r: r["page_id"], pages_behind)
             scanned = 0
             for row in rows[: work_budget - work]:
                 if len(results) == page_size:

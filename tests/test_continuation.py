@@ -82,3 +82,22 @@ def test_a_chain_beyond_one_plan(spark):
     found = paths.explore(pages, edges, "n00", 256)
     assert {(r["page_id"], r["depth"]) for r in found.collect()} == {(f"n{i:02}", i) for i in range(1, n)}
     assert [r["page_id"] for r in B.reached(B.Path("n00", (B.Hop("next"),) * 17), Adjacency.of(pages, edges)).collect()] == ["n17"]
+
+
+def test_calls_read_ahead_and_go_on_anywhere():
+    from docketry.operators.continuation import AHEAD_ROWS, Ahead
+
+    asked, ahead = [], Ahead()
+
+    def take(query, last, count, end):
+        def read(n):
+            asked.append(n)
+            return list(range(0 if last is None else last + 1, end))[:n]
+
+        return ahead.after(query, last, count, lambda r: r, read)
+
+    last, seen = None, []
+    while rows := take("a", last, 7, 3000):
+        seen, last = seen + rows, rows[-1]
+    assert seen == list(range(3000)) and asked == [7, AHEAD_ROWS, AHEAD_ROWS]
+    assert take("a", 5, 3, 3000) == [6, 7, 8] and take("b", None, 2, 3) == [0, 1] and take("b", 1, 2, 3) == [2] and take("b", 0, 2, 3) == [1, 2]
