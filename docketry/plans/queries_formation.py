@@ -9,6 +9,11 @@ from docketry.functions import text
 from docketry.operators import formation
 from docketry.plans.model import Collection
 from docketry.plans.registry import query
+from docketry.session import dealt
+
+
+#: Notes that one task reads, and most candidates of a note: two events and counts, and one tag, date, duration, person and place.
+NOTES_A_TASK, NOTE_CANDIDATES = 1 << 14, 9
 
 
 def _key() -> Column:
@@ -25,7 +30,8 @@ def _notes(c: Collection) -> DataFrame:
     hedge = F.when(_key() % 5 == 0, "possibly ").otherwise("")
     said = _string("Observation A-", _key(), " was logged: café. Ann Lee ", hedge, "counted ", n, " visits at River Delta on ", F.date_format("o_orderdate", "MMMM d, yyyy"), " for ", m, "minutes. #field-", _key() % 7)
     said = F.when(_key() % 3 == 0, _string(said, " For Survey B-", _key(), ": The visit total should read ", n + 1, ", not ", n, ".")).otherwise(said)
-    return c.table("orders").select(_key().cast("string").alias("source_id"), said.alias("text"))
+    orders = c.table("orders").select("o_orderkey", "o_orderdate")
+    return dealt(orders, orders.count(), NOTES_A_TASK).select(_key().cast("string").alias("source_id"), said.alias("text"))
 
 
 _NOTE_PARTS = """o AS (SELECT o_orderkey AS k, o_orderkey % 90 + 1 AS n, o_orderkey % 50 + 5 AS m, o_orderkey % 5 = 0 AS hedged, strftime(o_orderdate, '%B %-d, %Y') AS day FROM orders),
@@ -54,10 +60,11 @@ _JUDGED = """j AS (SELECT *, (source_id::BIGINT * 7 + position * 13) % 100 / 100
 
 
 def _taken(c: Collection) -> DataFrame:
-    found = formation.candidates(_notes(c))
-    n = F.col("source_id").cast("long")
-    judged = found.select("source_id", "position", ((n * 7 + F.col("position") * 13) % 100 / 100).alias("probability"), ((n + F.col("position")) % 2 == 0).alias("corroborated"))
-    return formation.accepted(found, judged)
+    """Judgments are a table of their own: one for every place that a note can have, so that candidates are looked for once."""
+    n = _key()
+    places = c.table("orders").select(n, F.explode(F.sequence(F.lit(1), F.lit(NOTE_CANDIDATES))).alias("position"))
+    judged = places.select(n.cast("string").alias("source_id"), "position", ((n * 7 + F.col("position") * 13) % 100 / 100).alias("probability"), ((n + F.col("position")) % 2 == 0).alias("corroborated"))
+    return formation.accepted(formation.candidates(_notes(c)), judged)
 
 
 @query(f"WITH {_NOTE_PARTS}, {_JUDGED} SELECT source_id, kind, value, position FROM taken")

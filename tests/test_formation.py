@@ -52,3 +52,12 @@ def test_sentences_and_origin():
 def test_numbered_labels_never_collide(spark, rows, want):
     frame = spark.createDataFrame(rows, "source_id string, position int, label string")
     assert {tuple(r) for r in formation.distinct_labels(frame).collect()} == want
+
+
+def test_candidates_are_looked_for_once_and_all_are_judged(spark):
+    from docketry.plans import queries_formation as q
+    from docketry.plans.model import Collection
+
+    c = Collection(spark, "/root/testdata/sf0.001")
+    assert q._taken(c)._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
+    assert q.candidates(c).agg({"position": "max"}).first()[0] <= q.NOTE_CANDIDATES
