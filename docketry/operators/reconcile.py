@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docketry.operators.adjacency import BROADCAST_PAGES
+from docketry.session import durable
+
 ROLES = ("complete_replacement", "supplement", "targeted_correction", "conditional", "unknown")
 
 
@@ -158,3 +163,22 @@ def supported_edges(edges: DataFrame, supports: DataFrame) -> DataFrame:
     """Edges with `supported` as the supports (item_id, ...) that are left say."""
     left = supports.select(F.col("item_id").alias("relationship_id"), F.lit(True).alias("held")).distinct()
     return edges.join(left, "relationship_id", "left").withColumn("supported", F.coalesce("held", F.lit(False))).drop("held")
+
+
+def settled(supports: DataFrame, sources: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """What tells `supported` of any edges, as supported_edges() with withdrawn_supports() does of all.
+
+    The edges given are written once. Only their supports, and only these supports' sources, are
+    looked at: those of at most BROADCAST_PAGES edges without moving the others.
+    """
+
+    def narrowed(rows: DataFrame, name: str, by: DataFrame, size: int) -> DataFrame:
+        return rows.join(F.broadcast(by) if size <= BROADCAST_PAGES else by, name, "left_semi")
+
+    def settle(edges: DataFrame) -> DataFrame:
+        edges = durable(edges)
+        near = durable(narrowed(supports, "item_id", edges.select(F.col("relationship_id").alias("item_id")), edges.count()))
+        around = narrowed(sources, "source_id", near.select("source_id"), near.count())
+        return supported_edges(edges.drop("supported"), withdrawn_supports(near, around))
+
+    return settle

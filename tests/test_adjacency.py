@@ -1,12 +1,15 @@
+from pathlib import Path
+
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from docketry.operators import boolean as B
-from docketry.operators import paths
+from docketry.operators import paths, reconcile
 from docketry.operators import adjacency
 from docketry.operators.adjacency import Adjacency, Derived, both_ways, bucket, with_pages
+from docketry.plans import queries, queries_upkeep  # noqa: F401
 from docketry.plans.model import Collection
 
 PAGES = "page_id string, title string, kind string, event_date string, format string, processing_status string"
@@ -90,3 +93,40 @@ def test_following_edges_stores_none(spark):
     near = c.adjacency.around(["page-nation-3"]).where("kind = 'located_in'")
     assert {r["relationship_id"] for r in near.collect()} == {r["relationship_id"] for r in c.edges.where("kind = 'located_in' AND to_page_id = 'page-nation-3'").collect()}
     assert not {name for folder, name in spark.sparkContext._docketry_stored if folder == c.folder} & {"edges", "adjacency"}
+
+
+def test_following_edges_stores_no_pages(spark, tmp_path):
+    """Nor are tables read that a hop, or a graph of some kinds of pages, does not ask for."""
+    for file in Path("/root/testdata/sf0.001").iterdir():
+        (tmp_path / file.name).symlink_to(file)
+    for name in ("boolean_two_hops", "boolean_missing_support", "explore_against_arrows", "path_details", "paths_after_withdrawal"):
+        assert queries.QUERIES[name](spark, str(tmp_path)).columns
+    assert not [name for folder, name in spark.sparkContext.__dict__.get("_docketry_stored", {}) if folder == str(tmp_path)]
+    c = Collection(spark, str(tmp_path))
+    hop = c.adjacency.met(spark.createDataFrame([("page-nation-3",)], "at string"), 1, ["page-nation-3"], ("located_in", 0))
+    for frame, keys in ((hop, ("c_custkey", "s_suppkey")), (c.edges_among(["place", "organization"]), ("s_suppkey", "n_nationkey"))):
+        files = frame._jdf.queryExecution().optimizedPlan().toString()
+        assert all(key in files for key in keys)
+        assert not [key for key in ("l_orderkey", "o_orderkey", "p_partkey", "doc_id") if key in files]
+
+
+def test_read_pages_are_the_stored_ones(spark):
+    c = Collection(spark, "/root/testdata/sf0.001")
+    assert sorted(map(repr, c.read_pages.collect())) == sorted(map(repr, c.pages.collect()))
+    found = c.adjacency.around().select("next", "there", *(f"n_{name}" for name in adjacency.ASKED))
+    around = both_ways(c.edges).join(c.pages.withColumnRenamed("page_id", "next"), "next", "left")
+    assert sorted(map(repr, found.collect())) == sorted(repr(r) for r in around.select("next", F.col("title").isNotNull().alias("there"), *(F.col(name).alias(f"n_{name}") for name in adjacency.ASKED)).collect())
+
+
+def test_settled_supports_are_those_of_all(spark, monkeypatch):
+    """Edges that several supports hold, that none holds, and whose sources are not told of."""
+    pages, edges = graph(spark)
+    supports = spark.createDataFrame([(f"r{i:02}", f"s{i % 5}") for i in range(15)] + [(f"r{i:02}", "s9") for i in range(0, 20, 4)] + [(f"s{i:02}", f"s{i % 5}") for i in range(20)] + [("s03", "s1"), ("none", "s2")], "item_id string, source_id string")
+    sources = spark.createDataFrame([("s0", "keep"), ("s1", "removed"), ("s2", "uncertain"), ("s9", "keep")], "source_id string, action string")
+    whole = reconcile.supported_edges(edges, reconcile.withdrawn_supports(supports, sources))
+    want = sorted(map(repr, paths.explore(pages, whole, "pé0", 4).collect()))
+    assert len(want) > 2
+    for broadcast in (reconcile.BROADCAST_PAGES, 0):
+        monkeypatch.setattr(reconcile, "BROADCAST_PAGES", broadcast)
+        near = Derived(both_ways(edges), pages=pages, settle=reconcile.settled(supports, sources))
+        assert sorted(map(repr, paths.explore(pages, near, "pé0", 4).collect())) == want
