@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import io
-import zipfile
+import struct
+import zlib
 from collections.abc import Callable
 
 import pandas as pd
@@ -68,10 +69,18 @@ def mail_lines(c: Collection) -> DataFrame:
 
 
 def _package(parts: dict[str, str]) -> bytes:
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as package:
-        for name, body in parts.items():
-            package.writestr(name, body)
+    """A zip archive of deflated parts."""
+    out, index = io.BytesIO(), []
+    for name, body in parts.items():
+        key, raw, at = name.encode(), body.encode(), out.tell()
+        packer = zlib.compressobj(wbits=-15)
+        packed = packer.compress(raw) + packer.flush()
+        # Version 2.0, UTF-8 names, deflated, the first of January 1980.
+        head = struct.pack("<5H3I2H", 20, 0 if key.isascii() else 0x800, 8, 0, 33, zlib.crc32(raw), len(packed), len(raw), len(key), 0)
+        out.write(b"PK\x03\x04" + head + key + packed)
+        index.append(b"PK\x01\x02\x14\x00" + head + struct.pack("<3H2I", 0, 0, 0, 0, at) + key)
+    start, held = out.tell(), b"".join(index)
+    out.write(held + b"PK\x05\x06" + struct.pack("<4H2IH", 0, 0, len(index), len(index), len(held), start, 0))
     return out.getvalue()
 
 

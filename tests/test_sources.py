@@ -1,5 +1,6 @@
 import io
 import json
+import sys
 import zipfile
 from email.message import EmailMessage
 
@@ -190,3 +191,49 @@ def test_small_files_leave_together_and_are_dealt_over_tasks(spark, tmp_path, mo
     files.lines(made)
     out = list(each[0](iter([pd.DataFrame([(str(n), "zip", queries_sources._package({"a.txt": "x\ny"})) for n in range(5000)], columns=["path", "format", "content"])])))
     assert len(out) == 3 and sum(map(len, out)) == 10000 and out[2]["path"].iloc[-1] == "4999"
+
+
+def test_members_are_read_as_the_archive_reads_them():
+    """Plain ones without it; stored, spanned, wrong and encrypted ones as it has always been."""
+    def packed(method, **flags):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", method) as z:
+            z.writestr("é.xml", "<a>é</a>" * 50)
+            z.writestr("empty.xml", "")
+        return out.getvalue()
+
+    class Unread(zipfile.ZipFile):
+        def read(self, *_):
+            raise AssertionError("read by the archive")
+
+    for method in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED, zipfile.ZIP_BZIP2):
+        data = b"before" + packed(method)
+        kind = zipfile.ZipFile if method == zipfile.ZIP_BZIP2 else Unread
+        archive = kind(io.BytesIO(data))
+        assert [files._member(data, archive, i) for i in archive.infolist()] == [("<a>é</a>" * 50).encode(), b""]
+    for spoil in (lambda d: d.replace(b"<a>", b"<b>", 1), lambda d: d.replace("é.xml".encode(), "è.xml".encode(), 1)):
+        data = spoil(packed(zipfile.ZIP_STORED))
+        archive = zipfile.ZipFile(io.BytesIO(data))
+        with pytest.raises(zipfile.BadZipFile):
+            files._member(data, archive, archive.infolist()[0])
+    made = queries_sources._package({"é/a.xml": "<a/>", "b.xml": "", "big.xml": "x" * 100_000})
+    with zipfile.ZipFile(io.BytesIO(made)) as z:
+        assert z.testzip() is None and {i.filename: z.read(i).decode() for i in z.infolist()} == {"é/a.xml": "<a/>", "b.xml": "", "big.xml": "x" * 100_000}
+
+
+def test_packages_cost_little_each():
+    """Names are cut once a part, not at every look for one, and members are not opened one by one (calls of Python functions; 900 before)."""
+    data = queries_sources._package(queries_sources._document(7, "Ann", "B"))
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event == "call"
+
+    files.document_lines(data)
+    sys.setprofile(count)
+    try:
+        lines, gaps = files.document_lines(data)
+    finally:
+        sys.setprofile(None)
+    assert (len(lines), gaps) == (6, []) and calls < 300, calls
