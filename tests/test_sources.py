@@ -222,7 +222,7 @@ def test_members_are_read_as_the_archive_reads_them():
 
 
 def test_packages_cost_little_each():
-    """Names are cut once a part, not at every look for one, and members are not opened one by one (calls of Python functions; 900 before)."""
+    """Names are cut once a part, not at every look for one, and members are not opened one by one (calls of Python functions: 84, 265 before)."""
     data = queries_sources._package(queries_sources._document(7, "Ann", "B"))
     calls = 0
 
@@ -236,4 +236,4 @@ def test_packages_cost_little_each():
         lines, gaps = files.document_lines(data)
     finally:
         sys.setprofile(None)
-    assert (len(lines), gaps) == (6, []) and calls < 300, calls
+    assert (len(lines), gaps) == (6, []) and calls < 150, calls
