@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry.functions.text import is_true
+from docketry.operators import adjacency
 from docketry.operators.adjacency import Adjacency, sized
 from docketry.operators.continuation import MAX_PAGE, MAX_WORK, Ahead, Answer, Store, check_limits
 
@@ -142,17 +143,35 @@ def _allowed(path: Path, depth: int) -> Column:
     return (path.endpoint if depth == len(path.hops) else path.intermediate).column("n_")
 
 
-def reached(path: Path, near: Adjacency) -> DataFrame:
-    """(page_id, route): the pages at a path's end, each with its first route."""
+def reached(path: Path, near: Adjacency, routes: bool = True) -> DataFrame:
+    """(page_id, route): the pages at a path's end, each with its first route, or an empty one unless `routes` are asked for.
+
+    Few of them, the ids of their routes counted as pages, are marked to be broadcast.
+    """
     frontier, size, here = near.rows.sparkSession.createDataFrame([(path.start, [])], "at string, route array<string>"), 1, [path.start]
     for depth, hop in enumerate(path.hops, 1):
-        step = near.met(frontier, size, here, (hop.kind, int(hop.with_arrow)), once=False).where("supported AND there").where(_allowed(path, depth))
-        step = step.select("next", F.concat("route", F.array("relationship_id")).alias("route"))
-        # The least route is the first discovered: an aggregate with a map-side part, where a window would move every route.
-        frontier = step.groupBy(F.col("next").alias("at")).agg(F.min("route").alias("route"))
+        way = hop.kind, int(hop.with_arrow)
+        meets = near.meets(frontier, size, here, way)
+        step = near.met(frontier, size, here, way, once=False, meets=meets).where("supported AND there").where(_allowed(path, depth))
+        if routes:
+            step = step.select("next", F.concat("route", F.array("relationship_id")).alias("route"))
+            # The least route is the first discovered: an aggregate with a map-side part, where a window would move every route.
+            frontier = step.groupBy(F.col("next").alias("at")).agg(F.min("route").alias("route"))
+        else:
+            frontier = step.select(F.col("next").alias("at")).distinct().withColumn("route", F.array().cast("array<string>"))
         if depth < len(path.hops):
             frontier, size, here = sized(frontier)
-    return frontier.select(F.col("at").alias("page_id"), "route")
+    found = frontier.select(F.col("at").alias("page_id"), "route")
+    return F.broadcast(found) if meets is not None and meets * (len(path.hops) if routes else 1) <= adjacency.BROADCAST_PAGES else found
+
+
+def _spoken(node: Expression, negated: bool = False) -> set[Path]:
+    """The paths whose routes can be evidence: those under an even number of negations."""
+    if isinstance(node, Not):
+        return _spoken(node.of, not negated)
+    if isinstance(node, (And, Or)):
+        return set().union(*(_spoken(child, negated) for child in node.of))
+    return {node} if isinstance(node, Path) and not negated else set()
 
 
 def _examined(path: Path, near: Adjacency) -> DataFrame:
@@ -181,9 +200,9 @@ def query_pages(pages: DataFrame, edges: DataFrame | Adjacency, expression: Expr
     if starts and pages.where(F.col("page_id").isin(list(starts))).select("page_id").distinct().count() < len(starts):
         raise ValueError("a start page does not exist")
     # Leaves are numbered as they are written; equal ones share a join.
-    found, distinct = pages, list(dict.fromkeys(paths))
+    found, distinct, spoken = pages, list(dict.fromkeys(paths)), _spoken(expression)
     for n, path in enumerate(distinct):
-        found = found.join(reached(path, near).withColumnRenamed("route", f"path_{n}"), "page_id", "left")
+        found = found.join(reached(path, near, path in spoken).withColumnRenamed("route", f"path_{n}"), "page_id", "left")
     column = [F.col(f"path_{distinct.index(path)}") for path in paths]
     numbers = iter(range(len(paths)))
 

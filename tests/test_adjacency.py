@@ -130,3 +130,36 @@ def test_settled_supports_are_those_of_all(spark, monkeypatch):
         monkeypatch.setattr(reconcile, "BROADCAST_PAGES", broadcast)
         near = Derived(both_ways(edges), pages=pages, settle=reconcile.settled(supports, sources))
         assert sorted(map(repr, paths.explore(pages, near, "pé0", 4).collect())) == want
+
+
+@pytest.fixture
+def unbroadcast(spark):
+    """Without a size under which Spark broadcasts a table unasked."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def _plan(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_few_edges_move_no_pages(unbroadcast, spark):
+    """Neither the pages that a hop looks up nor those that a path is or is not found at are dealt by their ids."""
+    plan = _plan(queries.QUERIES["boolean_not_path"](spark, "/root/testdata/sf0.001"))
+    assert "LeftOuter" in plan and "SortMergeJoin" not in plan
+
+
+@pytest.mark.parametrize("broadcast", [1 << 17, 3, 0])
+def test_routes_are_kept_where_they_are_evidence(spark, monkeypatch, broadcast):
+    """Under an even number of negations, and though the same path is denied elsewhere."""
+    pages, edges = graph(spark)
+    monkeypatch.setattr(adjacency, "BROADCAST_PAGES", broadcast)
+    path, other = B.Path("pé2", (B.Hop("next"), B.Hop("7"))), B.Path("pé8", (B.Hop("next", False),))
+    for near in (Adjacency(with_pages(pages, edges)), Derived(both_ways(edges), pages=pages)):
+        ask = lambda tree: sorted(map(repr, B.query_pages(pages, near, tree).select("page_id", "evidence").collect()))  # noqa: B023, E731
+        assert "route=['r02', 's03']" in ask(path)[0] and ask(B.Not(B.Not(path))) == ask(path)
+        denied = ask(B.Not(path))
+        assert len(denied) == 19 and all("evidence=[]" in row for row in denied)
+        assert ask(B.And((B.Or((path, other)), B.Not(B.And((path, B.Not(other))))))) == ["Row(page_id='pé7', evidence=[Row(leaf=1, route=['r07']), Row(leaf=3, route=['r07'])])"]
