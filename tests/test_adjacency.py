@@ -151,6 +151,15 @@ def test_few_edges_move_no_pages(unbroadcast, spark):
     assert "LeftOuter" in plan and "SortMergeJoin" not in plan
 
 
+def test_few_settled_edges_move_no_pages(unbroadcast, spark):
+    c = Collection(spark, "/root/testdata/sf0.001")
+    edges = c.edges.where("kind = 'placed_by'")
+    supports = edges.select(F.col("relationship_id").alias("item_id"), F.col("from_page_id").alias("source_id"))
+    near = c.near(edges, reconcile.settled(supports, supports.select("source_id", F.lit("keep").alias("action")).distinct()))
+    plan = _plan(near.met(spark.createDataFrame([("page-customer-1",)], "at string"), 1, ["page-customer-1"]))
+    assert "LeftOuter" in plan and "SortMergeJoin [next" not in plan
+
+
 @pytest.mark.parametrize("broadcast", [1 << 17, 3, 0])
 def test_routes_are_kept_where_they_are_evidence(spark, monkeypatch, broadcast):
     """Under an even number of negations, and though the same path is denied elsewhere."""
