@@ -5,7 +5,8 @@ from __future__ import annotations
 import io
 import struct
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -68,15 +69,26 @@ def mail_lines(c: Collection) -> DataFrame:
     return files.lines(mails).select("path", "locator", "channel", "text")
 
 
+def _packed(name: str, body: str) -> tuple[bytes, bytes, bytes]:
+    """What an archive's entry and index say of a deflated part, its name, and the part."""
+    key, raw = name.encode(), body.encode()
+    # Small parts need no large window, which costs more to set up than they cost to deflate.
+    packer = zlib.compressobj(wbits=-15) if len(raw) > 1 << 12 else zlib.compressobj(1, wbits=-9, memLevel=1)
+    packed = packer.compress(raw) + packer.flush()
+    # Version 2.0, UTF-8 names, deflated, the first of January 1980.
+    return struct.pack("<5H3I2H", 20, 0 if key.isascii() else 0x800, 8, 0, 33, zlib.crc32(raw), len(packed), len(raw), len(key), 0), key, packed
+
+
+#: Parts that many packages share are deflated once.
+_packed_once = lru_cache(64)(_packed)
+
+
 def _package(parts: dict[str, str]) -> bytes:
     """A zip archive of deflated parts."""
     out, index = io.BytesIO(), []
     for name, body in parts.items():
-        key, raw, at = name.encode(), body.encode(), out.tell()
-        packer = zlib.compressobj(wbits=-15)
-        packed = packer.compress(raw) + packer.flush()
-        # Version 2.0, UTF-8 names, deflated, the first of January 1980.
-        head = struct.pack("<5H3I2H", 20, 0 if key.isascii() else 0x800, 8, 0, 33, zlib.crc32(raw), len(packed), len(raw), len(key), 0)
+        head, key, packed = (_packed_once if len(body) <= 1 << 12 else _packed)(name, body)
+        at = out.tell()
         out.write(b"PK\x03\x04" + head + key + packed)
         index.append(b"PK\x01\x02\x14\x00" + head + struct.pack("<3H2I", 0, 0, 0, 0, at) + key)
     start, held = out.tell(), b"".join(index)
@@ -84,17 +96,39 @@ def _package(parts: dict[str, str]) -> bytes:
     return out.getvalue()
 
 
-def _packages(c: Collection, ending: str, build: Callable[[int, str, str], dict[str, str]]) -> DataFrame:
+Build = Callable[[int, str, str], dict[str, str]]
+
+
+def _made(ending: str, build: Build) -> Callable[[pd.DataFrame], Iterator[files.File]]:
+    """What makes a package for every customer of a batch."""
+
+    def each(batch: pd.DataFrame) -> Iterator[files.File]:
+        for k, n, s in zip(batch["c_custkey"], batch["c_name"], batch["c_mktsegment"], strict=True):
+            yield str(k), ending, _package(build(k, n, s))
+
+    return each
+
+
+def _customers(c: Collection) -> DataFrame:
+    ship(c.spark)
+    customers = c.table("customer").select("c_custkey", "c_name", "c_mktsegment")
+    return dealt(customers, customers.count())
+
+
+def _packages(c: Collection, ending: str, build: Build) -> DataFrame:
     """(path, format, content): a package for every customer."""
+    made = _made(ending, build)
 
     def each(batches):
         for batch in batches:
-            rows = [(str(k), ending, _package(build(k, n, s))) for k, n, s in zip(batch["c_custkey"], batch["c_name"], batch["c_mktsegment"], strict=True)]
-            yield pd.DataFrame(rows, columns=["path", "format", "content"])
+            yield pd.DataFrame(list(made(batch)), columns=["path", "format", "content"])
 
-    ship(c.spark)
-    customers = c.table("customer").select("c_custkey", "c_name", "c_mktsegment")
-    return dealt(customers, customers.count()).mapInPandas(each, "path string, format string, content binary")
+    return _customers(c).mapInPandas(each, "path string, format string, content binary")
+
+
+def _lines(c: Collection, ending: str, build: Build) -> DataFrame:
+    """files.lines() of _packages(), each package read by the Python that makes it."""
+    return files.lines(_customers(c), _made(ending, build))
 
 
 @query(
@@ -102,7 +136,7 @@ def _packages(c: Collection, ending: str, build: Callable[[int, str, str], dict[
     LATERAL (SELECT CASE w WHEN 1 THEN c_name WHEN 2 THEN c_mktsegment END AS text, gap_ AS gap)"""
 )
 def archive_lines(c: Collection) -> DataFrame:
-    found = files.lines(_packages(c, "zip", lambda k, n, s: {"a/n é.txt": f"{n}\n\n{s}\n", "../x.txt": "no", "b.exe": "no"}))
+    found = _lines(c, "zip", lambda k, n, s: {"a/n é.txt": f"{n}\n\n{s}\n", "../x.txt": "no", "b.exe": "no"})
     return found.select("path", "locator", "text", "gap")
 
 
@@ -122,7 +156,7 @@ def _workbook(k: int, name: str, segment: str) -> dict[str, str]:
     FROM customer, (VALUES ('A', 'cell'), ('B', 'cell'), ('C', 'cached_formula_value'), ('D', 'cell'), ('E', 'cell')) v(l, channel)"""
 )
 def sheet_cells(c: Collection) -> DataFrame:
-    return files.lines(_packages(c, "xlsx", _workbook)).where("gap IS NULL").select("path", "locator", "channel", "text")
+    return _lines(c, "xlsx", _workbook).where("gap IS NULL").select("path", "locator", "channel", "text")
 
 
 def _document(k: int, name: str, segment: str) -> dict[str, str]:
@@ -145,7 +179,7 @@ def _document(k: int, name: str, segment: str) -> dict[str, str]:
     FROM customer, (VALUES (1, 'paragraph 1', 'heading'), (2, 'paragraph 3', 'paragraph'), (3, 'table 1 row 2', 'table'), (4, 'table 1 row 3', 'table'), (5, 'paragraph 4', 'paragraph'), (6, 'paragraph 4', 'reference')) v(n, locator, channel)"""
 )
 def document_lines(c: Collection) -> DataFrame:
-    return files.lines(_packages(c, "docx", _document)).where("gap IS NULL").select("path", "locator", "channel", "text")
+    return _lines(c, "docx", _document).where("gap IS NULL").select("path", "locator", "channel", "text")
 
 
 def _slides(k: int, name: str, segment: str) -> dict[str, str]:
@@ -162,7 +196,7 @@ def _slides(k: int, name: str, segment: str) -> dict[str, str]:
     FROM customer, (VALUES (1, 'slide 1', 'slide_text'), (2, 'slide 1 table 1 row 1', 'slide_table'), (3, 'slide 1', 'speaker_notes'), (4, 'slide 2', 'slide_text')) v(n, locator, channel)"""
 )
 def slide_lines(c: Collection) -> DataFrame:
-    return files.lines(_packages(c, "pptx", _slides)).where("gap IS NULL").select("path", "locator", "channel", "text")
+    return _lines(c, "pptx", _slides).where("gap IS NULL").select("path", "locator", "channel", "text")
 
 
 @query("SELECT c_custkey::VARCHAR AS path, CASE c_custkey % 3 WHEN 0 THEN 'part ../x.xml is unsafe or repeated' WHEN 1 THEN 'embedded object word/embeddings/o.bin is not read' ELSE 'part word/document.xml declares entities' END AS gap FROM customer")
@@ -175,7 +209,7 @@ def package_gaps(c: Collection) -> DataFrame:
             return {**whole, "word/document.xml": "<!DOCTYPE x>" + whole["word/document.xml"]}
         return {**whole, **({"../x.xml": "<x/>"} if k % 3 == 0 else {"word/embeddings/o.bin": "x"})}
 
-    return files.lines(_packages(c, "docx", build)).where("gap IS NOT NULL AND gap <> 'there is no text'").select("path", "gap")
+    return _lines(c, "docx", build).where("gap IS NOT NULL AND gap <> 'there is no text'").select("path", "gap")
 
 
 @query("SELECT c_custkey::VARCHAR AS path, count(*) FILTER (WHERE i * 1001 <= 2097152) AS lines, true AS cut FROM customer, generate_series(1, 2200) t(i) WHERE c_custkey % 50 = 0 GROUP BY 1")

@@ -6,10 +6,12 @@ import email
 import email.policy
 import io
 import re
+import struct
 import uuid
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 from urllib.parse import quote
 from xml.etree import ElementTree
 
@@ -133,54 +135,131 @@ def archive_lines(data: bytes) -> tuple[list[Line], list[str]]:
     return out, gaps
 
 
+#: Of a zip archive's member: its name, and its flags, method, crc, packed and whole size, and place.
+Member = tuple[str, bytes, int, int, int, int, int, int]
+_ENTRY, _LOCAL, _END = struct.Struct("<4sBBBBHHIIIIHHHHHII"), struct.Struct("<4s22xHH"), struct.Struct("<4s8xIIH")
+
+
+def _members(data: bytes) -> list[Member] | None:
+    """A zip archive's members from its bytes, if all of its directory is plain; None leaves it to zipfile."""
+    end = len(data) - _END.size
+    if end < 0:
+        return None
+    mark, size, at, comment = _END.unpack_from(data, end)
+    if mark != b"PK\x05\x06" or comment or at + size != end or data[end - 20 : end - 16] == b"PK\x06\x07":
+        return None
+    found = []
+    while at < end:
+        if at + _ENTRY.size > end:
+            return None
+        mark, _, _, version, _, flags, method, _, crc, packed, whole, length, extra, comment, *_, place = _ENTRY.unpack_from(data, at)
+        key = data[at + _ENTRY.size : at + _ENTRY.size + length]
+        if mark != b"PK\x01\x02" or version > 45 or extra or 0 in key or not key.isascii() and not flags & 0x800:
+            return None
+        try:
+            found.append((key.decode(), key, flags, method, crc, packed, whole, place))
+        except UnicodeDecodeError:
+            return None
+        at += _ENTRY.size + length + comment
+    return found if at == end else None
+
+
 def _member(data: bytes, archive: zipfile.ZipFile, info: zipfile.ZipInfo) -> bytes:
     """archive.read(info), of the archive's own bytes: plain members in one step, all that is odd about others left to the archive."""
-    at = info.header_offset
-    name = at + 30 + int.from_bytes(data[at + 26 : at + 28], "little")
-    start = name + int.from_bytes(data[at + 28 : at + 30], "little")
-    written = data[at + 30 : name] == info.orig_filename.encode("utf-8" if info.flag_bits & 0x800 else "cp437", "replace")
-    if written and data[at : at + 4] == b"PK\x03\x04" and not info.flag_bits & ~0x80E and info.compress_type in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED):
-        raw = data[start : start + info.compress_size]
-        if info.compress_type == zipfile.ZIP_DEFLATED:
-            try:
-                raw = zlib.decompressobj(-15).decompress(raw, info.file_size + 1)
-            except zlib.error:
-                return archive.read(info)
-        if len(raw) == info.file_size and zlib.crc32(raw) == info.CRC:
-            return raw
-    return archive.read(info)
+    key = info.orig_filename.encode("utf-8" if info.flag_bits & 0x800 else "cp437", "replace")
+    packed = _packed(data, (info.filename, key, info.flag_bits, info.compress_type, info.CRC, info.compress_size, info.file_size, info.header_offset))
+    raw = None if packed is None else _unpacked(packed, info.compress_type, info.CRC, info.file_size)
+    return archive.read(info) if raw is None else raw
+
+
+def _packed(data: bytes, member: Member) -> bytes | None:
+    """A plain member's packed bytes; None leaves it to zipfile."""
+    _, key, flags, method, _, packed, _, at = member
+    if at + _LOCAL.size > len(data) or flags & ~0x80E or method not in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED):
+        return None
+    mark, length, extra = _LOCAL.unpack_from(data, at)
+    start = at + _LOCAL.size + length + extra
+    return data[start : start + packed] if mark == b"PK\x03\x04" and data[at + _LOCAL.size : at + _LOCAL.size + length] == key else None
+
+
+def _unpacked(packed: bytes, method: int, crc: int, whole: int) -> bytes | None:
+    """A member's bytes, or None if they are not those that its entry tells of."""
+    if method == zipfile.ZIP_DEFLATED:
+        try:
+            packed = zlib.decompressobj(-15).decompress(packed, whole + 1)
+        except zlib.error:
+            return None
+    return packed if len(packed) == whole and zlib.crc32(packed) == crc else None
+
+
+def _xml(raw: bytes) -> ElementTree.Element | str:
+    """An XML part, its tags without namespaces, or why there is none."""
+    if b"<!DOCTYPE" in raw:
+        return "declares entities"
+    try:
+        parser = ElementTree.XMLParser()
+        parser.feed(raw)
+        root = parser.close()
+    except ElementTree.ParseError:
+        return "is not readable"
+    for node in root.iter():
+        if "}" in node.tag:
+            node.tag = node.tag.rpartition("}")[2]
+    return root
+
+
+#: Parts of at most so many packed and whole bytes are kept, the last so many, since packages of one maker share most of theirs.
+SMALL_PACKED, SMALL_PART, KEPT_PARTS = 1 << 10, 1 << 13, 64
+
+
+@lru_cache(KEPT_PARTS)
+def _small_part(packed: bytes, method: int, crc: int, whole: int) -> ElementTree.Element | str | None:
+    """_xml() of a member; nobody changes it."""
+    raw = _unpacked(packed, method, crc, whole)
+    return None if raw is None else _xml(raw)
+
+
+def _part(data: bytes, member: Member) -> ElementTree.Element | str | None:
+    packed = _packed(data, member)
+    if packed is None:
+        return None
+    if len(packed) <= SMALL_PACKED and member[6] <= SMALL_PART:
+        return _small_part(packed, member[3], member[4], member[6])
+    raw = _unpacked(packed, member[3], member[4], member[6])
+    return None if raw is None else _xml(raw)
 
 
 def _parts(data: bytes) -> tuple[dict[str, ElementTree.Element], list[str]]:
-    """XML parts of an office package by name, their tags without namespaces. Encrypted, unsafe or duplicate parts are gaps."""
+    """XML parts of an office package by name, their tags without namespaces. Encrypted, unsafe or duplicate parts are gaps.
+
+    Plain archives and members are read from their bytes, all that is odd about others is left to zipfile.
+    """
     gaps: list[str] = []
     if len(data) > OFFICE_BYTES:
         return {}, ["the package is too large"]
     if data[:4] == b"\xd0\xcf\x11\xe0":
         return {}, ["the package is encrypted"]
-    try:
-        archive = zipfile.ZipFile(io.BytesIO(data))
-    except zipfile.BadZipFile:
-        return {}, ["the package is not readable"]
+    archive, members = None, _members(data)
+    if members is None:
+        try:
+            archive = zipfile.ZipFile(io.BytesIO(data))
+        except zipfile.BadZipFile:
+            return {}, ["the package is not readable"]
     found: dict[str, ElementTree.Element] = {}
-    for info in archive.infolist():
-        if not safe_member(info.filename) or info.filename in found:
-            gaps.append(f"part {info.filename} is unsafe or repeated")
-        elif info.filename.startswith(("word/embeddings/", "ppt/embeddings/", "xl/embeddings/")):
-            gaps.append(f"embedded object {info.filename} is not read")
-        elif info.filename.endswith((".xml", ".rels")):
-            raw = _member(data, archive, info)
-            if b"<!DOCTYPE" in raw:
-                gaps.append(f"part {info.filename} declares entities")
-                continue
-            try:
-                root = ElementTree.fromstring(raw)
-            except ElementTree.ParseError:
-                gaps.append(f"part {info.filename} is not readable")
-                continue
-            for node in root.iter():
-                node.tag = node.tag.rpartition("}")[2]
-            found[info.filename] = root
+    for n, name in enumerate([m[0] for m in members] if archive is None else archive.namelist()):
+        if not safe_member(name) or name in found:
+            gaps.append(f"part {name} is unsafe or repeated")
+        elif name.startswith(("word/embeddings/", "ppt/embeddings/", "xl/embeddings/")):
+            gaps.append(f"embedded object {name} is not read")
+        elif name.endswith((".xml", ".rels")):
+            part = _part(data, members[n]) if members is not None else None
+            if part is None:
+                archive = archive or zipfile.ZipFile(io.BytesIO(data))
+                part = _xml(_member(data, archive, archive.infolist()[n]))
+            if isinstance(part, str):
+                gaps.append(f"part {name} {part}")
+            else:
+                found[name] = part
     return found, gaps
 
 
@@ -216,20 +295,20 @@ def sheet_lines(data: bytes) -> tuple[list[Line], list[str]]:
         if n >= SHEETS or part is None:
             gaps.append(f"sheet {sheet.get('name')} is not read")
             continue
-        for cell in _find(part, "c"):
-            value = next((x.text for x in cell if x.tag == "v"), None)
-            kind = cell.get("t")
+        title = sheet.get("name")
+        for cell in part.iter("c"):
+            held, kind = cell.find("v"), cell.get("t")
+            value = None if held is None else held.text
             try:
                 text = shared[int(value)] if kind == "s" and value else _text(cell) if kind == "inlineStr" else ("TRUE" if value == "1" else "FALSE") if kind == "b" else value
             except (ValueError, IndexError):
-                gaps.append(f"cell {cell.get('r')} of {sheet.get('name')} is not readable")
+                gaps.append(f"cell {cell.get('r')} of {title} is not readable")
                 continue
             if text:
                 if len(out) >= CELLS:
                     gaps.append("further cells are not read")
                     return out, gaps
-                formula = any(x.tag == "f" for x in cell)
-                out.append((f'sheet "{sheet.get("name")}" cell {cell.get("r")}', "cached_formula_value" if formula else "cell", text))
+                out.append((f'sheet "{title}" cell {cell.get("r")}', "cell" if cell.find("f") is None else "cached_formula_value", text))
     return out, [*gaps, "charts, comments and formats are not read"]
 
 
@@ -285,16 +364,26 @@ LINE, OUT_ROWS = ["path", "position", "locator", "channel", "text", "gap"], 4096
 READERS = {"eml": mail_lines, "zip": archive_lines, "xlsx": sheet_lines, "docx": document_lines, "pptx": slide_lines}
 
 
-def lines(files: DataFrame) -> DataFrame:
+File = tuple[str, str, bytes | None]  # path, format, content
+
+
+def _files(batch: pd.DataFrame) -> Iterable[File]:
+    return zip(batch["path"], batch["format"], batch["content"], strict=True)
+
+
+def lines(files: DataFrame, made: Callable[[pd.DataFrame], Iterable[File]] | None = None) -> DataFrame:
     """(path, position, locator, channel, text, gap) of structured files (path, format, content).
 
     A file's text is cut at PROJECTION_BYTES with a gap; gaps are rows without text. Rows of small files leave together.
+    With `made`, `files` are rows of any columns of which it makes the files, one at a time: each is read where it is made.
     """
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out, held = [], 0
         for batch in batches:
-            for path, kind, data in zip(batch["path"], batch["format"], batch["content"], strict=True):
+            for path, kind, data in (made or _files)(batch):
+                if kind not in READERS:
+                    continue
                 found, gaps = READERS[kind](bytes(data or b""))
                 rows, size = [], 0
                 for n, (locator, channel, text) in enumerate(found, 1):
@@ -314,7 +403,7 @@ def lines(files: DataFrame) -> DataFrame:
 
     spark = files.sparkSession
     ship(spark)
-    kept = files.where(F.col("format").isin(*READERS)).select("path", "format", "content")
+    kept = files if made else files.where(F.col("format").isin(*READERS)).select("path", "format", "content")
     return kept.mapInPandas(each, "path string, position int, locator string, channel string, text string, gap string")
 
 

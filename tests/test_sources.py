@@ -221,6 +221,48 @@ def test_members_are_read_as_the_archive_reads_them():
         assert z.testzip() is None and {i.filename: z.read(i).decode() for i in z.infolist()} == {"é/a.xml": "<a/>", "b.xml": "", "big.xml": "x" * 100_000}
 
 
+def test_packages_are_read_as_zipfile_lists_them(monkeypatch):
+    """Plain ones without it; those with a comment, bytes before them, extra fields, zip64, odd names or a broken directory as it has always been."""
+    made = queries_sources._package({**queries_sources._workbook(7, "Ann", "B"), "../x.xml": "<x/>", "xl/é.xml": "<a:b xmlns:a='n'><a:c/></a:b>", "no.xml": "<a", "big.xml": f"<a>{'x' * 10_000}</a>"})
+    long, comment = io.BytesIO(), io.BytesIO(made)
+    with zipfile.ZipFile(long, "w", zipfile.ZIP_DEFLATED) as z, zipfile.ZipFile(io.BytesIO(made)) as old:
+        for name in [*old.namelist(), "xl/workbook.xml"]:
+            with z.open(name, "w", force_zip64=True) as f:
+                f.write(old.read(name))
+    with zipfile.ZipFile(comment, "a") as z:
+        z.comment = b"said"
+    wrong = bytearray(made)
+    wrong[made.index(b"PK\x01\x02") + 16] ^= 1
+    odd = [long.getvalue(), comment.getvalue(), b"before" + made, made.replace("é".encode(), b"\0\0"), made[:-1], made[60:], made.replace(b"PK\x01\x02", b"PK\x01\x03", 1), b"", b"PK"]
+
+    def seen(data):
+        try:
+            parts, gaps = files._parts(data)
+        except Exception as error:
+            return repr(error)
+        return {k: files.ElementTree.tostring(v) for k, v in parts.items()}, gaps
+
+    packages = [made, bytes(wrong), *odd]
+    got = [seen(p) for p in packages]
+    assert files._members(made) and [files._members(p) for p in odd[4:]] == [None] * 5
+    assert got[0][1] == ["part ../x.xml is unsafe or repeated", "part no.xml is not readable"] and len(got[0][0]) == 6
+    monkeypatch.setattr(files, "_members", lambda data: None)
+    monkeypatch.setattr(files, "_packed", lambda data, member: None)
+    assert [seen(p) for p in packages] == got
+
+
+def test_parts_that_packages_share_are_made_and_read_once(monkeypatch):
+    """The workbook and its relations of every package, while names and cells are read anew (parts read of 50 packages: 102, 200 before)."""
+    packed = [queries_sources._package(queries_sources._workbook(k, f"N{k}", "S")) for k in range(50)]
+    read, known = [], files.ElementTree.XMLParser
+    monkeypatch.setattr(files.ElementTree, "XMLParser", lambda *a, **k: read.append(1) or known(*a, **k))
+    if hasattr(files, "_small_part"):
+        files._small_part.cache_clear()
+    found = [files.sheet_lines(p)[0] for p in packed]
+    assert [[text for _, _, text in cells] for cells in found] == [[f"N{k}", str(k), str(2 * k), "TRUE", "S"] for k in range(50)]
+    assert len(read) == 102
+
+
 def test_packages_cost_little_each():
     """Names are cut once a part, not at every look for one, and members are not opened one by one (calls of Python functions: 84, 265 before)."""
     data = queries_sources._package(queries_sources._document(7, "Ann", "B"))
