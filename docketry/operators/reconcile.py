@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketry.operators.adjacency import BROADCAST_PAGES
@@ -165,20 +165,39 @@ def supported_edges(edges: DataFrame, supports: DataFrame) -> DataFrame:
     return edges.join(left, "relationship_id", "left").withColumn("supported", F.coalesce("held", F.lit(False))).drop("held")
 
 
-def settled(supports: DataFrame, sources: DataFrame) -> Callable[[DataFrame], DataFrame]:
+def settled(supports: DataFrame | Column, sources: DataFrame) -> Callable[[DataFrame, bool], DataFrame]:
     """What tells `supported` of any edges, as supported_edges() with withdrawn_supports() does of all.
 
-    The edges given are written once. Only their supports, and only these supports' sources, are
-    looked at: those of at most BROADCAST_PAGES edges without moving the others.
+    A table of supports (item_id, source_id) is read for the edges given, which are written once.
+    Only their supports, and only these supports' sources, are looked at: those of at most
+    BROADCAST_PAGES edges without moving the others; for more, all supports are moved by item_id.
+    Where each edge has one support and its own row tells the source, `supports` is that column.
+    Then no support is looked for, and edges that are not few are neither written nor need identities.
     """
+    if isinstance(supports, Column):
+        return _settled_by(supports, sources)
 
     def narrowed(rows: DataFrame, name: str, by: DataFrame, size: int) -> DataFrame:
         return rows.join(F.broadcast(by) if size <= BROADCAST_PAGES else by, name, "left_semi")
 
-    def settle(edges: DataFrame) -> DataFrame:
+    def settle(edges: DataFrame, few: bool = False) -> DataFrame:
         edges = durable(edges)
         near = durable(narrowed(supports, "item_id", edges.select(F.col("relationship_id").alias("item_id")), edges.count()))
         around = narrowed(sources, "source_id", near.select("source_id"), near.count())
         return supported_edges(edges.drop("supported"), withdrawn_supports(near, around))
 
     return settle
+
+
+def _settled_by(source: Column, sources: DataFrame) -> Callable[[DataFrame, bool], DataFrame]:
+    def settle(edges: DataFrame, few: bool = False) -> DataFrame:
+        rows = edges.withColumn("source_", source)
+        around = sources
+        if few:
+            rows = durable(rows)
+            around = sources.join(F.broadcast(rows.select(F.col("source_").alias("source_id"))), "source_id", "left_semi")
+        gone = around.where("action <> 'keep'").select(F.col("source_id").alias("source_"), F.lit(True).alias("gone_")).distinct()
+        told = rows.join(F.broadcast(gone) if few else gone, "source_", "left")
+        return told.withColumn("supported", F.col("gone_").isNull()).select(*edges.columns)
+
+    return settle

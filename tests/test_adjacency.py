@@ -11,6 +11,7 @@ from docketry.operators import adjacency
 from docketry.operators.adjacency import Adjacency, Derived, both_ways, bucket, with_pages
 from docketry.plans import queries, queries_upkeep  # noqa: F401
 from docketry.plans.model import Collection
+from docketry.session import shared_dir
 
 PAGES = "page_id string, title string, kind string, event_date string, format string, processing_status string"
 EDGES = "relationship_id string, from_page_id string, to_page_id string, kind string, supported boolean"
@@ -160,6 +161,36 @@ def test_few_settled_edges_move_no_pages(unbroadcast, spark):
     assert "LeftOuter" in plan and "SortMergeJoin [next" not in plan
 
 
+@pytest.mark.parametrize("broadcast", [1 << 17, 3, 0])
+def test_sources_in_the_edges_rows_are_those_of_a_table(spark, monkeypatch, broadcast):
+    """Though edges run in a ring, are met from either end, are few or many, and sources are told of twice or not at all."""
+    pages, edges = graph(spark)
+    supports = edges.select(F.col("relationship_id").alias("item_id"), F.col("from_page_id").alias("source_id"))
+    sources = spark.createDataFrame([(f"pé{i}", "removed" if i % 3 == 0 else "keep") for i in range(15)] + [("pé6", "uncertain"), ("other", "removed")], "source_id string, action string")
+    whole = reconcile.supported_edges(edges, reconcile.withdrawn_supports(supports, sources))
+    monkeypatch.setattr(adjacency, "BROADCAST_PAGES", broadcast)
+    near = Derived(both_ways(edges), pages=pages, settle=reconcile.settled(adjacency.from_page(), sources))
+    for ask in (lambda e: paths.explore(pages, e, "pé1", 3), lambda e: B._examined(B.Path("pé2", (B.Hop("next"), B.Hop("7", False))), Adjacency.of(pages, e))):
+        want = sorted(map(repr, ask(whole).collect()))
+        assert len(want) > 1 and sorted(map(repr, ask(near).collect())) == want
+
+
+def test_many_settled_edges_are_not_stored_nor_their_supports_moved(unbroadcast, spark, monkeypatch):
+    """A page with too many edges to be broadcast: nothing is written, no supports are joined by identities, and none are made."""
+    for module in (adjacency, reconcile):
+        monkeypatch.setattr(module, "BROADCAST_PAGES", 0)
+    folder = "/root/testdata/sf0.001"
+    orders = pq.read_table(f"{folder}/orders.parquet", columns=["o_orderkey", "o_custkey"]).to_pylist()
+    shared_dir(spark)
+    written = Path(spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:"))
+    before = set(written.rglob("*"))
+    found = queries.QUERIES["paths_after_withdrawal"](spark, folder)
+    got = sorted(r["page_id"] for r in found.collect())
+    assert got and got == sorted(f"page-order-{r['o_orderkey']}" for r in orders if r["o_custkey"] == 1 and r["o_orderkey"] % 3)
+    assert not set(written.rglob("*")) - before
+    assert "sha2" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 @pytest.mark.parametrize("broadcast", [1 << 17, 3, 0])
 def test_routes_are_kept_where_they_are_evidence(spark, monkeypatch, broadcast):
     """Under an even number of negations, and though the same path is denied elsewhere."""
